@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.functions.text import stem, strip
+from runloom.session import stored
 
 # Question types a typed leaf may have.
 QUESTION_TYPES = ["text", "path", "confirm", "list", "checkbox", "password"]
@@ -23,7 +24,7 @@ BUILT_IN_CONFIGS = [
     "basic-threads-8", "basic-threads-4", "basic-threads-2", "basic-threads-1", "sequential-local",
 ]
 
-_NODE = "struct<path: array<string>, value: variant>"
+_INNER = "startswith(schema_of_variant({0}), 'OBJECT') AND try_variant_get({0}, '$.q_type', 'variant') IS NULL"
 
 
 def parse_config(files: DataFrame, strict: bool = False) -> DataFrame:
@@ -39,35 +40,25 @@ def parse_config(files: DataFrame, strict: bool = False) -> DataFrame:
     )
 
 
-def _deepen(nodes: str) -> str:
-    """SQL for one step down: objects without ``q_type`` are replaced by their members."""
-    return f"""flatten(transform({nodes}, n -> CASE
-        WHEN startswith(schema_of_variant(n.value), 'OBJECT') AND try_variant_get(n.value, '$.q_type', 'variant') IS NULL
-        THEN transform(map_entries(CAST(n.value AS MAP<STRING, VARIANT>)),
-                       e -> named_struct('path', array_append(n.path, e.key), 'value', e.value))
-        ELSE array(n) END))"""
-
-
-def config_flatten(configs: DataFrame, levels: int = 6) -> DataFrame:
+def config_flatten(configs: DataFrame) -> DataFrame:
     """Leaves of each configuration (config_id, tree).
 
     A leaf is a text or an object with ``q_type``; other objects are descended into, within the
-    row and without a shuffle.  Anything else is a leaf with ``error``.  If some tree is deeper
-    than ``levels``, more steps are added until none is.
+    row and without a shuffle.  Anything else is a leaf with ``error``.  The number of steps is
+    that of the opening braces of the text, which no tree is deeper than; once nothing is left
+    to descend into, a step does nothing.
     """
-    nodes = configs.select(
-        "config_id",
-        F.expr(f"CAST(array(named_struct('path', CAST(array() AS ARRAY<STRING>), 'value', tree)) AS ARRAY<{_NODE}>)").alias("nodes"),
-    )
-    while True:
-        for _ in range(levels):
-            nodes = nodes.select("config_id", F.expr(_deepen("nodes")).alias("nodes"))
-        deeper = nodes.where(
-            "exists(nodes, n -> startswith(schema_of_variant(n.value), 'OBJECT')"
-            " AND try_variant_get(n.value, '$.q_type', 'variant') IS NULL)"
-        )
-        if deeper.isEmpty():
-            break
+    node = "named_struct('path', {0}, 'value', {1}, 'inner', coalesce(" + _INNER.format("{1}") + ", false))"
+    start = "array(" + node.format("CAST(array() AS ARRAY<STRING>)", "tree") + ")"
+    member = node.format("array_append(n.path, e.key)", "e.value")
+    step = f"""flatten(transform(acc, n -> CASE WHEN n.inner
+        THEN transform(map_entries(CAST(n.value AS MAP<STRING, VARIANT>)), e -> {member}) ELSE array(n) END))"""
+    kind = "ARRAY<STRUCT<path: ARRAY<STRING>, value: VARIANT, inner: BOOLEAN>>"
+    nodes = configs.select("config_id", F.expr(
+        f"""reduce(sequence(1, 1 + len(to_json(tree)) - len(replace(to_json(tree), '{{', ''))),
+            CAST({start} AS {kind}),
+            (acc, i) -> CASE WHEN exists(acc, n -> n.inner) THEN CAST({step} AS {kind}) ELSE acc END)"""
+    ).alias("nodes"))
     leaves = nodes.select("config_id", F.explode("nodes").alias("n")).select(
         "config_id", F.col("n.path").alias("path"),
         F.expr("schema_of_variant(n.value)").alias("shape"),
@@ -102,14 +93,17 @@ def config_errors(leaves: DataFrame) -> DataFrame:
 def config_inflate(leaves: DataFrame) -> DataFrame:
     """Nested JSON per configuration from leaves (config_id, path, value), deepest level first.
 
-    Paths stay arrays, so a key may contain ``__``.  Only the depth comes to the driver.
+    Paths stay arrays, so a key may contain ``__``.  Only the depth comes to the driver; the
+    leaves are written once because every level reads them.
     """
     def text(c: Column) -> Column:
         quoted = F.to_json(F.array(c))
         return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
 
-    depth = leaves.agg(F.max(F.size("path"))).first()[0] or 0
-    rows = leaves.where(F.size("path") > 0).select("config_id", "path", text(F.col("value")).alias("json"))
+    rows, (depth,) = stored(
+        leaves.where(F.size("path") > 0).select("config_id", "path", text(F.col("value")).alias("json")),
+        "leaves", F.max(F.size("path")),
+    )
     for level in range(depth, 0, -1):
         members = rows.where(F.size("path") == level).select(
             "config_id", F.slice("path", 1, level - 1).alias("path"), F.element_at("path", -1).alias("key"),

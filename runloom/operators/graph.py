@@ -1,19 +1,19 @@
 """Iterative lineage over dependencies (run_id, task_id, depends_on).
 
-Each round is one join of a shrinking frontier with the dependencies.  Lineage is cut by
-reliable checkpoints in the shared folder, so lost executors cost a re-read, not the loop.
-The driver sees only row counts.
+Each round joins a shrinking frontier with the dependencies and writes what is left to the
+shared folder.  That cuts the lineage, survives lost executors, and tells the planner the true
+sizes: a small frontier is broadcast, a large one is shuffled.  The driver sees only row counts,
+which are observed while writing.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runloom.session import cut_lineage
+from runloom.session import stored
 
 KEY = ["run_id", "task_id"]
 
@@ -28,44 +28,45 @@ def schedule(tasks: DataFrame, dependencies: DataFrame) -> tuple[DataFrame, Data
     Returns (levels, rest).  ``levels`` has the round of each task, which is its longest
     distance from a source, and its earliest start and finish with unlimited workers
     (``tasks`` needs ``duration_s``).  ``rest`` are the tasks on a cycle or behind one; the
-    loop ends either way.
+    loop ends either way.  A dependency on an unknown task does not hold anything up.
     """
-    edges = dependencies.where("task_id IS NOT NULL AND depends_on IS NOT NULL").distinct()
-    edges = cut_lineage(
-        edges.join(tasks.select("run_id", F.col("task_id").alias("depends_on")), ["run_id", "depends_on"], "left_semi")
-        .repartition("run_id", "depends_on")
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    known = tasks.select("run_id", F.col("task_id").alias("depends_on"))
+    edges, _ = stored(
+        dependencies.select(*KEY, "depends_on").distinct().join(known, ["run_id", "depends_on"], "left_semi"),
+        "edges",
+    )
     incoming = edges.groupBy(*KEY).agg(F.count(F.lit(1)).alias("waiting"))
-    state = tasks.select(*KEY, F.col("duration_s").cast("long").alias("duration_s")).join(incoming, KEY, "left").select(
-        *KEY, "duration_s",
-        F.coalesce("waiting", F.lit(0).cast("long")).alias("waiting"),
-        F.lit(0).cast("long").alias("start_s"),
+    is_ready = F.count_if(F.col("waiting") == 0)
+    state, (n_ready,) = stored(
+        tasks.select(*KEY, F.col("duration_s").cast("long").alias("duration_s")).join(incoming, KEY, "left").select(
+            *KEY, "duration_s", F.coalesce("waiting", F.lit(0).cast("long")).alias("waiting"),
+            F.lit(0).cast("long").alias("start_s"),
+        ),
+        "tasks", is_ready,
     )
-    state = cut_lineage(state)
     done: list[DataFrame] = []
-    level = 0
-    while True:
+    while n_ready:
         ready = state.where("waiting = 0").select(
-            *KEY, F.lit(level).cast("long").alias("level"), "start_s",
+            *KEY, F.lit(len(done)).cast("long").alias("level"), "start_s",
             (F.col("start_s") + F.col("duration_s")).alias("finish_s"),
         )
         done.append(ready)
-        rest = state.where("waiting > 0")
         finished = ready.select("run_id", F.col("task_id").alias("depends_on"), "finish_s")
         freed = edges.join(finished, ["run_id", "depends_on"]).groupBy(*KEY).agg(
             F.count(F.lit(1)).alias("freed"), F.max("finish_s").alias("after_s")
         )
-        following = cut_lineage(
-            rest.join(freed, KEY, "left").select(
+        state, (n_ready,) = stored(
+            state.where("waiting > 0").join(freed, KEY, "left").select(
                 *KEY, "duration_s",
                 (F.col("waiting") - F.coalesce("freed", F.lit(0).cast("long"))).alias("waiting"),
                 F.greatest("start_s", F.coalesce("after_s", F.lit(0).cast("long"))).alias("start_s"),
-            )
+            ),
+            "tasks", is_ready,
         )
-        state, level = following, level + 1
-        if state.where("waiting = 0").isEmpty():
-            break
-    edges.unpersist()
+    if not done:
+        done.append(state.where("waiting = 0").select(
+            *KEY, F.lit(0).cast("long").alias("level"), "start_s", F.col("start_s").alias("finish_s")
+        ))
     return _stack(done), state.select(*KEY)
 
 
@@ -86,27 +87,28 @@ def reach(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """Everything reachable from ``seeds`` (run_id, task_id) along ``edges`` (run_id, src, dst),
     with the least number of hops.  A task appears once, so the result is no larger than the
     table of tasks; the seeds themselves have 0 hops."""
-    edges = cut_lineage(edges.select("run_id", "src", "dst").distinct().repartition("run_id", "src")).persist(
-        StorageLevel.MEMORY_AND_DISK
+    edges, _ = stored(edges.select("run_id", "src", "dst").distinct(), "edges")
+    every = F.count(F.lit(1))
+    frontier, (n,) = stored(
+        seeds.select(*KEY).distinct().withColumn("hops", F.lit(0).cast("long")), "reached", every
     )
-    frontier = cut_lineage(seeds.select(*KEY).distinct().withColumn("hops", F.lit(0).cast("long")))
-    layers = [frontier]
+    layers, seen = [frontier], frontier
     hops = 0
-    while not frontier.isEmpty():
+    while n:
         hops += 1
         step = (
             edges.join(frontier.select("run_id", F.col("task_id").alias("src")), ["run_id", "src"])
             .select("run_id", F.col("dst").alias("task_id"))
             .distinct()
-            .join(_stack(layers).select(*KEY), KEY, "left_anti")
+            .join(seen.select(*KEY), KEY, "left_anti")
             .withColumn("hops", F.lit(hops).cast("long"))
         )
-        frontier = cut_lineage(step)
+        frontier, (n,) = stored(step, "reached", every)
         layers.append(frontier)
-        if len(layers) > 16:
-            layers = [cut_lineage(_stack(layers))]
-    edges.unpersist()
-    return _stack(layers)
+        if len(layers) > 16:  # keep plans small on long chains
+            layers = [stored(_stack(layers), "reached")[0]]
+        seen = _stack(layers)
+    return seen
 
 
 def upstream_closure(targets: DataFrame, dependencies: DataFrame) -> DataFrame:
@@ -134,22 +136,25 @@ def sub_workflows(tasks: DataFrame, dependencies: DataFrame) -> DataFrame:
             F.struct(F.col("depends_on").alias("a"), F.col("task_id").alias("b")),
         )).alias("e"),
     ).select("run_id", "e.a", "e.b").where("a <> b").distinct()
-    links = cut_lineage(both.repartition("run_id", "a")).persist(StorageLevel.MEMORY_AND_DISK)
-    labels = cut_lineage(tasks.select(*KEY, F.col("task_id").alias("part")))
-    while True:
+    links, _ = stored(both, "links")
+    labels, _ = stored(tasks.select(*KEY, F.col("task_id").alias("part")), "labels")
+    changed = 1
+    while changed:
         near = (
             links.join(labels.select("run_id", F.col("task_id").alias("a"), "part"), ["run_id", "a"])
             .groupBy("run_id", F.col("b").alias("task_id"))
             .agg(F.min("part").alias("near"))
         )
-        lowered = labels.join(near, KEY, "left").select(
-            *KEY, F.col("part").alias("old"), F.least("part", F.coalesce("near", "part")).alias("part")
+        lowered, (changed,) = stored(
+            labels.withColumnRenamed("part", "old").join(near, KEY, "left").select(
+                *KEY, "old", F.least("old", F.coalesce("near", "old")).alias("part")
+            ),
+            "labels", F.count_if(F.col("part") < F.col("old")),
         )
-        lowered = cut_lineage(lowered)
-        target = lowered.select("run_id", F.col("task_id").alias("part"), F.col("part").alias("next"))
-        jumped = lowered.join(target, ["run_id", "part"]).select(*KEY, "old", F.col("next").alias("part"))
-        labels = cut_lineage(jumped)
-        if labels.where("part <> old").isEmpty():
+        if not changed:
             break
-    links.unpersist()
+        target = lowered.select("run_id", F.col("task_id").alias("part"), F.col("part").alias("next"))
+        labels, _ = stored(
+            lowered.join(target, ["run_id", "part"]).select(*KEY, F.col("next").alias("part")), "labels"
+        )
     return labels.select(*KEY, F.col("part").alias("component"))

@@ -21,10 +21,14 @@ def graph_nodes(tasks: DataFrame, ports: DataFrame) -> DataFrame:
 
     A wait on a task nobody registered leaves a node without a type.
     """
-    apps = tasks.select("run_id", F.col("task_id").cast("string").alias("id"), F.lit("app").alias("type"))
-    kind = F.when(F.col("role") != "wait_on", F.lit("data"))
-    files = ports.where("path <> ''").select("run_id", F.col("path").alias("id"), kind.alias("type"))
-    return apps.unionByName(files).groupBy("run_id", "id").agg(F.max("type").alias("type"))
+    # Numbers, because an aggregate over strings would be sorted instead of hashed.
+    apps = tasks.select("run_id", F.col("task_id").cast("string").alias("id"), F.lit(1).alias("code"))
+    kind = F.when(F.col("role") == "wait_on", 0).otherwise(2)
+    files = ports.where("path <> ''").select("run_id", F.col("path").alias("id"), kind.alias("code"))
+    merged = apps.unionByName(files).groupBy("run_id", "id").agg(F.max("code").alias("code"))
+    return merged.select(
+        "run_id", "id", F.when(F.col("code") == 2, "data").when(F.col("code") == 1, "app").alias("type")
+    )
 
 
 def graph_edges(ports: DataFrame) -> DataFrame:

@@ -6,66 +6,84 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runloom.functions.ordered import HOT_ROWS, next_value, row_rank, running_sum
-from runloom.functions.text import FILE_STAMP, stem, strip
+from runloom.functions.text import FILE_STAMP, LOG_STAMP, stem, strip
 
 # What log messages say about a task, the state it leaves the task in, and the
-# kind of failure.  The first pattern that matches counts.
-MESSAGES = [
-    (r"^(\S+) assigned to executor (\S+), task id", "pending", None),
-    (r"^(\S+) staged to run", "running", None),
-    (r"^(\S+) finished running", "completed", None),
-    (r"^(\S+) failed during execution", "failed", "app failure"),
-    (r"^(\S+) had a dependency fail", "failed", "dependency failed"),
-    (r"^(\S+) did not produce expected outputs", "failed", "missing outputs"),
-    (r"^(\S+) produced a general \w+ error", "failed", "general"),
-    (r"^()User aborted run", "failed", "aborted"),
-    (r"^(\S+) produced a RemoteError", "failed", "remote"),
-    (r"^(\S+) produced a general error", "failed", "other"),
-]
+# kind of failure.
+PHRASES = {
+    "assigned to executor": ("pending", None),
+    "staged to run": ("running", None),
+    "finished running": ("completed", None),
+    "failed during execution": ("failed", "app failure"),
+    "had a dependency fail": ("failed", "dependency failed"),
+    "did not produce expected outputs": ("failed", "missing outputs"),
+    "produced a general error": ("failed", "other"),
+    "User aborted run": ("failed", "aborted"),
+    "produced a RemoteError": ("failed", "remote"),
+}
+# A general error may be qualified by one word.
+GENERAL_ERROR = r"produced a general \w+ error"
+MESSAGE = r"^(?:(\S+) )?(" + "|".join([*PHRASES, GENERAL_ERROR]) + ")"
 
 # Which state wins when two have the same time.
 SEVERITY = {"pending": 0, "running": 1, "completed": 2, "failed": 3}
 
 # Form of a log line and of a log file name.
-LOG_LINE = r"^\[(\d{2}[A-Za-z]{3}\d{4} \d{2}:\d{2}:\d{2})\|([^\]]*)\] > (.*)$"
+LOG_LINE = r"^\[\d{2}[A-Za-z]{3}\d{4} \d{2}:\d{2}:\d{2}\|[^\]]*\] > "
 LOG_FILE = r"^(.*)_(\d{2}[A-Za-z]{3}\d{4}_\d{6})\.\w+\.log$"
 
 
-def _first_match(message: Column, pick: int) -> Column:
-    result = F.lit(None).cast("string")
-    for pattern, *labels in reversed(MESSAGES):
-        value = F.regexp_extract(message, pattern, 1) if pick < 0 else F.lit(labels[pick]).cast("string")
-        result = F.when(message.rlike(pattern), value).otherwise(result)
-    return result
+def state_stamp(ts: Column, state: Column) -> Column:
+    """Time and severity as one number: the largest is the state that counts.  A number is
+    aggregated by hashing, a structure would be sorted."""
+    rank = F.lit(0)
+    for name, value in SEVERITY.items():
+        rank = F.when(state == name, value).otherwise(rank)
+    return F.unix_micros(ts.cast("timestamp")) * len(SEVERITY) + rank
 
 
-def severity(state: Column) -> Column:
-    rank = F.lit(-1)
+def stamped_state(stamp: Column) -> Column:
+    rank = F.pmod(stamp, F.lit(len(SEVERITY)))
+    state = F.lit(None).cast("string")
     for name, value in SEVERITY.items():
-        rank = F.when(state == name, value).otherwise(rank)
-    return rank
+        state = F.when(rank == value, name).otherwise(state)
+    return state
+
+
+def stamped_time(stamp: Column) -> Column:
+    return F.timestamp_micros(F.floor(stamp / len(SEVERITY)))
 
 
 def parse_line(line: Column) -> Column:
     """Struct (ts, logger, message) of a log line; all null on a continuation line."""
     head = line.rlike(LOG_LINE)
-
-    def part(n: int) -> Column:
-        return F.when(head, F.regexp_extract(line, LOG_LINE, n))
-
+    close = F.position(F.lit("] > "), line)
     return F.struct(
-        F.try_to_timestamp(part(1), F.lit("ddMMMyyyy HH:mm:ss")).cast("timestamp_ntz").alias("ts"),
-        part(2).alias("logger"), part(3).alias("message"),
+        F.when(head, F.try_to_timestamp(F.substring(line, 2, 18), F.lit(LOG_STAMP)).cast("timestamp_ntz")).alias("ts"),
+        F.when(head, F.substring(line, F.lit(21), close - 21)).alias("logger"),
+        F.when(head, F.substring(line, close + 4, F.length(line))).alias("message"),
     )
 
 
 def task_events(log: DataFrame) -> DataFrame:
-    """Log rows that speak about a task, with the state they leave it in."""
-    message = F.col("message")
-    return log.select(
-        "*", _first_match(message, -1).alias("task"), _first_match(message, 0).alias("state"),
-        _first_match(message, 1).alias("failure"),
-    ).where("state IS NOT NULL")
+    """Log rows that speak about a task, with the state they leave it in.
+
+    One pattern finds task and phrase; state and kind of failure follow by lookup.
+    """
+    phrase = F.regexp_extract("message", MESSAGE, 2)
+
+    def lookup(pick: int) -> Column:
+        general = ("failed", "general")[pick]
+        value = F.when(F.col("_phrase") != "", general)
+        for text, labels in PHRASES.items():
+            value = F.when(F.col("_phrase") == text, F.lit(labels[pick])).otherwise(value)
+        return value
+
+    spoken = log.withColumn("_phrase", phrase).where("_phrase <> ''")
+    return spoken.select(
+        *log.columns, F.regexp_extract("message", MESSAGE, 1).alias("task"),
+        lookup(0).alias("state"), lookup(1).alias("failure"),
+    )
 
 
 def log_file_identity(name: Column) -> Column:
@@ -98,8 +116,8 @@ def run_provenance(log: DataFrame) -> DataFrame:
 def task_state_final(events: DataFrame, tasks: DataFrame) -> DataFrame:
     """Last state of every task; a task the log never mentions is pending."""
     last = events.groupBy("run_id", "task").agg(
-        F.max_by("state", F.struct("ts", severity(F.col("state")))).alias("state")
-    )
+        F.max(state_stamp(F.col("ts"), F.col("state"))).alias("stamp")
+    ).select("run_id", "task", stamped_state(F.col("stamp")).alias("state"))
     return tasks.select("run_id", "task").join(last, ["run_id", "task"], "left").select(
         "run_id", "task", F.coalesce("state", F.lit("pending")).alias("state")
     )

@@ -42,30 +42,27 @@ class Views:
     def port(self) -> DataFrame:
         """Outputs, inputs from the parent in a binary heap, all distinct parts of the order as
         external inputs, and waits on the task two places before."""
-        tasks = self.task().select("run_id", "task_id", "seq")
-        out = tasks.select(
+        out = self.task_rows().select(
             "run_id", "task_id", F.lit("output").alias("role"),
             F.concat(F.lit("out/"), F.col("task_id").cast("string")).alias("path"),
         )
-        links = tasks.select(
-            "run_id", "task_id",
-            F.explode(F.array_compact(F.array(
-                F.when(F.col("seq") > 1, F.struct(F.lit("input").alias("role"), F.floor(F.col("seq") / 2).alias("at"))),
-                F.when(F.col("seq") % 3 == 0, F.struct(F.lit("wait_on").alias("role"), (F.col("seq") - 2).alias("at"))),
-            ))).alias("link"),
-        ).select("run_id", "task_id", "link.role", F.col("link.at").alias("seq"))
+        tasks = self.task().select("run_id", "task_id", "seq")
         before = tasks.select("run_id", "seq", F.col("task_id").cast("string").alias("other"))
-        linked = links.join(before, ["run_id", "seq"]).select(
-            "run_id", "task_id", "role",
-            F.when(F.col("role") == "input", F.concat(F.lit("out/"), "other")).otherwise(F.col("other")).alias("path"),
-        )
+
+        def link(role: str, rows: str, seq: str, path: str) -> DataFrame:
+            return tasks.where(rows).select("run_id", "task_id", F.expr(seq).alias("seq")).join(
+                before, ["run_id", "seq"]
+            ).select("run_id", "task_id", F.lit(role).alias("role"), F.expr(path).alias("path"))
+
+        parents = link("input", "seq > 1", "floor(seq / 2)", "concat('out/', other)")
+        waits = link("wait_on", "seq % 3 = 0", "seq - 2", "other")
         parts = self.base("lineitem").select(F.col("l_orderkey").alias("task_id"), "l_partkey").distinct()
         runs = self.base("orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("task_id"))
         external = parts.join(runs, "task_id").select(
             "run_id", "task_id", F.lit("input").alias("role"),
             F.concat(F.lit("part/"), F.col("l_partkey").cast("string")).alias("path"),
         )
-        return out.unionByName(linked).unionByName(external)
+        return out.unionByName(parents).unionByName(waits).unionByName(external)
 
     def manifest(self) -> DataFrame:
         return self.task_rows().where("state = 'completed' AND task_id % 7 <> 0").select(

@@ -1,11 +1,11 @@
-"""Session settings and the shared folder for checkpoints and intermediate tables."""
+"""Session settings and the shared folder for intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Settings the library expects on a cluster.  AQE re-plans joins on measured sizes and
 #: splits skewed partitions; everything else is the Spark default.
@@ -51,7 +51,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/runloom/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive the loss of any executor."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame, label: str, *counts: Column) -> tuple[DataFrame, list[int]]:
+    """Write ``df`` to the shared folder and read it back.
+
+    This cuts the lineage in a way that survives the loss of executors, and gives the planner
+    the true size, so that it broadcasts what is small and shuffles what is not.  ``counts``
+    are aggregates observed while writing; they cost no further job.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    observed: list[int] = []
+    if counts:
+        watch = Observation()
+        df = df.observe(watch, *[c.alias(f"c{i}") for i, c in enumerate(counts)])
+    df.write.parquet(path)
+    if counts:
+        seen = watch.get
+        observed = [seen.get(f"c{i}") or 0 for i in range(len(counts))]
+    return spark.read.schema(df.schema).parquet(path), observed

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from runloom.operators.runlog import parse_line, severity
+from runloom.operators.runlog import parse_line, stamped_state, stamped_time, state_stamp
 from runloom.session import scratch_path
 
 LATENESS = "10 minutes"
@@ -87,9 +87,9 @@ def task_states(events: DataFrame) -> DataFrame:
     """Latest state of every task (run_id, task, ts, state): the newest time wins, at equal times
     the more severe state.  A built-in aggregate, combined before the shuffle, so one very busy
     task is no bottleneck and late lines cannot undo a newer state."""
-    newest = F.max(F.struct("ts", severity(F.col("state")).alias("rank"), "state"))
-    return events.groupBy("run_id", "task").agg(newest.alias("s")).select(
-        "run_id", "task", F.col("s.state").alias("state"), F.col("s.ts").alias("ts")
+    newest = F.max(state_stamp(F.col("ts"), F.col("state")))
+    return events.groupBy("run_id", "task").agg(newest.alias("stamp")).select(
+        "run_id", "task", stamped_state(F.col("stamp")).alias("state"), stamped_time(F.col("stamp")).alias("ts")
     )
 
 
