@@ -27,7 +27,11 @@ MAX_HOT_GROUPS = 10_000
 def _sliced(
     df: DataFrame, keys: Sequence[str], slices: Sequence[Column], hot_rows: int
 ) -> tuple[DataFrame, list[str]]:
-    """Add slice columns, null outside hot groups."""
+    """Add slice columns, null outside hot groups, and ``_hot``.
+
+    A filter on ``_hot`` turns the outer join into an inner one, so that AQE drops everything
+    that serves only hot groups when there are none.
+    """
     hot = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -39,7 +43,7 @@ def _sliced(
     names = [f"_slice{i}" for i in range(len(slices))]
     marked = df.join(F.broadcast(hot), list(keys), "left")
     cut = marked.select(
-        *df.columns, *[F.when(F.col("_hot"), s).alias(n) for s, n in zip(slices, names)]
+        *df.columns, "_hot", *[F.when(F.col("_hot"), s).alias(n) for s, n in zip(slices, names)]
     )
     return cut, names
 
@@ -64,7 +68,7 @@ def running_sum(
     )
     before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        cut.where(F.col(names[0]).isNotNull())
+        cut.where("_hot")
         .groupBy(*keys, *names)
         .agg(F.sum("_v").alias("_total"))
         .select(*keys, *names, F.sum("_total").over(before).alias("_carry"))
@@ -103,7 +107,7 @@ def fill_forward(
     )
     before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     ends = (
-        cut.where(F.col(names[0]).isNotNull())
+        cut.where("_hot")
         .groupBy(*keys, *names)
         .agg(*[
             F.max_by(F.col(c), F.when(F.col(c).isNotNull(), position)).alias(f"_end_{c}")
@@ -139,7 +143,7 @@ def next_value(
     inside = Window.partitionBy(*keys, *names).orderBy(*order)
     along = Window.partitionBy(*keys).orderBy(*names)
     carry = (
-        cut.where(F.col(names[0]).isNotNull())
+        cut.where("_hot")
         .groupBy(*keys, *names)
         .agg(F.min_by(F.col(value), F.struct(*order)).alias("_first"))
         .select(*keys, *names, F.lead("_first").over(along).alias("_carry"))

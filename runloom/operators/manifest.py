@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runloom.functions.text import basename, redirect_token
+from runloom.session import stored
 
 #: Arguments rendered into one row.  A longer command continues in rows with a higher ``part``.
 ARGUMENTS_PER_PART = 10_000
@@ -195,13 +196,12 @@ def task_files(
         F.explode(F.array_compact(F.array("output1", "output2"))).alias("path"),
     )
     own = ports.select("task_id", "role", "path").unionByName(redirected)
-    chosen = first_pipes(pipes)
-    inherited = (
-        own.withColumnRenamed("task_id", "right_task_id")
-        .join(chosen, "right_task_id")
-        .select("task_id", "role", "path")
+    left_of = first_pipes(pipes).select(F.col("right_task_id").alias("task_id"), F.col("task_id").alias("left_id"))
+    return (
+        own.where("path <> ''").join(left_of, "task_id", "left")
+        .select(F.explode(F.array_compact(F.array("task_id", "left_id"))).alias("task_id"), "role", "path")
+        .distinct()
     )
-    return own.unionByName(inherited).where("path <> ''").distinct()
 
 
 def command_manifest(
@@ -215,8 +215,12 @@ def command_manifest(
     per_part: int = ARGUMENTS_PER_PART,
 ) -> DataFrame:
     """One row per program run (and part of a very long command): what was executed, where its
-    streams went, how many files it reads and writes, and how many tasks it waits on."""
-    composed = pipe_compose(blueprints(tasks, software, params, redirects, tmp_dir, per_part), pipes)
+    streams went, how many files it reads and writes, and how many tasks it waits on.
+
+    Commands before pipes are stored once, because both sides of a pipe read them.
+    """
+    blueprint, _ = stored(blueprints(tasks, software, params, redirects, tmp_dir, per_part), "blueprints")
+    composed = pipe_compose(blueprint, pipes)
     counts = (
         task_files(ports, redirects, pipes)
         .groupBy("task_id")

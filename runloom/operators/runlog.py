@@ -23,7 +23,7 @@ PHRASES = {
 }
 # A general error may be qualified by one word.
 GENERAL_ERROR = r"produced a general \w+ error"
-MESSAGE = r"^(?:(\S+) )?(" + "|".join([*PHRASES, GENERAL_ERROR]) + ")"
+MESSAGE = r"^(?:\S++ )?(" + "|".join([*PHRASES, GENERAL_ERROR]) + ")"
 
 # Which state wins when two have the same time.
 SEVERITY = {"pending": 0, "running": 1, "completed": 2, "failed": 3}
@@ -68,21 +68,18 @@ def parse_line(line: Column) -> Column:
 def task_events(log: DataFrame) -> DataFrame:
     """Log rows that speak about a task, with the state they leave it in.
 
-    One pattern finds task and phrase; state and kind of failure follow by lookup.
+    One pattern finds the phrase; state and kind of failure follow by lookup, so that a filter
+    on them costs one more match and not one per phrase.
     """
-    phrase = F.regexp_extract("message", MESSAGE, 2)
+    def lookup(pick: int, otherwise: str) -> Column:
+        pairs = [F.lit(x) for text, labels in PHRASES.items() for x in (text, labels[pick] or "")]
+        found = F.try_element_at(F.create_map(*pairs), F.col("phrase"))
+        return F.nullif(F.coalesce(found, F.lit(otherwise)), F.lit(""))
 
-    def lookup(pick: int) -> Column:
-        general = ("failed", "general")[pick]
-        value = F.when(F.col("_phrase") != "", general)
-        for text, labels in PHRASES.items():
-            value = F.when(F.col("_phrase") == text, F.lit(labels[pick])).otherwise(value)
-        return value
-
-    spoken = log.withColumn("_phrase", phrase).where("_phrase <> ''")
+    spoken = log.withColumn("phrase", F.regexp_extract("message", MESSAGE, 1)).where("phrase <> ''")
+    task = F.when(F.col("phrase") != "User aborted run", F.substring_index("message", " ", 1))
     return spoken.select(
-        *log.columns, F.regexp_extract("message", MESSAGE, 1).alias("task"),
-        lookup(0).alias("state"), lookup(1).alias("failure"),
+        "*", task.alias("task"), lookup(0, "failed").alias("state"), lookup(1, "general").alias("failure")
     )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from runloom.operators import config, graph, lineage, manifest, matrix, pools, runlog, steps
 from runloom.plans.oracle import using
 from runloom.plans.views import Views
-from runloom.session import scratch_path
+from runloom.session import scratch_path, stored
 from runloom.sources import sinks, text
 from runloom.streaming import runs
 
@@ -210,7 +210,7 @@ def sub_workflows(v: Views) -> DataFrame:
 
 
 def _blueprints(v: Views) -> DataFrame:
-    return manifest.blueprints(v.program(), v.software(), v.param(), v.redirect(), "tmp")
+    return stored(manifest.blueprints(v.program(), v.software(), v.param(), v.redirect(), "tmp"), "blueprints")[0]
 
 
 @query(using("wf_composed wf_file", """
