@@ -104,16 +104,17 @@ def config_inflate(leaves: DataFrame) -> DataFrame:
         leaves.where(F.size("path") > 0).select("config_id", "path", text(F.col("value")).alias("json")),
         "leaves", F.max(F.size("path")),
     )
-    for level in range(depth, 0, -1):
-        members = rows.where(F.size("path") == level).select(
+    folded = None
+    for level in range(depth or 0, 0, -1):
+        here = rows.where(F.size("path") == level)
+        here = here if folded is None else here.unionByName(folded)
+        folded = here.select(
             "config_id", F.slice("path", 1, level - 1).alias("path"), F.element_at("path", -1).alias("key"),
             F.concat(text(F.element_at("path", -1)), F.lit(":"), "json").alias("member"),
-        )
-        folded = members.groupBy("config_id", "path").agg(
+        ).groupBy("config_id", "path").agg(
             F.concat(F.lit("{"), F.expr("listagg(member, ',') WITHIN GROUP (ORDER BY key)"), F.lit("}")).alias("json")
         )
-        rows = rows.where(F.size("path") < level).unionByName(folded)
-    return rows.select("config_id", "json")
+    return (rows if folded is None else folded).select("config_id", "json")
 
 
 def config_overlay(leaves: DataFrame, prior: DataFrame) -> DataFrame:
