@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runloom.functions.text import stem, strip
+from runloom.functions.text import REGISTRY_STAMP, stem, strip
 from runloom.session import stored
 
 # Question types a typed leaf may have.
@@ -239,7 +239,8 @@ def registry_current(changes: DataFrame) -> DataFrame:
 def registry_list(changes: DataFrame) -> DataFrame:
     """Listing of installed names with Yes / No, in order of installation."""
     return registry_current(changes).orderBy("installed_at", "name").select(
-        "name", F.when(F.col("configured"), "Yes").otherwise("No").alias("configured"), "installed_at"
+        "name", F.when(F.col("configured"), "Yes").otherwise("No").alias("configured"),
+        F.date_format("installed_at", REGISTRY_STAMP).alias("installed_date"),
     )
 
 

@@ -182,7 +182,7 @@ def concurrency_series(attempts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFra
         )).alias("m"),
     ).groupBy("run_id", F.col("m.ts").alias("ts")).agg(F.sum("m.d").alias("d"))
     return running_sum(
-        moves, ["run_id"], ["ts"], [F.date_trunc("hour", "ts")], F.col("d"), "running", hot_rows
+        moves, ["run_id"], ["ts"], [F.date_trunc("minute", "ts")], F.col("d"), "running", hot_rows
     ).drop("d")
 
 
@@ -214,11 +214,16 @@ def running_set_change(attempts: DataFrame, poll_s: int = 600) -> DataFrame:
     ).select("run_id", "task_id", "c.poll_s", "c.change")
 
 
+def _log_slices() -> list[Column]:
+    """Log times are whole seconds; even a second that holds most of a log is cut by line."""
+    return [F.col("ts"), F.floor(F.col("line_no") / 1_000_000)]
+
+
 def launch_rank(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Order in which the tasks of a run were staged."""
     staged = events.where("state = 'running'").select("run_id", "task", "ts", "line_no")
     return row_rank(
-        staged, ["run_id"], ["ts", "line_no"], [F.date_trunc("hour", "ts")], "staged_pos", hot_rows
+        staged, ["run_id"], ["ts", "line_no"], _log_slices(), "staged_pos", hot_rows
     )
 
 
@@ -226,7 +231,7 @@ def state_dwell(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Seconds between consecutive states of a task."""
     rows = events.select("run_id", "task", "line_no", "ts", "state")
     following = next_value(
-        rows, ["run_id", "task"], ["ts", "line_no"], [F.date_trunc("hour", "ts")], "ts", "next_ts", hot_rows
+        rows, ["run_id", "task"], ["ts", "line_no"], _log_slices(), "ts", "next_ts", hot_rows
     )
     return following.select(
         "run_id", "task", "line_no", "state",

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runloom.functions.text import accepted_exit
 from runloom.operators import config, graph, lineage, manifest, matrix, pools, runlog, steps
 from runloom.plans.oracle import using
 from runloom.plans.views import Views
@@ -251,21 +252,30 @@ def program_inventory(v: Views) -> DataFrame:
     return manifest.program_inventory(v.program(), v.software())
 
 
+@query("""
+SELECT o_orderkey AS task_id, CASE WHEN CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 5 IN (0, 1, 128) ELSE o_orderkey % 5 = 0 END THEN 0 ELSE 1 END AS status FROM orders""")
+def exit_status(v: Views) -> DataFrame:
+    """Exit codes judged by the accepted codes of each task; every second task has no list."""
+    accepted = F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("0"), F.lit("1"), F.lit("128")))
+    return v.base("orders").select(
+        F.col("o_orderkey").alias("task_id"),
+        F.when(accepted_exit(accepted, F.col("o_orderkey") % 5), 0).otherwise(1).alias("status"),
+    )
+
+
 # --- matrices -----------------------------------------------------------------------------
 
 
 def _matrix_rows(v: Views) -> DataFrame:
-    lines = v.matrix_line()
-    return matrix.with_header(lines.where("row_id >= 0"), lines.where("row_id < 0"))
+    return matrix.with_header(v.matrix_body(), v.matrix_header())
 
 
 def _ragged_rows(v: Views) -> DataFrame:
     """Every 13th line with a cell too many, every 17th cut after two cells, every 19th blank."""
-    lines = v.matrix_line()
-    body = lines.where("row_id >= 0").withColumn("line", F.expr(
+    body = v.matrix_body().withColumn("line", F.expr(
         "CASE WHEN row_id % 13 = 0 THEN concat(line, '\t', 'more') WHEN row_id % 17 = 0 THEN substring_index(line, '\t', 2)"
         " WHEN row_id % 19 = 0 THEN ' ' ELSE line END"))
-    return matrix.with_header(body, lines.where("row_id < 0"))
+    return matrix.with_header(body, v.matrix_header())
 
 
 CELLS = """
@@ -719,7 +729,7 @@ def registry_current(v: Views) -> DataFrame:
 
 
 @query(using("wf_registry_change", f"""
-SELECT name, CASE WHEN configured THEN 'Yes' ELSE 'No' END AS configured, installed_at FROM ({REGISTRY})"""))
+SELECT name, CASE WHEN configured THEN 'Yes' ELSE 'No' END AS configured, strftime(installed_at, '%Y%b%d %H:%M:%S') AS installed_date FROM ({REGISTRY})"""))
 def registry_list(v: Views) -> DataFrame:
     return config.registry_list(v.registry_change())
 

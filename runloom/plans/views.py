@@ -42,7 +42,8 @@ class Views:
             "o_orderdate", "o_orderpriority", "o_orderstatus",
         )
         ranked = row_rank(
-            orders, ["run_id"], ["o_orderdate", "task_id"], [F.to_date("o_orderdate")], "seq"
+            orders, ["run_id"], ["o_orderdate", "task_id"],
+            [F.col("o_orderdate"), F.floor(F.col("task_id") / 1_000_000)], "seq",
         )
         task = F.col("task_id")
         return ranked.select(
@@ -105,6 +106,9 @@ class Views:
         )
 
     def software(self) -> DataFrame:
+        return self._table("site_software")
+
+    def _site_software(self) -> DataFrame:
         return self.base("orders").where("o_orderpriority <> '5-LOW'").select(
             F.col("o_orderpriority").alias("name"),
             F.concat(F.lit("/opt/site/"), "o_orderpriority").alias("path"),
@@ -144,6 +148,10 @@ class Views:
         return left.join(right, ["run_id", "seq"]).select("task_id", "pos", "right_task_id")
 
     def pool(self) -> DataFrame:
+        """Stored, so that the planner sees how small the site's configuration is."""
+        return self._table("site_pool")
+
+    def _site_pool(self) -> DataFrame:
         known = self.base("orders").where("o_orderpriority <> '5-LOW'").select("o_orderpriority").distinct()
         return known.select(
             F.col("o_orderpriority").alias("label"),
@@ -158,7 +166,7 @@ class Views:
             "run_id", "task_id", (F.col("seq") + F.col("task_id") % 5).alias("turn")
         )
         return row_rank(
-            tasks, ["run_id"], ["turn", "task_id"], [F.floor(F.col("turn") / 1000)], "staged_pos"
+            tasks, ["run_id"], ["turn", "task_id"], [F.floor(F.col("turn") / 100_000)], "staged_pos"
         ).drop("turn")
 
     def artifact_use(self) -> DataFrame:
@@ -175,7 +183,10 @@ class Views:
 
     def matrix_line(self) -> DataFrame:
         """Lines of many matrices; line -1 of each is its header."""
-        customers = self.base("customer").select(
+        return self.matrix_header().unionByName(self.matrix_body())
+
+    def matrix_body(self) -> DataFrame:
+        return self.base("customer").select(
             F.floor(F.col("c_custkey") / self.MATRIX_ROWS_PER_FILE).alias("matrix_id"),
             F.col("c_custkey").alias("row_id"),
             F.concat_ws(
@@ -185,12 +196,15 @@ class Views:
                 F.concat(F.lit("b"), F.col("c_custkey").cast("string")), F.lit("false"),
             ).alias("line"),
         )
-        headers = customers.select("matrix_id").distinct().select(
+
+    def matrix_header(self) -> DataFrame:
+        return self._table("matrix_headers")
+
+    def _matrix_headers(self) -> DataFrame:
+        return self.matrix_body().select("matrix_id").distinct().select(
             "matrix_id", F.lit(-1).cast("long").alias("row_id"),
             F.lit("\t".join(["--segment", "--dry", "--inputs", "positional_1", "positional_0"])).alias("line"),
         )
-        return headers.unionByName(customers)
-
     def attempt(self) -> DataFrame:
         return self.base("events").select(
             (F.col("user_id") % 15).alias("run_id"), F.col("event_id").alias("task_id"),

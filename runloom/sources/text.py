@@ -10,6 +10,7 @@ from runloom.functions.text import strip, words
 from runloom.operators.config import parse_config
 from runloom.operators.matrix import split_line
 from runloom.operators.runlog import capture_names, parse_line
+from runloom.session import stored
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -31,12 +32,13 @@ def matrix_scan(spark: SparkSession, path: str, hot_rows: int = HOT_ROWS) -> Dat
     """Rows of every matrix file under ``path``: (file, row_no, header, cells).
 
     The first line of a file is its header.  Headers are found by one aggregate per file and
-    joined back; a large file is read in many tasks.
+    stored, so that they are broadcast to the lines while they are small; a large file is read
+    in many tasks.
     """
     lines = read_lines(spark, path)
     place = F.struct("block", "at")
-    headers = lines.groupBy("file").agg(
-        F.min_by("value", place).alias("header"), F.min(place).alias("first")
+    headers, _ = stored(
+        lines.groupBy("file").agg(F.min_by("value", place).alias("header"), F.min(place).alias("first")), "headers"
     )
     body = lines.join(headers, "file").where(place != F.col("first")).select(
         *lines.columns, split_line(F.col("header")).alias("header"), split_line(F.col("value")).alias("cells")

@@ -114,10 +114,18 @@ def run_sessions(events: DataFrame, gap: str = "6 hours") -> DataFrame:
 
 def distinct_transitions(events: DataFrame) -> DataFrame:
     """Each state of a task once per hour, however often it is reported.  The hour carries the
-    watermark and is part of the key, so old keys leave the state."""
+    watermark and is part of the key, so old keys leave the state.
+
+    Streaming de-duplication has no partial step before its shuffle.  Repeats are therefore
+    removed per source partition first, so that one transition reported by most of the rows is
+    spread, and then once more over all.
+    """
+    key = ["run_id", "task", "state", "hour"]
     return (
-        events.select("run_id", "task", "state", F.date_trunc("hour", "ts").alias("hour"))
-        .withWatermark("hour", "70 minutes").dropDuplicates(["run_id", "task", "state", "hour"])
+        events.select("run_id", "task", "state", F.date_trunc("hour", "ts").alias("hour"),
+                      F.pmod(F.spark_partition_id(), F.lit(64)).alias("_salt"))
+        .withWatermark("hour", "70 minutes").dropDuplicates([*key, "_salt"])
+        .select(*key).dropDuplicates(key)
     )
 
 
