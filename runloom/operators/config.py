@@ -24,9 +24,6 @@ BUILT_IN_CONFIGS = [
     "basic-threads-8", "basic-threads-4", "basic-threads-2", "basic-threads-1", "sequential-local",
 ]
 
-_INNER = "startswith(schema_of_variant({0}), 'OBJECT') AND try_variant_get({0}, '$.q_type', 'variant') IS NULL"
-
-
 def parse_config(files: DataFrame, strict: bool = False) -> DataFrame:
     """Parse ``json`` into the variant ``tree``; ``valid`` tells whether it was JSON.
 
@@ -48,18 +45,21 @@ def config_flatten(configs: DataFrame) -> DataFrame:
     that of the opening braces of the text, which no tree is deeper than; once nothing is left
     to descend into, a step does nothing.
     """
-    node = "named_struct('path', {0}, 'value', {1}, 'inner', coalesce(" + _INNER.format("{1}") + ", false))"
+    node = "named_struct('path', {0}, 'value', {1}, 'members', TRY_CAST({1} AS MAP<STRING, VARIANT>))"
     start = "array(" + node.format("CAST(array() AS ARRAY<STRING>)", "tree") + ")"
     member = node.format("array_append(n.path, e.key)", "e.value")
-    step = f"""flatten(transform(acc, n -> CASE WHEN n.inner
-        THEN transform(map_entries(CAST(n.value AS MAP<STRING, VARIANT>)), e -> {member}) ELSE array(n) END))"""
-    kind = "ARRAY<STRUCT<path: ARRAY<STRING>, value: VARIANT, inner: BOOLEAN>>"
+    inner = "n.members IS NOT NULL AND NOT map_contains_key(n.members, 'q_type')"
+    step = f"""flatten(transform(acc, n -> CASE WHEN {inner}
+        THEN transform(map_entries(n.members), e -> {member}) ELSE array(n) END))"""
+    kind = "ARRAY<STRUCT<path: ARRAY<STRING>, value: VARIANT, members: MAP<STRING, VARIANT>>>"
     nodes = configs.select("config_id", F.expr(
-        f"""reduce(sequence(1, 1 + len(to_json(tree)) - len(replace(to_json(tree), '{{', ''))),
-            CAST({start} AS {kind}),
-            (acc, i) -> CASE WHEN exists(acc, n -> n.inner) THEN CAST({step} AS {kind}) ELSE acc END)"""
+        f"""reduce(sequence(1, 1 + regexp_count(to_json(tree), '[{{]')), CAST({start} AS {kind}),
+            (acc, i) -> CASE WHEN exists(acc, n -> {inner}) THEN CAST({step} AS {kind}) ELSE acc END)"""
     ).alias("nodes"))
-    leaves = nodes.select("config_id", F.explode("nodes").alias("n")).select(
+    # The outer form, because the optimizer would compute the whole array a second time in a
+    # filter for empty ones; an empty configuration gives one null, dropped here.
+    exploded = nodes.select("config_id", F.explode_outer("nodes").alias("n")).where("n IS NOT NULL")
+    leaves = exploded.select(
         "config_id", F.col("n.path").alias("path"),
         F.expr("schema_of_variant(n.value)").alias("shape"),
         F.expr("try_variant_get(n.value, '$', 'string')").alias("text"),

@@ -29,7 +29,8 @@ def with_header(lines: DataFrame, headers: DataFrame) -> DataFrame:
 
 def matrix_cells(rows: DataFrame) -> DataFrame:
     """One row per cell; a cell beyond the header has no header."""
-    return rows.select("matrix_id", "row_id", "header", F.posexplode("cells").alias("pos", "value")).select(
+    cells = rows.select("matrix_id", "row_id", "header", F.posexplode_outer("cells").alias("pos", "value"))
+    return cells.where("pos IS NOT NULL").select(
         "matrix_id", "row_id", F.col("pos").cast("long").alias("pos"),
         F.get("header", F.col("pos")).alias("header"), "value",
     )

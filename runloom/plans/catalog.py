@@ -749,8 +749,8 @@ def installed_lookup(v: Views) -> DataFrame:
 
 def _document_lines(v: Views) -> DataFrame:
     return v.base("documents").select(
-        "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
-    )
+        "doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")
+    ).where("line IS NOT NULL")
 
 
 TEXT_LINES = """
