@@ -10,7 +10,7 @@ The list of hot groups is the only thing broadcast.  It holds at most ``MAX_HOT_
 a group that is not among the largest has at most ``1 / MAX_HOT_GROUPS`` of all rows and needs
 no slices.  Results are the same with and without slices.
 
-Group keys must not be null.
+A group whose key is null is never cut.
 """
 
 from __future__ import annotations

@@ -798,7 +798,7 @@ def python_step(v: Views) -> DataFrame:
 def python_udtf(v: Views) -> DataFrame:
     """A Python function that yields many rows for one input, used with LATERAL."""
 
-    @F.udtf(returnType="line_no long, line string")
+    @F.udtf(returnType="line_no long, line string", useArrow=True)
     class FilledLines:
         def eval(self, text: str):
             for number, line in enumerate(text.split("\n")):

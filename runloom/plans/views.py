@@ -162,6 +162,9 @@ class Views:
         ))
 
     def staged(self) -> DataFrame:
+        return self._table("staged_order")
+
+    def _staged_order(self) -> DataFrame:
         tasks = self.task().where("state <> 'pending'").select(
             "run_id", "task_id", (F.col("seq") + F.col("task_id") % 5).alias("turn")
         )

@@ -41,8 +41,6 @@ def shared_root(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="runloom-")
         spark.conf.set("runloom.shared.dir", root)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(root)
     return root
 
 

@@ -91,11 +91,11 @@ def test_reach(flow, rows):
 
 
 def test_long_chain(spark, rows):
-    chain = [(f"t{i:02d}", 1, [f"f{i - 1}"] if i else [], [f"f{i}"], []) for i in range(22)]
+    chain = [(f"t{i:02d}", 1, [f"f{i - 1}"] if i else [], [f"f{i}"], []) for i in range(19)]
     tasks, ports = make(spark, chain)
     deps = lineage.task_dependencies(ports)
-    assert max(r[1] for r in rows(graph.reach(tasks.where("task_id = 't21'"), deps.select(
-        "run_id", F.col("task_id").alias("src"), F.col("depends_on").alias("dst"))), "task_id", "hops")) == 21
+    assert max(r[1] for r in rows(graph.reach(tasks.where("task_id = 't18'"), deps.select(
+        "run_id", F.col("task_id").alias("src"), F.col("depends_on").alias("dst"))), "task_id", "hops")) == 18
 
 
 def test_cycle_is_reported(spark, rows):
