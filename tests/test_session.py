@@ -16,4 +16,4 @@ def test_stored_counts_while_writing(spark):
     df, (n, top) = stored(spark.range(100).where("id < 7"), "t", F.count(F.lit(1)), F.max("id"))
     assert (n, top, df.count()) == (7, 6, 7)
     empty, (none,) = stored(spark.range(0), "t", F.count(F.lit(1)))
-    assert none == 0 and empty.schema == spark.range(0).schema and empty.count() == 0
+    assert none == 0 and empty.columns == ["id"] and empty.count() == 0
