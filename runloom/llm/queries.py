@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runloom.llm import simhash_dedup, vector_dedup
+from runloom.llm import contamination, language_id, shards, simhash_dedup, vector_dedup
 from runloom.llm.common import table
 
 
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(table(spark, folder, "documents"))
+
+
 def op4_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return vector_dedup.near_duplicates(table(spark, folder, "embeddings"))
 
@@ -16,15 +20,26 @@ def op5_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_vector_dedup, op5_simhash_dedup)}
+def op9_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return shards.manifest(table(spark, folder, "documents"))
+
+
+def op10_contamination(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each document and benchmark item that it holds."""
+    found = contamination.contained(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.drop("text_hash")
+
+
+QUERIES = {f.__name__: f for f in (
+    op3_language_id, op4_vector_dedup, op5_simhash_dedup, op9_shards, op10_contamination)}
 
 ORACLE_SQL = {
     "op4_vector_dedup": """
         WITH RECURSIVE v AS (
             SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
             WHERE label IS NOT NULL AND embedding IS NOT NULL
-              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-              AND len(list_filter(embedding, x -> x <> 0)) > 0),
+              AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+              AND len([x for x in embedding if x <> 0]) > 0),
         links AS (
             SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
             ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
@@ -37,4 +52,20 @@ ORACLE_SQL = {
         SELECT e.vec_id, coalesce(d.n, 0) AS n_links, l.component_id, e.vec_id = l.component_id AS kept
         FROM embeddings e JOIN least l ON l.id = e.vec_id LEFT JOIN degree d ON d.a = e.vec_id
     """,
+    "op10_contamination": r"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+        d AS (
+            SELECT DISTINCT doc_id, hash(w) AS h, unnest([array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)]) AS s
+            FROM w WHERE len(w) >= 5),
+        v AS (
+            SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+        i AS (
+            SELECT DISTINCT item_id, unnest([array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)]) AS s
+            FROM v WHERE len(w) >= 5),
+        n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id)
+        SELECT doc_id, item_id, count(*) AS shared, any_value(n) AS item_shingles, count(*) / any_value(n) AS containment
+        FROM d JOIN i USING (s) JOIN n USING (item_id)
+        GROUP BY doc_id, h, item_id HAVING count(*) >= 0.8 * any_value(n)
+    """,
 }
