@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from runloom.llm import contamination, language_id, shards, simhash_dedup, vector_dedup
+from runloom.llm import contamination, language_id, mixing, shards, simhash_dedup, token_files, vector_dedup
 from runloom.llm.common import table
 
 
@@ -20,6 +21,16 @@ def op5_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, folder, "documents"))
 
 
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    plan = mixing.mix(table(spark, folder, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    written = token_files.write(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read(spark, written)
+
+
 def op9_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shards.manifest(table(spark, folder, "documents"))
 
@@ -31,7 +42,7 @@ def op10_contamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_language_id, op4_vector_dedup, op5_simhash_dedup, op9_shards, op10_contamination)}
+    op3_language_id, op4_vector_dedup, op5_simhash_dedup, op6_mixing, op8_token_files, op9_shards, op10_contamination)}
 
 ORACLE_SQL = {
     "op4_vector_dedup": """
