@@ -5,10 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from runloom.llm import contamination, language_id, mixing, shards, simhash_dedup, token_files, vector_dedup
+from runloom.llm import contamination, html_text, language_id, mixing, shards, simhash_dedup, token_files, url_filter, vector_dedup
 from runloom.llm.common import table
 
 
+def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))
+
+
+def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.classify(table(spark, folder, "pages"))
+
+
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(table(spark, folder, "documents"))
 
@@ -42,7 +50,7 @@ def op10_contamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_language_id, op4_vector_dedup, op5_simhash_dedup, op6_mixing, op8_token_files, op9_shards, op10_contamination)}
+    op1_html_text, op2_url_filter, op3_language_id, op4_vector_dedup, op5_simhash_dedup, op6_mixing, op8_token_files, op9_shards, op10_contamination)}
 
 ORACLE_SQL = {
     "op4_vector_dedup": """
