@@ -6,20 +6,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runloom.llm import simhash_dedup
+from runloom.llm import contamination, language_id, mixing, shards, simhash_dedup
 from runloom.llm.common import table
 from runloom.session import stored
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told.
+
+    Those without a letter, and null texts, are rejected.  The model learns from labelled documents that are not held out.
+    """
+    learn = docs.select("doc_id", "text", "lang").where(~language_id.held_out(docs["doc_id"]))
+    model = language_id.train(learn)
+    found = language_id.predict(docs, model, "_")
+    return found.where(found["_lang_pred"] != language_id.UNKNOWN).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that of the least doc_id."""
     return simhash_dedup.keep_one(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return contamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, one row for each reading."""
+    return mixing.mixed(docs).select(*docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in random order with ``shard`` and ``slot``, one slot each."""
+    return shards.shuffled(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("near_duplicates", near_duplicates),
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("mixing", mix_sources),
+    ("sharding", shard),
 ]
 
-#: Some stages train a model, so that SQL cannot state the rows; tests compare the stages with brute force.
+#: The first stages use a trained model and fingerprints that SQL lacks; tests compare each stage with brute force.
 ORACLE_SQL = None
 
 

@@ -16,8 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 BUCKETS = 1 << 15
 LONGEST = 4
@@ -140,32 +142,32 @@ def train(labelled: DataFrame, per_language: int = TEXTS_PER_LANGUAGE, most: int
     return fit(rows[order], [found[i]["lang"] for i in order])
 
 
-def predict(docs: DataFrame, model: Model, columns: str) -> DataFrame:
-    """``columns`` of ``docs`` with ``lang_pred``, ``score`` (0 to 1) and ``raw``, the regression's value (near 1 for a sure case).
+def predict(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score`` (0 to 1) and ``raw``, the regression's value (near 1 for a sure case).
 
     A null text and one without a letter are ``und`` with score 0, as is every text when nothing was learned.
+    ``prefix`` keeps the new names apart from those of ``docs``, which pass unchanged.
     """
-    names = [c.strip().split()[0] for c in columns.split(",")]
     box = docs.sparkSession.sparkContext.broadcast(model)
+    names = [prefix + n for n in ("lang_pred", "score", "raw")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = box.value
         for batch in batches:
-            scores, known = model.scores([t if isinstance(t, str) else None for t in batch["text"]])
-            out = batch[names].copy()
+            scores, known = model.scores(batch.column("text").to_pylist())
             if model.languages:
                 best = scores.argmax(axis=1)
                 raw = scores[np.arange(len(best)), best]
                 label = np.where(known, np.array(model.languages, dtype=object)[best], UNKNOWN)
             else:
-                raw, label = np.zeros(len(batch)), np.full(len(batch), UNKNOWN, dtype=object)
-            out["lang_pred"] = label
-            out["score"] = np.where(known & (label != UNKNOWN), np.clip((raw + 1) / 2, 0, 1), 0.0)
-            out["raw"] = np.where(known, raw, 0.0)
-            yield out
+                raw, label = np.zeros(batch.num_rows), np.full(batch.num_rows, UNKNOWN, dtype=object)
+            score = np.where(known & (label != UNKNOWN), np.clip((raw + 1) / 2, 0, 1), 0.0)
+            new = [pa.array(label, pa.string()), pa.array(score, pa.float64()), pa.array(np.where(known, raw, 0.0), pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *names])
 
-    wanted = list(dict.fromkeys([*names, "text"]))
-    return docs.select(*wanted).mapInPandas(run, f"{columns}, lang_pred string, score double, raw double")
+    schema = StructType([*docs.schema.fields, *[
+        StructField(n, t) for n, t in zip(names, (StringType(), DoubleType(), DoubleType()))]])
+    return docs.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -176,4 +178,4 @@ def identify(docs: DataFrame) -> DataFrame:
     """
     marked = docs.select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
     model = train(marked.where("NOT held_out"))
-    return predict(marked, model, "doc_id long, held_out boolean").select("doc_id", "held_out", "lang_pred", "score")
+    return predict(marked.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")

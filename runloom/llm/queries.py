@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from runloom.llm import contamination, html_text, language_id, mixing, shards, simhash_dedup, token_files, url_filter, vector_dedup
+from runloom.llm import (
+    contamination, html_text, language_id, mixing, personal_data, shards, simhash_dedup, token_files, url_filter, vector_dedup,
+)
 from runloom.llm.common import table
 
 
@@ -34,6 +36,10 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.find(table(spark, folder, "documents"))
+
+
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     written = token_files.write(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return token_files.read(spark, written)
@@ -50,7 +56,7 @@ def op10_contamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_html_text, op2_url_filter, op3_language_id, op4_vector_dedup, op5_simhash_dedup, op6_mixing, op8_token_files, op9_shards, op10_contamination)}
+    op1_html_text, op2_url_filter, op3_language_id, op4_vector_dedup, op5_simhash_dedup, op6_mixing, op7_personal_data, op8_token_files, op9_shards, op10_contamination)}
 
 ORACLE_SQL = {
     "op4_vector_dedup": """
