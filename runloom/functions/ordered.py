@@ -1,16 +1,9 @@
 """Order-dependent columns that stay parallel inside one group.
 
-A window puts each group into one task.  Here a group with more than ``hot_rows`` rows is cut
-into slices by expressions that never decrease along the sort order (a day, an hour, a block
-of sequence numbers).  The window then runs per slice, and what earlier slices contribute is
-added from one row per slice.  Groups that are not hot keep the plain window, so the usual
-case costs one shuffle.
-
-The list of hot groups is the only thing broadcast.  It holds at most ``MAX_HOT_GROUPS`` keys;
-a group that is not among the largest has at most ``1 / MAX_HOT_GROUPS`` of all rows and needs
-no slices.  Results are the same with and without slices.
-
-A group whose key is null is never cut.
+A window puts each group into one task.  Here every group is cut into slices by expressions that never
+decrease along the sort order (a day, an hour, a block of sequence numbers; nulls come first).  The window runs per slice, and
+what the other slices contribute is added from one row per slice.  All groups are treated alike, whatever
+their size.  Keys and slices are compared as structures, in which null equals null.
 """
 
 from __future__ import annotations
@@ -20,136 +13,64 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 2_000_000
-MAX_HOT_GROUPS = 10_000
+_PLACE = ["_key", "_slice"]
+
 
+def _sliced(df: DataFrame, keys: Sequence[str], slices: Sequence[Column]) -> DataFrame:
+    return df.select(
+        *df.columns, F.struct(*keys).alias("_key"), F.struct(*[s.alias(f"s{i}") for i, s in enumerate(slices)]).alias("_slice"))
 
-def _sliced(
-    df: DataFrame, keys: Sequence[str], slices: Sequence[Column], hot_rows: int
-) -> tuple[DataFrame, list[str]]:
-    """Add slice columns, null outside hot groups, and ``_hot``.
 
-    A filter on ``_hot`` turns the outer join into an inner one, so that AQE drops everything
-    that serves only hot groups when there are none.
-    """
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > hot_rows)
-        .orderBy(F.desc("_n"))
-        .limit(MAX_HOT_GROUPS)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
-    names = [f"_slice{i}" for i in range(len(slices))]
-    marked = df.join(F.broadcast(hot), list(keys), "left")
-    cut = marked.select(
-        *df.columns, "_hot", *[F.when(F.col("_hot"), s).alias(n) for s, n in zip(slices, names)]
-    )
-    return cut, names
+def _inside(order: Sequence[str | Column]):
+    return Window.partitionBy(*_PLACE).orderBy(*order)
 
 
-def _carry_join(cut: DataFrame, carry: DataFrame, keys: Sequence[str], names: list[str]) -> DataFrame:
-    return cut.join(carry, [*keys, *names], "left")
+def _along():
+    return Window.partitionBy("_key").orderBy("_slice")
 
 
 def running_sum(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str | Column],
-    slices: Sequence[Column],
-    value: Column,
-    out: str,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], slices: Sequence[Column], value: Column, out: str
 ) -> DataFrame:
     """Sum of ``value`` from the first row of the group to the current one."""
-    cut, names = _sliced(df.withColumn("_v", value), keys, slices, hot_rows)
-    inside = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        cut.where("_hot")
-        .groupBy(*keys, *names)
-        .agg(F.sum("_v").alias("_total"))
-        .select(*keys, *names, F.sum("_total").over(before).alias("_carry"))
-    )
-    local = cut.withColumn("_local", F.sum("_v").over(inside))
-    return _carry_join(local, carry, keys, names).select(
-        *df.columns, (F.col("_local") + F.coalesce(F.col("_carry"), F.lit(0))).alias(out)
-    )
+    cut = _sliced(df.withColumn("_v", value), keys, slices)
+    before = _along().rowsBetween(Window.unboundedPreceding, -1)
+    carry = cut.groupBy(*_PLACE).agg(F.sum("_v").alias("_total")).select(*_PLACE, F.sum("_total").over(before).alias("_carry"))
+    upto = _inside(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = cut.withColumn("_local", F.sum("_v").over(upto))
+    total = F.when(F.col("_carry").isNull(), F.col("_local")).otherwise(F.col("_carry") + F.coalesce("_local", F.lit(0)))
+    return local.join(carry, _PLACE).select(*df.columns, total.alias(out))
 
 
 def row_rank(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str | Column],
-    slices: Sequence[Column],
-    out: str,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], slices: Sequence[Column], out: str
 ) -> DataFrame:
     """1-based position of each row in its group."""
-    return running_sum(df, keys, order, slices, F.lit(1).cast("long"), out, hot_rows)
+    return running_sum(df, keys, order, slices, F.lit(1).cast("long"), out)
 
 
 def fill_forward(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str | Column],
-    slices: Sequence[Column],
-    columns: Sequence[str],
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], slices: Sequence[Column], columns: Sequence[str]
 ) -> DataFrame:
     """Replace nulls by the last value seen before them in the group."""
     position = F.struct(*order)
-    cut, names = _sliced(df, keys, slices, hot_rows)
-    inside = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    ends = (
-        cut.where("_hot")
-        .groupBy(*keys, *names)
-        .agg(*[
-            F.max_by(F.col(c), F.when(F.col(c).isNotNull(), position)).alias(f"_end_{c}")
-            for c in columns
-        ])
-    )
-    carry = ends.select(
-        *keys, *names,
-        *[F.last(f"_end_{c}", ignorenulls=True).over(before).alias(f"_carry_{c}") for c in columns],
-    )
-    local = cut.select(
-        *df.columns, *names,
-        *[F.last(c, ignorenulls=True).over(inside).alias(f"_fill_{c}") for c in columns],
-    )
-    joined = _carry_join(local, carry, keys, names)
-    return joined.select(*[
-        F.coalesce(f"_fill_{c}", f"_carry_{c}").alias(c) if c in columns else F.col(c)
-        for c in df.columns
-    ])
+    cut = _sliced(df, keys, slices)
+    before = _along().rowsBetween(Window.unboundedPreceding, -1)
+    upto = _inside(order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = cut.groupBy(*_PLACE).agg(*[
+        F.max_by(F.col(c), F.when(F.col(c).isNotNull(), position)).alias(f"_end_{c}") for c in columns])
+    carry = ends.select(*_PLACE, *[F.last(f"_end_{c}", ignorenulls=True).over(before).alias(f"_carry_{c}") for c in columns])
+    local = cut.select("*", *[F.last(c, ignorenulls=True).over(upto).alias(f"_fill_{c}") for c in columns])
+    return local.join(carry, _PLACE).select(*[
+        F.coalesce(f"_fill_{c}", f"_carry_{c}").alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def next_value(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str | Column],
-    slices: Sequence[Column],
-    value: str,
-    out: str,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], slices: Sequence[Column], value: str, out: str
 ) -> DataFrame:
     """``value`` of the following row in the group, null on the last one."""
-    cut, names = _sliced(df, keys, slices, hot_rows)
-    inside = Window.partitionBy(*keys, *names).orderBy(*order)
-    along = Window.partitionBy(*keys).orderBy(*names)
-    carry = (
-        cut.where("_hot")
-        .groupBy(*keys, *names)
-        .agg(F.min_by(F.col(value), F.struct(*order)).alias("_first"))
-        .select(*keys, *names, F.lead("_first").over(along).alias("_carry"))
-    )
-    local = cut.withColumn("_row", F.lead(F.struct(F.col(value).alias("v"))).over(inside))
-    return _carry_join(local, carry, keys, names).select(
-        *df.columns,
-        F.when(F.col("_row").isNotNull(), F.col("_row.v")).otherwise(F.col("_carry")).alias(out),
-    )
+    cut = _sliced(df, keys, slices)
+    first = cut.groupBy(*_PLACE).agg(F.min_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_first"))
+    carry = first.select(*_PLACE, F.lead("_first").over(_along()).alias("_carry"))
+    local = cut.withColumn("_row", F.lead(F.struct(F.col(value).alias("v"))).over(_inside(order)))
+    return local.join(carry, _PLACE).select(*df.columns, F.coalesce("_row", "_carry").getField("v").alias(out))

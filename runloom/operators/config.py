@@ -37,23 +37,29 @@ def parse_config(files: DataFrame, strict: bool = False) -> DataFrame:
     )
 
 
+#: How deep the braces of ``tree`` are nested; texts, which may hold braces, are taken out first.
+DEPTH = r"""aggregate(split(regexp_replace(regexp_replace(to_json(tree), '"(?:[^"\\\\]|\\\\.)*+"', ''), '[^{}]', ''), ''),
+    named_struct('d', 0, 'm', 0),
+    (a, c) -> named_struct('d', a.d + CASE c WHEN '{' THEN 1 WHEN '}' THEN -1 ELSE 0 END, 'm', greatest(a.m, a.d + CASE c WHEN '{' THEN 1 ELSE 0 END)),
+    a -> a.m)"""
+
+
 def config_flatten(configs: DataFrame) -> DataFrame:
     """Leaves of each configuration (config_id, tree).
 
     A leaf is a text or an object with ``q_type``; other objects are descended into, within the
-    row and without a shuffle.  Anything else is a leaf with ``error``.  The number of steps is
-    that of the opening braces of the text, which no tree is deeper than; once nothing is left
-    to descend into, a step does nothing.
+    row and without a shuffle, and so is the outermost one whatever its keys.  Anything else is a leaf with ``error``.  The
+    number of steps is the depth to which braces are nested.
     """
     node = "named_struct('path', {0}, 'value', {1}, 'members', TRY_CAST({1} AS MAP<STRING, VARIANT>))"
     start = "array(" + node.format("CAST(array() AS ARRAY<STRING>)", "tree") + ")"
     member = node.format("array_append(n.path, e.key)", "e.value")
-    inner = "n.members IS NOT NULL AND NOT map_contains_key(n.members, 'q_type')"
+    inner = "n.members IS NOT NULL AND (size(n.path) = 0 OR NOT map_contains_key(n.members, 'q_type'))"
     step = f"""flatten(transform(acc, n -> CASE WHEN {inner}
         THEN transform(map_entries(n.members), e -> {member}) ELSE array(n) END))"""
     kind = "ARRAY<STRUCT<path: ARRAY<STRING>, value: VARIANT, members: MAP<STRING, VARIANT>>>"
     nodes = configs.select("config_id", F.expr(
-        f"""reduce(sequence(1, 1 + regexp_count(to_json(tree), '[{{]')), CAST({start} AS {kind}),
+        f"""reduce(sequence(1, 1 + {DEPTH}), CAST({start} AS {kind}),
             (acc, i) -> CASE WHEN exists(acc, n -> {inner}) THEN CAST({step} AS {kind}) ELSE acc END)"""
     ).alias("nodes"))
     # The outer form, because the optimizer would compute the whole array a second time in a

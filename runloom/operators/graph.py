@@ -1,160 +1,297 @@
-"""Iterative lineage over dependencies (run_id, task_id, depends_on).
+"""Lineage that needs more than one step, over dependencies (run_id, task_id, depends_on).
 
-Each round joins a shrinking frontier with the dependencies and writes what is left to the
-shared folder.  That cuts the lineage, survives lost executors, and tells the planner the true
-sizes: a small frontier is broadcast, a large one is shuffled.  The driver sees only row counts,
-which are observed while writing.
+A run is a graph of its own, and almost every run is small.  Runs of up to ``run_rows`` dependencies are therefore brought
+together by run in one shuffle and solved where they lie, all runs of a partition at once.  Longer ones, which no task
+could hold, are solved by rounds of joins; each round drops the dependencies that it has used up, and what it adds is written to the
+shared folder, which cuts the lineage, survives lost executors and tells the planner the true sizes.  Both ways give the same rows.
+The driver sees only row counts, which are observed while writing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from runloom.session import stored
 
 KEY = ["run_id", "task_id"]
+#: Dependencies of a run that is solved in one task.
+RUN_ROWS = 200_000
+#: Rounds after which what was added is written as one table.
+FOLD = 8
 
 
 def _stack(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def schedule(tasks: DataFrame, dependencies: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Peel off tasks whose dependencies are all done, round by round.
+def _parted(edges: DataFrame, run_rows: int) -> tuple[DataFrame, int]:
+    """The runs with more than ``run_rows`` dependencies, and how many they are."""
+    long = edges.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > run_rows).select("run_id")
+    return (found := stored(long, "long-runs", F.count(F.lit(1))))[0], found[1][0]
 
-    Returns (levels, rest).  ``levels`` has the round of each task, which is its longest
-    distance from a source, and its earliest start and finish with unlimited workers
-    (``tasks`` needs ``duration_s``).  ``rest`` are the tasks on a cycle or behind one; the
-    loop ends either way.  A dependency on an unknown task does not hold anything up.
+
+def _solve(
+    tasks: DataFrame, edges: DataFrame, values: list[str], solve: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]],
+    out: list[str], names: str | None = None,
+) -> DataFrame:
+    """Run ``solve(values of the tasks, source rows, target rows)`` on the graphs of each partition.
+
+    ``tasks`` has ``run_id, task_id`` and long ``values``; ``edges`` has ``run_id, src, dst``; both ends must be among the tasks.
+    ``solve`` returns long columns ``out`` for all tasks; rows whose first one is negative are left out.  Tasks are numbered in
+    order of run and id; ``names`` is a further column of such numbers, given back as the tasks' ids.
     """
-    known = tasks.select("run_id", F.col("task_id").alias("depends_on"))
-    edges, _ = stored(
-        dependencies.select(*KEY, "depends_on").distinct().join(known, ["run_id", "depends_on"], "left_semi"),
-        "edges",
-    )
-    incoming = edges.groupBy(*KEY).agg(F.count(F.lit(1)).alias("waiting"))
+    kind = tasks.schema["task_id"].dataType.simpleString()
+    nothing = [F.lit(None).cast("long").alias(v) for v in values]
+    both = tasks.select(*KEY, F.lit(None).cast(kind).alias("other"), *values).unionByName(
+        edges.select("run_id", F.col("src").alias("task_id"), F.col("dst").alias("other"), *nothing))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        frame = pd.concat(held, ignore_index=True)
+        link = frame["other"].notna().to_numpy()
+        nodes, links = frame[~link].sort_values(KEY, ignore_index=True), frame[link]
+        place = pd.MultiIndex.from_arrays([nodes["run_id"], nodes["task_id"]])
+        src = place.get_indexer(pd.MultiIndex.from_arrays([links["run_id"], links["task_id"]]))
+        dst = place.get_indexer(pd.MultiIndex.from_arrays([links["run_id"], links["other"].astype(nodes["task_id"].dtype)]))
+        found = solve(nodes[values].to_numpy(dtype=np.int64) if values else np.zeros((len(nodes), 0)), src, dst)
+        if names:
+            found[names] = nodes["task_id"].to_numpy()[found[names]]
+        result = nodes[KEY].assign(**found)
+        yield result[result[out[0]] >= 0 if out else slice(None)][[*KEY, *out, *([names] if names else [])]]
+
+    schema = StructType([
+        tasks.schema["run_id"], tasks.schema["task_id"], *[StructField(c, LongType()) for c in out],
+        *([StructField(names, tasks.schema["task_id"].dataType)] if names else [])])
+    return both.repartition("run_id").mapInPandas(run, schema)
+
+
+def _outgoing(src: np.ndarray, dst: np.ndarray, n: int) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """From rows to the positions, in ``src``'s order, and targets of all links that leave them."""
+    order = np.argsort(src, kind="stable")
+    first = np.searchsorted(src[order], np.arange(n + 1))
+
+    def of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = first[rows + 1] - first[rows]
+        start = np.repeat(first[rows] - np.append(0, np.cumsum(size)[:-1]), size)
+        at = start + np.arange(size.sum())
+        return np.repeat(rows, size), dst[order[at]]
+
+    return of
+
+
+def _peel(values: np.ndarray, src: np.ndarray, dst: np.ndarray) -> dict[str, np.ndarray]:
+    """Level, start and finish of every task; level -1 on a cycle or behind one.  Links go from a task to those that need it."""
+    n = len(values)
+    duration = values[:, 0]
+    waiting = np.bincount(dst, minlength=n)
+    level, start = np.full(n, -1), np.zeros(n, dtype=np.int64)
+    after = _outgoing(src, dst, n)
+    ready, depth = np.flatnonzero(waiting == 0), 0
+    while len(ready):
+        level[ready] = depth
+        source, target = after(ready)
+        np.maximum.at(start, target, start[source] + duration[source])
+        np.subtract.at(waiting, target, 1)
+        target = np.unique(target)
+        ready, depth = target[waiting[target] == 0], depth + 1
+    return {"level": level, "start_s": start, "finish_s": start + duration}
+
+
+def _spread(values: np.ndarray, src: np.ndarray, dst: np.ndarray) -> dict[str, np.ndarray]:
+    """Least number of links from a task whose value is 1; -1 where none leads."""
+    hops = np.where(values[:, 0] == 1, 0, -1)
+    after = _outgoing(src, dst, len(values))
+    now, depth = np.flatnonzero(hops == 0), 0
+    while len(now):
+        depth += 1
+        target = np.unique(after(now)[1])
+        now = target[hops[target] < 0]
+        hops[now] = depth
+    return {"hops": hops}
+
+
+def _merge(values: np.ndarray, src: np.ndarray, dst: np.ndarray) -> dict[str, np.ndarray]:
+    """Least task of each connected part."""
+    label = np.arange(len(values))
+    while True:
+        low = np.minimum(label[src], label[dst])
+        after = label.copy()
+        for side in (src, dst, label[src], label[dst]):
+            np.minimum.at(after, side, low)
+        after = after[after]
+        if np.array_equal(after, label):
+            return {"component": label}
+        label = after
+
+
+def _levels_by_rounds(tasks: DataFrame, edges: DataFrame) -> DataFrame:
+    """``run_id, task_id, level, start_s, finish_s``, with level null for tasks on a cycle or behind one."""
     is_ready = F.count_if(F.col("waiting") == 0)
+    incoming = edges.groupBy("run_id", F.col("dst").alias("task_id")).agg(F.count(F.lit(1)).alias("waiting"))
+    zero = F.lit(0).cast("long")
     state, (n_ready,) = stored(
-        tasks.select(*KEY, F.col("duration_s").cast("long").alias("duration_s")).join(incoming, KEY, "left").select(
-            *KEY, "duration_s", F.coalesce("waiting", F.lit(0).cast("long")).alias("waiting"),
-            F.lit(0).cast("long").alias("start_s"),
-        ),
-        "tasks", is_ready,
-    )
+        tasks.join(incoming, KEY, "left").select(*KEY, "duration_s", F.coalesce("waiting", zero).alias("waiting"), zero.alias("start_s")),
+        "tasks", is_ready)
     done: list[DataFrame] = []
+    level = 0
     while n_ready:
         ready = state.where("waiting = 0").select(
-            *KEY, F.lit(len(done)).cast("long").alias("level"), "start_s",
-            (F.col("start_s") + F.col("duration_s")).alias("finish_s"),
-        )
+            *KEY, F.lit(level).cast("long").alias("level"), "start_s", (F.col("start_s") + F.col("duration_s")).alias("finish_s"))
         done.append(ready)
-        finished = ready.select("run_id", F.col("task_id").alias("depends_on"), "finish_s")
-        freed = edges.join(finished, ["run_id", "depends_on"]).groupBy(*KEY).agg(
-            F.count(F.lit(1)).alias("freed"), F.max("finish_s").alias("after_s")
-        )
+        if len(done) > FOLD:
+            done = [stored(_stack(done), "levels")[0]]
+        finished = ready.select("run_id", F.col("task_id").alias("src"), "finish_s")
+        freed = edges.join(finished, ["run_id", "src"]).groupBy("run_id", F.col("dst").alias("task_id")).agg(
+            F.count(F.lit(1)).alias("freed"), F.max("finish_s").alias("after_s"))
         state, (n_ready,) = stored(
             state.where("waiting > 0").join(freed, KEY, "left").select(
-                *KEY, "duration_s",
-                (F.col("waiting") - F.coalesce("freed", F.lit(0).cast("long"))).alias("waiting"),
-                F.greatest("start_s", F.coalesce("after_s", F.lit(0).cast("long"))).alias("start_s"),
-            ),
-            "tasks", is_ready,
-        )
-    if not done:
-        done.append(state.where("waiting = 0").select(
-            *KEY, F.lit(0).cast("long").alias("level"), "start_s", F.col("start_s").alias("finish_s")
-        ))
-    return _stack(done), state.select(*KEY)
+                *KEY, "duration_s", (F.col("waiting") - F.coalesce("freed", zero)).alias("waiting"),
+                F.greatest("start_s", F.coalesce("after_s", zero)).alias("start_s")),
+            "tasks", is_ready)
+        level += 1
+        if level % FOLD == 0 and n_ready:
+            edges, _ = stored(edges.join(state.select("run_id", F.col("task_id").alias("src")), ["run_id", "src"], "left_semi"), "edges")
+    rest = state.select(*KEY, F.lit(None).cast("long").alias("level"), "start_s", F.col("start_s").alias("finish_s"))
+    return _stack([*done, rest])
+
 
+def schedule(tasks: DataFrame, dependencies: DataFrame, run_rows: int = RUN_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Peel off tasks whose dependencies are all done, round by round.
+
+    Returns (levels, rest).  ``levels`` has the round of each task, which is its longest
+    distance from a source, and its earliest start and finish with unlimited workers
+    (``tasks`` needs ``duration_s``).  ``rest`` are the tasks on a cycle or behind one.  A dependency on an unknown task does
+    not hold anything up.
+    """
+    known = tasks.select("run_id", F.col("task_id").alias("src"))
+    edges, _ = stored(
+        dependencies.select("run_id", F.col("depends_on").alias("src"), F.col("task_id").alias("dst")).distinct()
+        .join(known, ["run_id", "src"], "left_semi").join(tasks.select("run_id", F.col("task_id").alias("dst")), ["run_id", "dst"], "left_semi"),
+        "edges")
+    nodes = tasks.select(*KEY, F.col("duration_s").cast("long").alias("duration_s"))
+    long, n_long = _parted(edges, run_rows)
+    small = (nodes, edges) if not n_long else tuple(x.join(long, "run_id", "left_anti") for x in (nodes, edges))
 
-def task_levels(tasks: DataFrame, dependencies: DataFrame) -> DataFrame:
-    return schedule(tasks, dependencies)[0].select(*KEY, "level")
+    def peel(values: np.ndarray, src: np.ndarray, dst: np.ndarray) -> dict[str, np.ndarray]:
+        found = _peel(values, src, dst)
+        return {"round": found["level"] + 1, "start_s": found["start_s"], "finish_s": found["finish_s"]}  # 0: never
 
+    solved = _solve(*small, ["duration_s"], peel, ["round", "start_s", "finish_s"])
+    both = solved.select(*KEY, F.when(F.col("round") > 0, F.col("round") - 1).alias("level"), "start_s", "finish_s")
+    if n_long:
+        both = both.unionByName(_levels_by_rounds(*(stored(x.join(long, "run_id", "left_semi"), "long-run")[0] for x in (nodes, edges))))
+    both, _ = stored(both, "schedule")
+    return both.where("level IS NOT NULL"), both.where("level IS NULL").select(*KEY)
 
-def earliest_schedule(tasks: DataFrame, dependencies: DataFrame) -> DataFrame:
-    return schedule(tasks, dependencies)[0].select(*KEY, "start_s", "finish_s")
 
+def task_levels(tasks: DataFrame, dependencies: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
+    return schedule(tasks, dependencies, run_rows)[0].select(*KEY, "level")
 
-def cyclic_tasks(tasks: DataFrame, dependencies: DataFrame) -> DataFrame:
+
+def earliest_schedule(tasks: DataFrame, dependencies: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
+    return schedule(tasks, dependencies, run_rows)[0].select(*KEY, "start_s", "finish_s")
+
+
+def cyclic_tasks(tasks: DataFrame, dependencies: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
     """Tasks that could never start: on a cycle, or behind one."""
-    return schedule(tasks, dependencies)[1]
+    return schedule(tasks, dependencies, run_rows)[1]
 
 
-def reach(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """Everything reachable from ``seeds`` (run_id, task_id) along ``edges`` (run_id, src, dst),
-    with the least number of hops.  A task appears once, so the result is no larger than the
-    table of tasks; the seeds themselves have 0 hops."""
-    edges, _ = stored(edges.select("run_id", "src", "dst").distinct(), "edges")
+def _reach_by_rounds(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     every = F.count(F.lit(1))
-    frontier, (n,) = stored(
-        seeds.select(*KEY).distinct().withColumn("hops", F.lit(0).cast("long")), "reached", every
-    )
-    layers, seen = [frontier], frontier
-    hops = 0
+    frontier, (n,) = stored(seeds.withColumn("hops", F.lit(0).cast("long")), "reached", every)
+    layers, seen, hops = [frontier], frontier, 0
     while n:
         hops += 1
         step = (
             edges.join(frontier.select("run_id", F.col("task_id").alias("src")), ["run_id", "src"])
-            .select("run_id", F.col("dst").alias("task_id"))
-            .distinct()
-            .join(seen.select(*KEY), KEY, "left_anti")
-            .withColumn("hops", F.lit(hops).cast("long"))
-        )
+            .select("run_id", F.col("dst").alias("task_id")).distinct()
+            .join(seen.select(*KEY), KEY, "left_anti").withColumn("hops", F.lit(hops).cast("long")))
         frontier, (n,) = stored(step, "reached", every)
         layers.append(frontier)
-        if len(layers) > 16:  # keep plans small on long chains
+        if len(layers) > FOLD and n:
             layers = [stored(_stack(layers), "reached")[0]]
+            known = layers[0].select("run_id", F.col("task_id").alias("dst"))
+            edges, _ = stored(
+                edges.join(known, ["run_id", "dst"], "left_anti").join(frontier.select("run_id").distinct(), "run_id", "left_semi"), "edges")
         seen = _stack(layers)
     return seen
 
 
-def upstream_closure(targets: DataFrame, dependencies: DataFrame) -> DataFrame:
+def reach(seeds: DataFrame, edges: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
+    """Everything reachable from ``seeds`` (run_id, task_id) along ``edges`` (run_id, src, dst),
+    with the least number of hops.  A task appears once, so the result is no larger than the
+    table of tasks; the seeds themselves have 0 hops."""
+    seeds = seeds.select(*KEY).distinct()
+    edges, _ = stored(
+        edges.select("run_id", "src", "dst").distinct().join(seeds.select("run_id").distinct(), "run_id", "left_semi"), "edges")
+    long, n_long = _parted(edges, run_rows)
+    small = (seeds, edges) if not n_long else tuple(x.join(long, "run_id", "left_anti") for x in (seeds, edges))
+    ends = small[1].select("run_id", F.explode(F.array("src", "dst")).alias("task_id"))
+    nodes = ends.withColumn("seed", F.lit(0).cast("long")).unionByName(
+        small[0].withColumn("seed", F.lit(1).cast("long"))).groupBy(*KEY).agg(F.max("seed").alias("seed"))
+    found = _solve(nodes, small[1], ["seed"], _spread, ["hops"])
+    if n_long:
+        found = found.unionByName(_reach_by_rounds(*(stored(x.join(long, "run_id", "left_semi"), "long-run")[0] for x in (seeds, edges))))
+    return found
+
+
+def upstream_closure(targets: DataFrame, dependencies: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
     """Every task that the targets need, directly or not."""
     edges = dependencies.select("run_id", F.col("task_id").alias("src"), F.col("depends_on").alias("dst"))
-    return reach(targets, edges).where("hops > 0")
+    return reach(targets, edges, run_rows).where("hops > 0")
 
 
-def failure_impact(failed: DataFrame, dependencies: DataFrame) -> DataFrame:
+def failure_impact(failed: DataFrame, dependencies: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
     """Every task that cannot run because some task before it failed."""
     edges = dependencies.select("run_id", F.col("depends_on").alias("src"), F.col("task_id").alias("dst"))
-    return reach(failed, edges).where("hops > 0")
+    return reach(failed, edges, run_rows).where("hops > 0")
 
 
-def sub_workflows(tasks: DataFrame, dependencies: DataFrame) -> DataFrame:
-    """Connected parts of each run, named by their least task id.
+def _parts_by_rounds(edges: DataFrame) -> DataFrame:
+    """``run_id, task_id, part`` for all ends of ``edges`` (run_id, src, dst).
 
-    Each round takes the least label among the neighbours and then jumps to the label of that
-    label, so the number of rounds grows with the logarithm of a part's width, not with it.
+    Every node ties its larger neighbours to the least node near it, then its smaller neighbours to the least of them, until
+    nothing changes: the number of rounds grows with the logarithm of the number of nodes, whatever the shape.
     """
-    both = dependencies.select(
-        "run_id",
-        F.explode(F.array(
-            F.struct(F.col("task_id").alias("a"), F.col("depends_on").alias("b")),
-            F.struct(F.col("depends_on").alias("a"), F.col("task_id").alias("b")),
-        )).alias("e"),
-    ).select("run_id", "e.a", "e.b").where("a <> b").distinct()
-    links, _ = stored(both, "links")
-    labels, _ = stored(tasks.select(*KEY, F.col("task_id").alias("part")), "labels")
-    changed = 1
-    while changed:
-        near = (
-            links.join(labels.select("run_id", F.col("task_id").alias("a"), "part"), ["run_id", "a"])
-            .groupBy("run_id", F.col("b").alias("task_id"))
-            .agg(F.min("part").alias("near"))
-        )
-        lowered, (changed,) = stored(
-            labels.withColumnRenamed("part", "old").join(near, KEY, "left").select(
-                *KEY, "old", F.least("old", F.coalesce("near", "old")).alias("part")
-            ),
-            "labels", F.count_if(F.col("part") < F.col("old")),
-        )
-        if not changed:
+    check = [F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("run_id", "hi", "lo"), F.lit(1 << 31)))]
+    pairs = edges.where("src <> dst").select("run_id", F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).distinct()
+    now, seen = stored(pairs, "parts", *check)
+    while True:
+        sides = now.select("run_id", F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
+            now.select("run_id", F.col("lo").alias("u"), F.col("hi").alias("v")))
+        least = sides.groupBy("run_id", "u").agg(F.min("v").alias("m")).select("run_id", "u", F.least("u", "m").alias("m"))
+        large = sides.join(least, ["run_id", "u"]).where("v > u").select("run_id", F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        lowest = large.groupBy("run_id", "hi").agg(F.min("lo").alias("m"))
+        small = large.join(lowest, ["run_id", "hi"]).where("lo <> m").select("run_id", F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        now, after = stored(small.unionByName(lowest.select("run_id", "hi", F.col("m").alias("lo"))).distinct(), "parts", *check)
+        if after == seen:
             break
-        target = lowered.select("run_id", F.col("task_id").alias("part"), F.col("part").alias("next"))
-        labels, _ = stored(
-            lowered.join(target, ["run_id", "part"]).select(*KEY, F.col("next").alias("part")), "labels"
-        )
-    return labels.select(*KEY, F.col("part").alias("component"))
+        seen = after
+    return now.select("run_id", F.col("hi").alias("task_id"), F.col("lo").alias("part"))
+
+
+def sub_workflows(tasks: DataFrame, dependencies: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
+    """Connected parts of each run, named by their least task id."""
+    nodes = tasks.select(*KEY)
+    ends = [nodes.select("run_id", F.col("task_id").alias(c)) for c in ("src", "dst")]
+    edges, _ = stored(
+        dependencies.select("run_id", F.col("task_id").alias("src"), F.col("depends_on").alias("dst")).where("src <> dst").distinct()
+        .join(ends[0], ["run_id", "src"], "left_semi").join(ends[1], ["run_id", "dst"], "left_semi"), "links")
+    long, n_long = _parted(edges, run_rows)
+    small = (nodes, edges) if not n_long else tuple(x.join(long, "run_id", "left_anti") for x in (nodes, edges))
+    solved = _solve(*small, [], _merge, [], "component")
+    if not n_long:
+        return solved
+    parts = _parts_by_rounds(edges.join(long, "run_id", "left_semi"))
+    rest = nodes.join(long, "run_id", "left_semi").join(parts, KEY, "left").select(*KEY, F.coalesce("part", "task_id").alias("component"))
+    return solved.unionByName(rest)

@@ -66,8 +66,13 @@ def graph_export(tasks: DataFrame, ports: DataFrame) -> DataFrame:
 
 
 def task_dependencies(ports: DataFrame) -> DataFrame:
-    """Task B depends on A if A writes a file that B reads, or B waits on A."""
-    made = _role(ports, "output").select("run_id", "path", F.col("task_id").alias("depends_on"))
+    """Task B depends on A if A is the first to write a file that B reads, or B waits on A.
+
+    Only the first producer of a file counts (by ``seq`` if the ports carry it, else by task_id): see
+    :func:`producer_lookup` for the others.
+    """
+    first = "seq" if "seq" in ports.columns else "task_id"
+    made = _role(ports, "output").groupBy("run_id", "path").agg(F.min_by("task_id", first).alias("depends_on"))
     read = _role(ports, "input").select("run_id", "path", "task_id")
     by_file = read.join(made, ["run_id", "path"]).select("run_id", "task_id", "depends_on")
     by_wait = _role(ports, "wait_on").select(
@@ -118,13 +123,13 @@ def missing_outputs(ports: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def artifact_catalog(uses: DataFrame) -> DataFrame:
-    """One row per path from its uses (path, seq, mode, tmp) in order.
+    """One row per run and path from its uses (run_id, path, seq, mode, tmp) in order.
 
     The last use that names a mode decides it; only a use as output decides ``tmp``, so a
     later use as input keeps it.
     """
     named = uses.where("path <> ''")
-    return named.groupBy("path").agg(
+    return named.groupBy("run_id", "path").agg(
         F.max_by("mode", F.when(F.col("mode").isNotNull(), F.col("seq"))).alias("mode"),
         F.max_by("tmp", F.when(F.col("mode") == "output", F.col("seq"))).alias("tmp"),
         F.count(F.lit(1)).alias("n_uses"),
@@ -132,12 +137,12 @@ def artifact_catalog(uses: DataFrame) -> DataFrame:
 
 
 def temp_artifacts(catalog: DataFrame, ports: DataFrame, delete_setting: str = "yes") -> DataFrame:
-    """Temporary files that some task makes: the purge list, empty unless the setting is 'yes'."""
-    made = _role(ports, "output").select("path").distinct()
+    """Temporary files that some task of the run makes: the purge list, empty unless the setting is 'yes'."""
+    made = _role(ports, "output").select("run_id", "path").distinct()
     return (
         catalog.where(F.col("tmp") & (F.lit(delete_setting) == "yes"))
-        .select("path")
-        .join(made, "path", "left_semi")
+        .select("run_id", "path")
+        .join(made, ["run_id", "path"], "left_semi")
     )
 
 

@@ -48,11 +48,15 @@ def _argument(name: Column, value: Column) -> Column:
     )
 
 
+def _refusal() -> Column:
+    return F.when(F.size("cells") > F.size("header"), F.lit("too long"))
+
+
 def run_arg_vector(rows: DataFrame) -> DataFrame:
     """Arguments of each run: optionals in header order, then positionals by their number.
 
     ``positional_10`` comes after ``positional_2``; positionals are neither split nor
-    interpreted.  A line longer than its header has no vector (see :func:`ragged_rows`).
+    interpreted.  A line longer than its header is refused: it has no vector, and ``refused`` says why.
     """
     named = F.arrays_zip(
         F.slice("header", 1, F.least(F.size("header"), F.size("cells"))).alias("name"),
@@ -72,8 +76,8 @@ def run_arg_vector(rows: DataFrame) -> DataFrame:
         ),
     )
     positional = F.transform(F.array_sort(numbered), lambda c: c["value"])
-    return rows.where(F.size("cells") <= F.size("header")).select(
-        "matrix_id", "row_id", F.concat(optional, positional).alias("argv")
+    return rows.select(
+        "matrix_id", "row_id", F.when(_refusal().isNull(), F.concat(optional, positional)).alias("argv"), _refusal().alias("refused")
     )
 
 
@@ -95,7 +99,8 @@ def ragged_rows(rows: DataFrame) -> DataFrame:
 
 def given_arguments(rows: DataFrame) -> DataFrame:
     """Named arguments of each run as a map; those set to ``false`` are absent, switches are
-    ``true``."""
+    ``true``, the words of a value are joined by one blank.  Of headers with one name the last counts.  A line longer
+    than its header is refused: it has no map, and ``refused`` says why."""
     pairs = F.filter(
         F.arrays_zip(F.col("header").alias("name"), F.col("cells").alias("value")),
         lambda c: c["name"].isNotNull() & c["value"].isNotNull() & (
@@ -106,9 +111,13 @@ def given_arguments(rows: DataFrame) -> DataFrame:
         F.regexp_replace(F.regexp_replace(c["name"], "^-+", ""), "-", "_").alias("k"),
         F.when(c["name"].startswith("positional_"), c["value"])
         .when(F.lower(strip(c["value"])) == "true", F.lit("true"))
-        .otherwise(F.regexp_replace(strip(c["value"]), "^#(?i)(true|false)$", "$1")).alias("v"),
+        .otherwise(F.array_join(words(F.regexp_replace(strip(c["value"]), "^#(?i)(true|false)$", "$1")), " ")).alias("v"),
     ))
-    return rows.select("matrix_id", "row_id", F.map_from_entries(clean).alias("given"))
+    paired = rows.withColumn("_pairs", clean)
+    last = F.filter("_pairs", lambda c, i: ~F.exists(
+        F.slice(F.col("_pairs"), i + 2, F.greatest(F.size("_pairs") - i - 1, F.lit(0))), lambda later: later["k"] == c["k"]))
+    return paired.select(
+        "matrix_id", "row_id", F.when(_refusal().isNull(), F.map_from_entries(last)).alias("given"), _refusal().alias("refused"))
 
 
 def run_arg_defaults(
@@ -116,13 +125,16 @@ def run_arg_defaults(
 ) -> DataFrame:
     """Value of every declared argument of every run: given, else batch-wide, else default.
 
-    ``runs`` has the map of :func:`given_arguments`; ``defaults`` declares the arguments.
+    ``runs`` has the map of :func:`given_arguments`; ``defaults`` declares the arguments.  A refused run has no values; its
+    ``source`` is 'refused'.
     """
     declared = [
         F.struct(
             F.lit(name).alias("name"),
-            F.coalesce(F.try_element_at("given", F.lit(name)), F.lit(batch.get(name)), F.lit(default)).alias("value"),
-            F.when(F.try_element_at("given", F.lit(name)).isNotNull(), "run")
+            F.when(F.col("refused").isNull(), F.coalesce(
+                F.try_element_at("given", F.lit(name)), F.lit(batch.get(name)), F.lit(default))).alias("value"),
+            F.when(F.col("refused").isNotNull(), "refused")
+            .when(F.try_element_at("given", F.lit(name)).isNotNull(), "run")
             .when(F.lit(batch.get(name)).isNotNull(), "batch").otherwise("default").alias("source"),
         )
         for name, default in defaults.items()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runloom.functions.ordered import HOT_ROWS, next_value, row_rank, running_sum
+from runloom.functions.ordered import next_value, row_rank, running_sum
 from runloom.functions.text import FILE_STAMP, LOG_STAMP, stem, strip
 
 # What log messages say about a task, the state it leaves the task in, and the
@@ -51,7 +51,8 @@ def stamped_state(stamp: Column) -> Column:
 
 
 def stamped_time(stamp: Column) -> Column:
-    return F.timestamp_micros(F.floor(stamp / len(SEVERITY)))
+    # whole numbers throughout: a quotient of doubles is off by microseconds in later years
+    return F.timestamp_micros((stamp - F.pmod(stamp, F.lit(len(SEVERITY)))).cast("decimal(20,0)").__truediv__(len(SEVERITY)).cast("long"))
 
 
 def parse_line(line: Column) -> Column:
@@ -126,26 +127,18 @@ def failure_kinds(events: DataFrame) -> DataFrame:
     )
 
 
-def failure_lists(tasks: DataFrame, per_line: int = 1000, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Failed and never-run tasks of each run, in registration order, joined by blanks.
+def failure_lists(tasks: DataFrame) -> DataFrame:
+    """Failed and never-run tasks of each run, one row for each, numbered in registration order.
 
-    ``tasks`` has (run_id, seq, name, state).  A list longer than ``per_line`` names continues
-    in further rows, so no row grows with the run; a run without such tasks says 'None'.
+    ``tasks`` has (run_id, seq, name, state).  A run without such tasks has one row with the name 'None' and number 0.
     """
     wanted = tasks.where("state IN ('failed', 'pending')").select("run_id", "state", "seq", "name")
-    ranked = row_rank(
-        wanted, ["run_id", "state"], ["seq"], [F.floor(F.col("seq") / 100_000)], "nth", hot_rows
-    )
-    lines = (
-        ranked.groupBy("run_id", "state", F.floor((F.col("nth") - 1) / per_line).alias("line_no"))
-        .agg(F.expr("listagg(name, ' ') WITHIN GROUP (ORDER BY nth)").alias("names"))
-    )
+    ranked = row_rank(wanted, ["run_id", "state"], ["seq"], [F.floor(F.col("seq") / 100_000)], "nth").drop("seq")
     every = tasks.select("run_id").distinct().select(
         "run_id", F.explode(F.array(F.lit("failed"), F.lit("pending"))).alias("state")
     )
-    return every.join(lines, ["run_id", "state"], "left").select(
-        "run_id", "state", F.coalesce("line_no", F.lit(0).cast("long")).alias("line_no"),
-        F.coalesce("names", F.lit("None")).alias("names"),
+    return every.join(ranked, ["run_id", "state"], "left").select(
+        "run_id", "state", F.coalesce("nth", F.lit(0).cast("long")).alias("nth"), F.coalesce("name", F.lit("None")).alias("name"),
     )
 
 
@@ -168,7 +161,7 @@ def run_elapsed(attempts: DataFrame) -> DataFrame:
     )
 
 
-def concurrency_series(attempts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def concurrency_series(attempts: DataFrame) -> DataFrame:
     """Tasks running in each run after every instant at which that number may change.
 
     Starts and ends at one instant are added up first; that is the same as letting ends go
@@ -182,36 +175,35 @@ def concurrency_series(attempts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFra
         )).alias("m"),
     ).groupBy("run_id", F.col("m.ts").alias("ts")).agg(F.sum("m.d").alias("d"))
     return running_sum(
-        moves, ["run_id"], ["ts"], [F.date_trunc("minute", "ts")], F.col("d"), "running", hot_rows
+        moves, ["run_id"], ["ts"], [F.date_trunc("minute", "ts")], F.col("d"), "running"
     ).drop("d")
 
 
-def running_concurrency(attempts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def running_concurrency(attempts: DataFrame) -> DataFrame:
     """Most tasks running at once in each run, and the first time this was so."""
-    return concurrency_series(attempts, hot_rows).groupBy("run_id").agg(
+    return concurrency_series(attempts).groupBy("run_id").agg(
         F.max(F.struct("running", (-F.unix_micros(F.col("ts").cast("timestamp"))).alias("at"), "ts")).alias("top")
     ).select("run_id", F.col("top.running").alias("peak"), F.col("top.ts").alias("peak_at"))
 
 
-def running_set_change(attempts: DataFrame, poll_s: int = 600) -> DataFrame:
-    """Which tasks enter and leave the running set between polls taken every ``poll_s`` seconds.
+def running_set_change(attempts: DataFrame, poll_s: float = 600) -> DataFrame:
+    """Which tasks enter and leave the running set at polls taken every ``poll_s`` seconds.
 
-    A task enters at the first poll at or after its start and leaves at the first at or after
-    its end; one that fits between two polls is never seen.  The difference of consecutive
-    sets follows per task, without building the sets.
+    A task enters at the first poll at or after its start.  It leaves at the first poll at or after its end, but
+    not before the poll that follows the one at which it entered: every task is seen, however short.  The difference of
+    consecutive sets follows per task, without building the sets.  ``poll_s`` may be a fraction of a second.
     """
-    def poll(ts: str) -> Column:
-        seconds = F.unix_micros(F.col(ts).cast("timestamp")) / 1_000_000
-        return (F.ceil(seconds / poll_s) * poll_s).cast("long")
-
-    seen = attempts.select("run_id", "task_id", poll("start_ts").alias("a"), poll("end_ts").alias("b")).where("a < b")
+    every = round(poll_s * 1_000_000)
+    start, end = (F.expr(f"-((-unix_micros(CAST({c} AS TIMESTAMP)) - pmod(-unix_micros(CAST({c} AS TIMESTAMP)), {every}))) div {every}")
+                  for c in ("start_ts", "end_ts"))
+    seen = attempts.select("run_id", "task_id", start.alias("a"), end.alias("b")).withColumn("b", F.greatest("b", F.col("a") + 1))
     return seen.select(
         "run_id", "task_id",
         F.explode(F.array(
-            F.struct(F.col("a").alias("poll_s"), F.lit("entered").alias("change")),
-            F.struct(F.col("b").alias("poll_s"), F.lit("left").alias("change")),
+            F.struct(F.col("a").alias("n"), F.lit("entered").alias("change")),
+            F.struct(F.col("b").alias("n"), F.lit("left").alias("change")),
         )).alias("c"),
-    ).select("run_id", "task_id", "c.poll_s", "c.change")
+    ).select("run_id", "task_id", (F.col("c.n") * F.lit(every) / 1_000_000).alias("poll_s"), "c.change")
 
 
 def _log_slices() -> list[Column]:
@@ -219,19 +211,19 @@ def _log_slices() -> list[Column]:
     return [F.col("ts"), F.floor(F.col("line_no") / 1_000_000)]
 
 
-def launch_rank(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def launch_rank(events: DataFrame) -> DataFrame:
     """Order in which the tasks of a run were staged."""
     staged = events.where("state = 'running'").select("run_id", "task", "ts", "line_no")
     return row_rank(
-        staged, ["run_id"], ["ts", "line_no"], _log_slices(), "staged_pos", hot_rows
+        staged, ["run_id"], ["ts", "line_no"], _log_slices(), "staged_pos"
     )
 
 
-def state_dwell(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def state_dwell(events: DataFrame) -> DataFrame:
     """Seconds between consecutive states of a task."""
     rows = events.select("run_id", "task", "line_no", "ts", "state")
     following = next_value(
-        rows, ["run_id", "task"], ["ts", "line_no"], _log_slices(), "ts", "next_ts", hot_rows
+        rows, ["run_id", "task"], ["ts", "line_no"], _log_slices(), "ts", "next_ts"
     )
     return following.select(
         "run_id", "task", "line_no", "state",
@@ -255,12 +247,17 @@ def first_n_records(records: DataFrame, key: str, order: list[str], n: int = 5)
 
 
 def capture_attach(captures: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Log records that carry the captured output of each task; captures of unknown tasks stay."""
-    return captures.where("content <> ''").join(tasks.select("run_id", "task_id"), "task_id", "left").select(
-        "run_id", "task_id", "stream",
-        F.concat(
-            F.lit("Output from "), "stream", F.lit(" stream of "), F.col("task_id").cast("string"), F.lit(":\n"), "content"
-        ).alias("message"),
+    """Log records that carry the captured output (run_id, task_id, stream, content) of each task.
+
+    Empty captures are dropped, those that could not be read (null) are reported.  ``known`` tells whether the run has
+    the task; captures of unknown tasks stay.
+    """
+    ids = tasks.select("run_id", "task_id").distinct().withColumn("known", F.lit(True))
+    of = F.concat("stream", F.lit(" stream of "), F.col("task_id").cast("string"))
+    return captures.where("content IS NULL OR content <> ''").join(ids, ["run_id", "task_id"], "left").select(
+        "run_id", "task_id", "stream", F.coalesce("known", F.lit(False)).alias("known"),
+        F.when(F.col("content").isNull(), F.concat(F.lit("Could not read "), of))
+        .otherwise(F.concat(F.lit("Output from "), of, F.lit(":\n"), "content")).alias("message"),
     )
 
 

@@ -110,15 +110,15 @@ def missing_outputs(v: Views) -> DataFrame:
 
 
 @query(using("wf_port wf_task", """
-SELECT path, max_by(role, {s: seq, t: p.task_id, r: role}) AS mode,
+SELECT p.run_id, path, max_by(role, {s: seq, t: p.task_id, r: role}) AS mode,
   max_by(tmp_output, {s: seq, t: p.task_id}) FILTER (WHERE role = 'output') AS tmp, count(*) AS n_uses
-FROM wf_port p JOIN wf_task t ON p.task_id = t.task_id WHERE role <> 'wait_on' GROUP BY path"""))
+FROM wf_port p JOIN wf_task t ON p.task_id = t.task_id WHERE role <> 'wait_on' GROUP BY p.run_id, path"""))
 def artifact_catalog(v: Views) -> DataFrame:
     return lineage.artifact_catalog(v.artifact_use())
 
 
 @query(using("wf_port wf_task", """
-SELECT DISTINCT path FROM wf_port p JOIN wf_task t ON p.task_id = t.task_id WHERE role = 'output' AND tmp_output"""))
+SELECT DISTINCT p.run_id, path FROM wf_port p JOIN wf_task t ON p.task_id = t.task_id WHERE role = 'output' AND tmp_output"""))
 def temp_artifacts(v: Views) -> DataFrame:
     return lineage.temp_artifacts(lineage.artifact_catalog(v.artifact_use()), v.port())
 
@@ -167,9 +167,18 @@ def task_levels(v: Views) -> DataFrame:
     return graph.task_levels(v.task_rows(), lineage.task_dependencies(v.port()))
 
 
-@query(using("wf_task wf_dep", "SELECT run_id, task_id FROM wf_task WHERE task_id NOT IN (SELECT task_id FROM wf_level)", LEVELS))
+@query(using("wf_dep", """
+SELECT DISTINCT x.run_id, x.a AS task_id FROM wf_behind x JOIN wf_behind y ON y.run_id = x.run_id AND y.a = x.b AND y.b = x.b""", """
+wf_looped AS (SELECT run_id, task_id, depends_on FROM wf_dep
+  UNION SELECT run_id, depends_on, task_id FROM wf_dep WHERE run_id % 7 = 0 AND task_id % 5 = 0),
+wf_behind AS (SELECT run_id, task_id AS a, depends_on AS b FROM wf_looped
+  UNION SELECT x.run_id, x.a, d.depends_on FROM wf_behind x JOIN wf_looped d ON d.run_id = x.run_id AND d.task_id = x.b)"""))
 def cyclic_tasks(v: Views) -> DataFrame:
-    return graph.cyclic_tasks(v.task_rows(), lineage.task_dependencies(v.port()))
+    """In every seventh run some dependencies hold both ways."""
+    deps = lineage.task_dependencies(v.port())
+    back = deps.where("run_id % 7 = 0 AND task_id % 5 = 0").select(
+        "run_id", F.col("depends_on").alias("task_id"), F.col("task_id").alias("depends_on"))
+    return graph.cyclic_tasks(v.task_rows(), deps.unionByName(back))
 
 
 @query(using("wf_task wf_dep", """
@@ -301,7 +310,7 @@ def matrix_literal_scan(v: Views) -> DataFrame:
     return text.matrix_literal_scan(v.spark, path).select(F.array_join("argv", " ").alias("argv"))
 
 
-@query(using("wf_argv", "SELECT matrix_id, row_id, argv FROM wf_argv"))
+@query(using("wf_argv", "SELECT matrix_id, row_id, argv, CAST(NULL AS VARCHAR) AS refused FROM wf_argv"))
 def run_arg_vector(v: Views) -> DataFrame:
     return matrix.run_arg_vector(_matrix_rows(v)).withColumn("argv", F.array_join("argv", " "))
 
@@ -407,10 +416,9 @@ def failure_kinds(v: Views) -> DataFrame:
 
 
 @query(using("wf_task", """
-SELECT e.run_id, e.state, coalesce(l.line_no, 0) AS line_no, coalesce(l.names, 'None') AS names FROM
+SELECT e.run_id, e.state, coalesce(l.nth, 0) AS nth, coalesce(l.name, 'None') AS name FROM
 (SELECT DISTINCT run_id, s AS state FROM wf_task, LATERAL (VALUES ('failed'), ('pending')) x(s)) e LEFT JOIN (
-  SELECT run_id, state, (nth - 1) // 1000 AS line_no, string_agg('task_' || task_id, ' ' ORDER BY nth) AS names
-  FROM (SELECT *, row_number() OVER (PARTITION BY run_id, state ORDER BY seq) AS nth FROM wf_task) GROUP BY ALL) l
+  SELECT run_id, state, row_number() OVER (PARTITION BY run_id, state ORDER BY seq) AS nth, 'task_' || task_id AS name FROM wf_task) l
 ON l.run_id = e.run_id AND l.state = e.state"""))
 def failure_lists(v: Views) -> DataFrame:
     tasks = v.task().select(
@@ -453,10 +461,9 @@ def concurrency_series(v: Views) -> DataFrame:
 
 
 @query(using("wf_attempt", """
-SELECT run_id, task_id, CASE WHEN k = 0 THEN a ELSE b END AS poll_s, CASE WHEN k = 0 THEN 'entered' ELSE 'left' END AS change
-FROM (SELECT run_id, task_id, CAST(ceil(epoch_us(start_ts) / 600000000.0) * 600 AS BIGINT) AS a,
-        CAST(ceil(epoch_us(end_ts) / 600000000.0) * 600 AS BIGINT) AS b FROM wf_attempt), LATERAL (VALUES (0), (1)) x(k)
-WHERE a < b"""))
+SELECT run_id, task_id, CASE WHEN k = 0 THEN a ELSE greatest(b, a + 600) END AS poll_s, CASE WHEN k = 0 THEN 'entered' ELSE 'left' END AS change
+FROM (SELECT run_id, task_id, ceil(epoch_us(start_ts) / 600000000.0) * 600 AS a, ceil(epoch_us(end_ts) / 600000000.0) * 600 AS b
+      FROM wf_attempt), LATERAL (VALUES (0), (1)) x(k)"""))
 def running_set_change(v: Views) -> DataFrame:
     return runlog.running_set_change(v.attempt())
 
@@ -499,11 +506,16 @@ def capture_scan(v: Views) -> DataFrame:
     return runlog.capture_names(files)
 
 
-@query(using("wf_capture wf_task", """
-SELECT t.run_id, c.task_id, c.stream, 'Output from ' || c.stream || ' stream of ' || c.task_id || ':' || chr(10) || c.content AS message
-FROM wf_capture c LEFT JOIN wf_task t ON t.task_id = c.task_id WHERE content <> ''"""))
+@query("""
+SELECT doc_id % 3 AS run_id, doc_id // 3 AS task_id, 'stdout' AS stream, doc_id % 7 <> 0 AS known, CASE WHEN doc_id % 13 = 0
+  THEN 'Could not read stdout stream of ' || (doc_id // 3) ELSE 'Output from stdout stream of ' || (doc_id // 3) || ':' || chr(10) || text END AS message
+FROM documents WHERE doc_id % 10 <> 0 OR doc_id % 13 = 0""")
 def capture_attach(v: Views) -> DataFrame:
-    return runlog.capture_attach(v.capture(), v.task_rows())
+    """Three runs whose task ids are the same; some captures are of unknown tasks, empty or unreadable."""
+    docs = v.base("documents").select((F.col("doc_id") % 3).alias("run_id"), F.expr("doc_id div 3").alias("task_id"), "doc_id", "text")
+    captures = docs.select("run_id", "task_id", F.lit("stdout").alias("stream"), F.expr(
+        "CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 10 = 0 THEN '' ELSE text END").alias("content"))
+    return runlog.capture_attach(captures, docs.where("doc_id % 7 <> 0"))
 
 
 @query("""
@@ -874,6 +886,14 @@ def stream_run_counts(v: Views) -> DataFrame:
     return _plain(runs.latest(batches, ["window_start", "pool"]), "window_start")
 
 
+@query("SELECT count(*) AS n_read, count(*) AS n_counted, CAST(0 AS BIGINT) AS n_late FROM events")
+def stream_late_rows(v: Views) -> DataFrame:
+    """How many rows the hourly counts read, counted and found too late: none, when all files are one micro-batch."""
+    done = runs.run_to_end(runs.run_counts(_event_stream(v)), "late", "update")
+    counted = runs.latest(done.rows, ["window_start", "pool"]).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_counted"))
+    return counted.select(F.lit(done.n_read).cast("long").alias("n_read"), "n_counted", F.lit(done.n_late).cast("long").alias("n_late"))
+
+
 @query("""
 SELECT run_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n FROM (
   SELECT *, sum(new) OVER (PARTITION BY run_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM (
@@ -896,4 +916,4 @@ def stream_log_tail(v: Views) -> DataFrame:
     source, target = scratch_path(v.spark, "tail"), scratch_path(v.spark, "tailed")
     v.log_line().select(F.col("line").alias("value")).write.text(source)
     runs.tail_to(runs.log_tail(v.spark, source), f"{target}/rows", f"{target}/state").awaitTermination()
-    return v.spark.read.parquet(f"{target}/rows")
+    return v.spark.read.parquet(f"{target}/rows").where("opens").select("ts", "logger", "message")

@@ -176,7 +176,7 @@ class Views:
         """Uses of files in order: made, then read; every fifth output is temporary."""
         tasks = self.task().select("run_id", "task_id", "seq", "tmp_output")
         return self.port().where("role <> 'wait_on'").join(tasks, ["run_id", "task_id"]).select(
-            "path", F.struct(F.col("seq"), F.col("task_id"), F.col("role")).alias("seq"),
+            "run_id", "path", F.struct(F.col("seq"), F.col("task_id"), F.col("role")).alias("seq"),
             F.col("role").alias("mode"), (F.col("tmp_output") & (F.col("role") == "output")).alias("tmp"),
         )
 

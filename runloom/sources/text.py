@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.functions.ordered import HOT_ROWS, fill_forward, row_rank
+from runloom.functions.ordered import fill_forward, row_rank
 from runloom.functions.text import strip, words
 from runloom.operators.config import parse_config
 from runloom.operators.matrix import split_line
 from runloom.operators.runlog import capture_names, parse_line
-from runloom.session import stored
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -28,23 +27,18 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def matrix_scan(spark: SparkSession, path: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def matrix_scan(spark: SparkSession, path: str) -> DataFrame:
     """Rows of every matrix file under ``path``: (file, row_no, header, cells).
 
-    The first line of a file is its header.  Headers are found by one aggregate per file and
-    stored, so that they are broadcast to the lines while they are small; a large file is read
-    in many tasks.
+    The first line of a file is its header.  Lines are numbered first, and a line is a header because its number is
+    the first: positions, which depend on how files were split, are never compared between two scans.
     """
     lines = read_lines(spark, path)
-    place = F.struct("block", "at")
-    headers, _ = stored(
-        lines.groupBy("file").agg(F.min_by("value", place).alias("header"), F.min(place).alias("first")), "headers"
-    )
-    body = lines.join(headers, "file").where(place != F.col("first")).select(
-        *lines.columns, split_line(F.col("header")).alias("header"), split_line(F.col("value")).alias("cells")
-    )
-    numbered = row_rank(body, ["file"], ["block", "at"], [F.col("block")], "row_no", hot_rows)
-    return numbered.drop("value", "block", "at")
+    numbered = row_rank(lines, ["file"], ["block", "at"], [F.col("block")], "row_no")
+    headers = numbered.where("row_no = 1").select("file", split_line(F.col("value")).alias("header"))
+    return numbered.where("row_no > 1").join(headers, "file").select(
+        *[c for c in lines.columns if c not in ("value", "block", "at")], (F.col("row_no") - 1).alias("row_no"), "header",
+        split_line(F.col("value")).alias("cells"))
 
 
 def matrix_literal_scan(spark: SparkSession, path: str) -> DataFrame:
@@ -53,7 +47,7 @@ def matrix_literal_scan(spark: SparkSession, path: str) -> DataFrame:
     return lines.withColumn("argv", words(F.col("value"))).drop("value")
 
 
-def log_scan(spark: SparkSession, path: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def log_scan(spark: SparkSession, path: str) -> DataFrame:
     """Log lines with time and logger.  Lines that continue a record (tags, traces) take both
     from the line that opened it; ``opens`` tells them apart."""
     lines = read_lines(spark, path)
@@ -63,7 +57,7 @@ def log_scan(spark: SparkSession, path: str, hot_rows: int = HOT_ROWS) -> DataFr
         F.coalesce("p.message", "value").alias("message"), F.col("p.message").isNotNull().alias("opens"),
     )
     filled = fill_forward(
-        parsed, ["file"], ["block", "at"], [F.col("block")], ["ts", "logger"], hot_rows
+        parsed, ["file"], ["block", "at"], [F.col("block")], ["ts", "logger"]
     )
     return filled
 

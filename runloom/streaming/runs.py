@@ -6,8 +6,11 @@ dropped by Spark and counted in the query's progress.  All queries read what is
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from contextlib import contextmanager
+from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -37,11 +40,27 @@ def _conf(spark: SparkSession, settings: dict[str, str]):
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+class Drained(NamedTuple):
+    """What a stream gave: its rows, how many rows it read, and how many of its state rows came too late.
+
+    Late rows are counted by Spark where state is kept, after rows of one key in one task have been combined.
+    """
+
+    rows: DataFrame
+    n_read: int
+    n_late: int
+
+
 def drain(stream: DataFrame, label: str, mode: str) -> DataFrame:
+    """The rows of :func:`run_to_end`."""
+    return run_to_end(stream, label, mode).rows
+
+
+def run_to_end(stream: DataFrame, label: str, mode: str) -> Drained:
     """Run a stream over everything available; the rows of each micro-batch, with ``batch_id``.
 
     Batches are tables in the shared folder.  A batch that is replayed overwrites itself, so
-    each row counts once.  The number of state partitions follows the cores of the cluster.
+    each row counts once.  The number of state partitions follows the cores of the cluster.  A source without any file is an error.
     """
     spark = stream.sparkSession
     out = scratch_path(spark, label)
@@ -51,17 +70,23 @@ def drain(stream: DataFrame, label: str, mode: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")
         seen.append(batch_id)
 
-    settings = {**STATE_CONF, "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism)}
+    settings = {
+        **STATE_CONF, "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism),
+        "spark.sql.streaming.numRecentProgressUpdates": "1000000",
+    }
     with _conf(spark, settings):
         query: StreamingQuery = (
             stream.writeStream.outputMode(mode).foreachBatch(store)
             .option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
         )
         query.awaitTermination()
-    schema = stream.schema.add("batch_id", "long")
     if not seen:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("basePath", f"{out}/rows").parquet(f"{out}/rows")
+        raise ValueError(f"the source of {label} matched no file")
+    progress = query.recentProgress
+    n_late = sum(o["numRowsDroppedByWatermark"] for p in progress for o in p["stateOperators"])
+    schema = stream.schema.add("batch_id", "long")
+    rows = spark.read.schema(schema).option("basePath", f"{out}/rows").parquet(f"{out}/rows")
+    return Drained(rows, sum(p["numInputRows"] for p in progress), n_late)
 
 
 def latest(batches: DataFrame, keys: list[str]) -> DataFrame:
@@ -77,10 +102,16 @@ def final(batches: DataFrame) -> DataFrame:
     return batches.where(F.col("batch_id") == last).drop("batch_id")
 
 
-def parquet_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """A table's files as a stream."""
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+def parquet_stream(spark: SparkSession, folder: str, table: str, files_per_batch: int | None = None) -> DataFrame:
+    """A table as a stream, be it one file or a folder of files."""
+    path = f"{folder}/{table}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(folder)  # a stream reads folders only
 
 
 def task_states(events: DataFrame) -> DataFrame:
@@ -130,13 +161,23 @@ def distinct_transitions(events: DataFrame) -> DataFrame:
 
 
 def log_tail(spark: SparkSession, path: str) -> DataFrame:
-    """New lines of log files as parsed records.  Text only arrives at the end, so the stream
-    emits opening lines; continuation lines need the batch form."""
-    lines = spark.readStream.text(path)
-    parsed = lines.withColumn("p", parse_line(F.col("value")))
-    return parsed.where("p.message IS NOT NULL").select(
-        F.col("p.ts").alias("ts"), F.col("p.logger").alias("logger"), F.col("p.message").alias("message")
-    )
+    """New lines of log files: (file, block, at, ts, logger, message, opens).
+
+    A line that continues a record (a trace, a tag) has no time and logger of its own; ``file``, ``block`` and ``at`` give its place
+    within one micro-batch of its file, from which the batch form (``fill_forward``) takes them over.
+    """
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for batch in batches:
+            yield batch.append_column("at", pa.array(range(at, at + batch.num_rows), pa.int64()))
+            at += batch.num_rows
+
+    lines = spark.readStream.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    lines = lines.mapInArrow(numbered, "file string, block long, value string, at long").withColumn("p", parse_line(F.col("value")))
+    return lines.select(
+        "file", "block", "at", F.col("p.ts").alias("ts"), F.col("p.logger").alias("logger"),
+        F.coalesce("p.message", "value").alias("message"), F.col("p.message").isNotNull().alias("opens"))
 
 
 def tail_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -39,6 +39,12 @@ def test_errors(spark, rows):
     }
 
 
+def test_root_may_hold_any_key(spark, rows):
+    """A root member named like a question's type is a member, and braces in texts do not count as depth."""
+    leaves = config.config_flatten(parsed(spark, '{"q_type": "x", "a": {"b": "{{{\\"}"}}'))
+    assert rows(leaves, "name", "value", "error") == {("root__q_type", "x", None), ("root__a__b", '{{{"}', None)}
+
+
 def test_round_trip(spark):
     deep: dict = {"leaf": "v"}
     for i in range(12):

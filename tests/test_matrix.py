@@ -49,7 +49,7 @@ def test_ragged(spark, rows):
     assert rows(matrix.ragged_rows(ragged), "row_id", "n_cells", "reason") == {
         (0, 4, "too long"), (1, 2, "short"), (2, 1, "blank"), (4, 2, "short"),
     }
-    assert [r["row_id"] for r in matrix.run_arg_vector(ragged).orderBy("row_id").collect()] == [1, 2, 3, 4]
+    assert [r["row_id"] for r in matrix.run_arg_vector(ragged).where("refused IS NULL").orderBy("row_id").collect()] == [1, 2, 3, 4]
 
 
 def test_defaults(spark, rows):
@@ -58,14 +58,13 @@ def test_defaults(spark, rows):
     assert got == {(0, "logs_dir", "/mine", "run"), (0, "dry", "true", "run"), (1, "logs_dir", "/all", "batch"), (1, "dry", "no", "default")}
 
 
-@pytest.mark.parametrize("hot_rows", [0, 1_000_000])
-def test_scan_splits_large_files(spark, tmp_path, hot_rows):
+def test_scan_splits_large_files(spark, tmp_path):
     lines = [f"v{i}\t/in/{i}\ttrue\ta{i}\tb{i}" for i in range(3000)]
     (tmp_path / "one.tsv").write_text("\n".join([HEADER, *lines]) + "\n")
     (tmp_path / "two.tsv").write_text("--x\n1\n--x\n")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
     try:
-        found = text.matrix_scan(spark, str(tmp_path), hot_rows)
+        found = text.matrix_scan(spark, str(tmp_path))
         big = found.where(F.col("file").endswith("one.tsv")).orderBy("row_no").collect()
         assert [r["cells"] for r in big] == [line.split("\t") for line in lines]
         assert [r["row_no"] for r in big] == list(range(1, 3001)) and big[0]["header"] == HEADER.split("\t")
@@ -87,3 +86,30 @@ def test_batch_expand(spark, rows):
     assert rows(matrix.batch_expand(runs, template), "task_id", "input", "output") == {
         (f"run{r}/{n}", f"run{r}/{i}", f"run{r}/{o}") for r in (1, 2) for n, i, o in (("t", "i", "o"), ("u", "o", "p"))
     }
+
+
+def test_refused_lines_keep_their_place(spark, rows):
+    """A line longer than its header has neither vector nor map, and says so in both."""
+    lines = table(spark, "--a", ["1", "1\t2"])
+    assert rows(matrix.run_arg_vector(lines).withColumn("argv", F.array_join("argv", " "))) == {(1, 0, "--a 1", None), (1, 1, None, "too long")}
+    given = matrix.given_arguments(lines)
+    assert rows(matrix.run_arg_defaults(given, {}, {"a": "9"}), "row_id", "value", "source") == {(0, "1", "run"), (1, None, "refused")}
+
+
+def test_repeated_header_and_words(spark, rows):
+    given = matrix.given_arguments(table(spark, "--a\t--b\t--a", ["1\tx   y\t2"]))
+    assert rows(matrix.run_arg_defaults(given, {}, {"a": "9", "b": "8"}), "name", "value") == {("a", "2"), ("b", "x y")}
+
+
+def test_scan_survives_other_splits(spark, tmp_path):
+    """Headers stay headers when the split size changes between planning and running."""
+    for i in range(6):
+        (tmp_path / f"{i}.tsv").write_text("".join([f"--h{i}\n", *[f"v{j}\n" for j in range(50)]]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        found = text.matrix_scan(spark, str(tmp_path))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+        got = [(r["file"][-5:], r["row_no"], r["header"][0], r["cells"][0]) for r in found.collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(got) == sorted((f"{i}.tsv", j + 1, f"--h{i}", f"v{j}") for i in range(6) for j in range(50))

@@ -22,12 +22,11 @@ trace > with an arrow
 """
 
 
-@pytest.mark.parametrize("hot_rows", [0, 1_000_000])
-def test_log_scan(spark, tmp_path, hot_rows):
+def test_log_scan(spark, tmp_path):
     (tmp_path / "nightly_run_29Aug2018_120000.wf.log").write_text(LOG)
     spark.conf.set("spark.sql.files.maxPartitionBytes", "128")
     try:
-        scanned = text.log_scan(spark, str(tmp_path), hot_rows).orderBy("block", "at").collect()
+        scanned = text.log_scan(spark, str(tmp_path)).orderBy("block", "at").collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [r["opens"] for r in scanned] == [True] * 4 + [False] + [True] * 3 + [False, False, True]
@@ -81,11 +80,10 @@ def attempts(spark, spans):
     return spark.createDataFrame(rows, "run_id long, task_id long, start_ts timestamp_ntz, end_ts timestamp_ntz")
 
 
-@pytest.mark.parametrize("hot_rows", [0, 1_000_000])
-def test_concurrency(spark, rows, hot_rows):
+def test_concurrency(spark, rows):
     """The nine-task workflow runs at most four tasks at once; ends free their place first."""
     spans = [(0, 2), (0, 3), (0, 5), (5, 8), (0, 10), (10, 12), (8, 11), (12, 18), (18, 20)]
-    got = rows(runlog.running_concurrency(attempts(spark, spans), hot_rows))
+    got = rows(runlog.running_concurrency(attempts(spark, spans)))
     assert got == {(1, 4, datetime(2024, 1, 1))}
 
 
@@ -94,17 +92,21 @@ def test_elapsed_beyond_a_day(spark, rows):
 
 
 def test_set_change(spark, rows):
-    got = rows(runlog.running_set_change(attempts(spark, [(0, 100), (5, 9), (61, 130)]), 10), "task_id", "change")
-    assert got == {(0, "entered"), (0, "left"), (2, "entered"), (2, "left")}
+    """A task is seen at two polls at least, however short it is."""
+    day = 1704067200.0
+    got = rows(runlog.running_set_change(attempts(spark, [(0, 100), (5, 9), (61, 130)]), 10), "task_id", "poll_s", "change")
+    assert got == {(0, day, "entered"), (0, day + 100, "left"), (1, day + 10, "entered"), (1, day + 20, "left"), (2, day + 70, "entered"), (2, day + 130, "left")}
+    fine = rows(runlog.running_set_change(attempts(spark, [(1, 1)]), 0.25), "poll_s", "change")
+    assert fine == {(day + 1, "entered"), (day + 1.25, "left")}
 
 
-@pytest.mark.parametrize("hot_rows", [0, 1_000_000])
-def test_failure_lists(spark, rows, hot_rows):
+def test_failure_lists(spark, rows):
     tasks = spark.createDataFrame(
         [(1, i, f"t{i}", "failed" if i % 2 else "completed") for i in range(1, 8)] + [(2, 1, "x", "pending")],
         "run_id long, seq long, name string, state string")
-    assert rows(runlog.failure_lists(tasks, 3, hot_rows)) == {
-        (1, "failed", 0, "t1 t3 t5"), (1, "failed", 1, "t7"), (1, "pending", 0, "None"), (2, "failed", 0, "None"), (2, "pending", 0, "x"),
+    assert rows(runlog.failure_lists(tasks)) == {
+        (1, "failed", 1, "t1"), (1, "failed", 2, "t3"), (1, "failed", 3, "t5"), (1, "failed", 4, "t7"), (1, "pending", 0, "None"),
+        (2, "failed", 0, "None"), (2, "pending", 1, "x"),
     }
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -68,7 +69,38 @@ def test_tail(spark, tmp_path):
     out = str(tmp_path / "out")
     for n in (1, 2):
         runs.tail_to(runs.log_tail(spark, str(tmp_path / "logs")), out, str(tmp_path / "ck")).awaitTermination()
-        assert spark.read.parquet(out).count() == n
+        assert spark.read.parquet(out).where("opens").count() == n
+        assert spark.read.parquet(out).where("NOT opens AND message = '@tag' AND ts IS NULL AND file LIKE '%a.log'").count() == 1
         (tmp_path / "logs" / "b.log").write_text("[29Aug2018 12:00:01|m] > a finished running\n")
     log = spark.read.parquet(out).withColumn("run_id", F.lit(1))
     assert {r["state"] for r in runlog.task_events(log).collect()} == {"running", "completed"}
+
+
+@pytest.mark.parametrize("as_folder", [False, True])
+def test_table_as_file_or_folder(spark, tmp_path, as_folder):
+    """A folder of many files in shuffled order of time gives what the single file gives, late rows counted."""
+    rows = [event(30 * i, f"t{i % 7}") for i in range(200)]
+    random.Random(5).shuffle(rows)
+    path = tmp_path / "events.parquet"
+    if as_folder:
+        for i in range(0, 200, 10):
+            spark.createDataFrame(rows[i:i + 10], SCHEMA).coalesce(1).write.mode("append").parquet(str(path))
+    else:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "one"))
+        next((tmp_path / "one").glob("part-*.parquet")).rename(path)
+    stream = runs.parquet_stream(spark, str(tmp_path), "events", 1)
+    done = runs.run_to_end(runs.run_counts(stream), "t", "update")
+    counted = runs.latest(done.rows, ["window_start", "pool"]).agg(F.sum("n")).first()[0]
+    assert done.n_read == 200 and counted < 200 if as_folder else counted == 200
+    # two events an hour: a late window of one file is one or two of its rows
+    assert done.n_late <= 200 - counted <= 2 * done.n_late
+    states = runs.latest(runs.drain(runs.task_states(stream), "t", "update"), ["run_id", "task"])
+    want = {t: max(r[4] for r in rows if r[1] == t) for t in {r[1] for r in rows}}
+    assert {r["task"]: r["ts"] for r in states.collect()} == want
+
+
+def test_no_file_is_an_error(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    with pytest.raises(ValueError, match="no file"):
+        runs.drain(runs.task_states(stream), "t", "update")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,14 +131,15 @@ def test_producers_and_waits(spark, rows):
 
 def test_artifacts(spark, rows):
     uses = spark.createDataFrame(
-        [("/d", 1, None, None), ("/d", 2, "input", None), ("/d", 3, "output", False), ("/t", 1, "output", True),
-         ("/t", 2, "input", None), ("/n", 1, None, None), ("", 1, "input", None)],
-        "path string, seq long, mode string, tmp boolean",
+        [(1, "/d", 1, None, None), (1, "/d", 2, "input", None), (1, "/d", 3, "output", False), (1, "/t", 1, "output", True),
+         (1, "/t", 2, "input", None), (1, "/n", 1, None, None), (1, "", 1, "input", None), (2, "/t", 9, "output", False)],
+        "run_id long, path string, seq long, mode string, tmp boolean",
     )
     catalog = lineage.artifact_catalog(uses)
-    assert rows(catalog, "path", "mode", "tmp") == {("/d", "output", False), ("/t", "input", True), ("/n", None, None)}
-    ports = spark.createDataFrame([(1, "a", "output", "/t")], PORT)
-    assert rows(lineage.temp_artifacts(catalog, ports)) == {("/t",)}
+    assert rows(catalog, "run_id", "path", "mode", "tmp") == {
+        (1, "/d", "output", False), (1, "/t", "input", True), (1, "/n", None, None), (2, "/t", "output", False)}
+    ports = spark.createDataFrame([(1, "a", "output", "/t"), (2, "a", "output", "/t")], PORT)
+    assert rows(lineage.temp_artifacts(catalog, ports)) == {(1, "/t")}
     assert rows(lineage.temp_artifacts(catalog, ports, "no")) == set()
 
 
@@ -154,3 +157,59 @@ def test_order(flow, spark, rows):
 def test_missing_outputs(flow, spark, rows):
     seen = spark.createDataFrame([(f,) for f in ("a.out", "b.out", "c.out", "d1.out", "g1.out", "g2.out", "f.out")], "path string")
     assert rows(lineage.missing_outputs(flow[1], seen), "task_id", "path") == {("notos_4", "d2.out"), ("petrichor_9", "i.final")}
+
+
+def test_first_producer_counts(spark, rows):
+    """Three writers and four readers of one file: four dependencies, not twelve."""
+    ports = spark.createDataFrame(
+        [(1, w, "output", "log") for w in ("b", "a", "c")] + [(1, r, "input", "log") for r in "wxyz"], PORT)
+    assert rows(lineage.task_dependencies(ports), "task_id", "depends_on") == {(r, "a") for r in "wxyz"}
+    order = spark.createDataFrame([("b", 1), ("a", 2), ("c", 3)], "task_id string, seq long")
+    assert rows(lineage.task_dependencies(ports.join(order, "task_id", "left")), "task_id", "depends_on") == {(r, "b") for r in "wxyz"}
+
+
+def chain(spark, n, seed):
+    names = list(range(n))
+    random.Random(seed).shuffle(names)
+    tasks = spark.createDataFrame([(1, t, 1) for t in names], "run_id long, task_id long, duration_s long")
+    deps = spark.createDataFrame([(1, b, a) for a, b in zip(names, names[1:])], "run_id long, task_id long, depends_on long")
+    return names, tasks, deps
+
+
+@pytest.fixture
+def writes(monkeypatch):
+    count = []
+    real = graph.stored
+    monkeypatch.setattr(graph, "stored", lambda *a: (count.append(1), real(*a))[1])
+    return count
+
+
+def test_rounds_of_a_shuffled_chain(spark, writes, rows):
+    _, tasks, deps = chain(spark, 1000, 1)
+    assert {r[1] for r in rows(graph.sub_workflows(tasks, deps, 0), "task_id", "component")} == {0}
+    assert len(writes) <= 20
+
+
+def test_levels_of_a_deep_run(spark, writes, rows):
+    names, tasks, deps = chain(spark, 300, 2)
+    assert rows(graph.task_levels(tasks, deps), "task_id", "level") == {(t, i) for i, t in enumerate(names)}
+    assert len(writes) <= 3
+
+
+@pytest.mark.parametrize("run_rows", [0, 6])
+def test_long_runs_are_solved_alike(spark, rows, run_rows):
+    """Random graphs with cycles, unknown tasks and repeats, in runs of different size."""
+    rng = random.Random(3)
+    tasks, deps = [], []
+    for run in range(8):
+        n = rng.randint(1, 12)
+        tasks += [(run, t, rng.randint(0, 9)) for t in range(n)]
+        deps += [(run, rng.randrange(n), rng.randrange(n + 1)) for _ in range(rng.randint(0, 2 * n))]
+    tasks = spark.createDataFrame(tasks, "run_id long, task_id long, duration_s long")
+    deps = spark.createDataFrame(deps, "run_id long, task_id long, depends_on long")
+    seeds = tasks.where("task_id % 5 = 0")
+    for find in (
+        lambda k: graph.earliest_schedule(tasks, deps, k), lambda k: graph.task_levels(tasks, deps, k), lambda k: graph.cyclic_tasks(tasks, deps, k),
+        lambda k: graph.failure_impact(seeds, deps, k), lambda k: graph.upstream_closure(seeds, deps, k), lambda k: graph.sub_workflows(tasks, deps, k),
+    ):
+        assert rows(find(run_rows)) == rows(find(10**6))
