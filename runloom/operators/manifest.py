@@ -1,15 +1,14 @@
 """What exactly ran: programs, parameters, redirects and pipes as one table per run history.
 
-Tables
+Tables; task ids are unique within a run only, so everything is keyed by (run_id, task_id)
 
-``tasks``      run_id, task_id, seq, kind ('bash'/'python'), name, path, subprogram, action
+``tasks``      run_id, task_id, seq, kind ('bash'/'python'), name, path, subprogram, action; optionally success_on
+               (array of accepted exit codes) and meta (map)
 ``software``   name, path                     (paths known from the site configuration)
-``params``     task_id, pos, tokens, sep      (pos starts at 1 and has no gaps)
-``redirects``  task_id, pos, stream, dest, is_data
-``pipes``      task_id, pos, right_task_id
+``params``     run_id, task_id, pos, tokens, sep   (pos is anything that sorts)
+``redirects``  run_id, task_id, pos, stream, dest, is_data
+``pipes``      run_id, task_id, pos, right_task_id
 ``ports``      run_id, task_id, role, path
-
-Every table is shuffled once by ``task_id``; the joins that follow reuse that partitioning.
 """
 
 from __future__ import annotations
@@ -20,8 +19,9 @@ from pyspark.sql import functions as F
 from runloom.functions.text import basename, redirect_token
 from runloom.session import stored
 
-#: Arguments rendered into one row.  A longer command continues in rows with a higher ``part``.
-ARGUMENTS_PER_PART = 10_000
+KEY = ["run_id", "task_id"]
+#: Fixed value: the destination that discards a stream.
+NULL_DEVICE = "/dev/null"
 
 
 def resolve_programs(tasks: DataFrame, software: DataFrame) -> DataFrame:
@@ -29,9 +29,12 @@ def resolve_programs(tasks: DataFrame, software: DataFrame) -> DataFrame:
 
     The path is the task's own, else the configured one; a program without either is marked
     ``resolved = false``.  ``basename`` ignores the subprogram.
+    A task without accepted exit codes accepts '0'.
     """
     known = software.select(F.col("name"), F.col("path").alias("site_path"))
     joined = tasks.join(known, "name", "left")
+    codes = F.col("success_on") if "success_on" in tasks.columns else F.lit(None).cast("array<string>")
+    meta = F.col("meta") if "meta" in tasks.columns else F.lit(None).cast("map<string,string>")
     is_python = F.col("kind") == "python"
     path = F.coalesce("path", "site_path")
     base = F.when(is_python, F.col("name")).otherwise(F.replace(basename(path), F.lit(" "), F.lit("_")))
@@ -42,6 +45,7 @@ def resolve_programs(tasks: DataFrame, software: DataFrame) -> DataFrame:
         F.concat_ws("_", base, F.col("seq").cast("string")).alias("app_id"),
         F.coalesce("action", F.when(path.isNotNull(), full)).alias("label"),
         (is_python | path.isNotNull()).alias("resolved"),
+        F.coalesce(codes, F.array(F.lit("0"))).alias("success_on"), meta.alias("meta"),
     ).withColumn("label", F.when(is_python, F.col("app_id")).otherwise(F.col("label")))
 
 
@@ -55,15 +59,19 @@ def redirect_resolve(redirects: DataFrame) -> DataFrame:
 
     Only the first two redirects count.  One that takes both streams ends the scan, and its
     destination is not an output; otherwise the later redirect of a stream wins and a data
-    destination becomes an output.  The limit of two rows is applied before the shuffle.
+    destination becomes an output, unless it is the null device.  A redirect without a stream takes standard output, one
+    without a destination discards.  The limit of two rows is applied before the shuffle.
     """
-    order = Window.partitionBy("task_id").orderBy("pos")
+    redirects = redirects.withColumns({
+        "stream": F.coalesce("stream", F.lit(0).cast(redirects.schema["stream"].dataType)), "dest": F.coalesce("dest", F.lit(NULL_DEVICE))})
+    redirects = redirects.withColumn("is_data", F.col("is_data") & (F.col("dest") != NULL_DEVICE))
+    order = Window.partitionBy(*KEY).orderBy("pos")
     first_two = redirects.withColumn("nth", F.row_number().over(order)).where("nth <= 2")
 
     def of(nth: int, column: str):
         return F.max(F.when(F.col("nth") == nth, F.col(column)))
 
-    pair = first_two.groupBy("task_id").agg(
+    pair = first_two.groupBy(*KEY).agg(
         *[of(n, c).alias(f"{c}{n}") for n in (1, 2) for c in ("stream", "dest", "is_data")]
     )
     both_first = F.col("stream1") == 2
@@ -78,7 +86,7 @@ def redirect_resolve(redirects: DataFrame) -> DataFrame:
         )
 
     return pair.select(
-        "task_id",
+        *KEY,
         target(0).alias("stdout"),
         target(1).alias("stderr"),
         F.when(~both_first & F.col("is_data1"), F.col("dest1")).alias("output1"),
@@ -92,97 +100,55 @@ def redirect_resolve(redirects: DataFrame) -> DataFrame:
 
 def first_pipes(pipes: DataFrame) -> DataFrame:
     """Only the first pipe of a task counts."""
-    return pipes.groupBy("task_id").agg(F.min_by("right_task_id", "pos").alias("right_task_id"))
+    return pipes.groupBy(*KEY).agg(F.min_by("right_task_id", "pos").alias("right_task_id"))
 
 
-def render_arguments(params: DataFrame, per_part: int = ARGUMENTS_PER_PART) -> DataFrame:
-    """Tokens joined by the parameter's separator, parameters by a blank, in order."""
-    part = F.floor((F.col("pos") - 1) / per_part).cast("long")
+def render_arguments(params: DataFrame) -> DataFrame:
+    """Tokens joined by the parameter's separator, parameters by a blank, in order: one row per task."""
     return (
-        params.select("task_id", part.alias("part"), "pos", F.expr("array_join(tokens, sep)").alias("arg"))
-        .groupBy("task_id", "part")
+        params.select(*KEY, "pos", F.expr("array_join(tokens, sep)").alias("arg"))
+        .groupBy(*KEY)
         .agg(F.expr("listagg(arg, ' ') WITHIN GROUP (ORDER BY pos)").alias("arguments"))
     )
 
 
-def blueprints(
-    tasks: DataFrame,
-    software: DataFrame,
-    params: DataFrame,
-    redirects: DataFrame,
-    tmp_dir: str,
-    per_part: int = ARGUMENTS_PER_PART,
-) -> DataFrame:
-    """Commands and streams before pipes; one row per task and part.
+def blueprints(tasks: DataFrame, software: DataFrame, params: DataFrame, redirects: DataFrame, tmp_dir: str) -> DataFrame:
+    """Commands and streams before pipes; one row per task.
 
     A stream that is not redirected goes to ``<tmp_dir>/<app_id>.stdout`` or ``.stderr``.
     """
     programs = resolve_programs(tasks, software).where("resolved and kind = 'bash'")
-    arguments = render_arguments(params, per_part)
-    streams = redirect_resolve(redirects).select("task_id", "stdout", "stderr")
-    lengths = params.groupBy("task_id").agg(
-        F.floor((F.max("pos") - 1) / per_part).cast("long").alias("last_part")
-    )
-    heads = (
-        programs.join(lengths, "task_id", "left")
-        .join(streams, "task_id", "left")
-        .withColumn("last_part", F.coalesce("last_part", F.lit(0).cast("long")))
-        .withColumn("left_stderr", F.col("stderr"))
-        .withColumn("stdout", F.coalesce("stdout", F.concat(F.lit(tmp_dir + "/"), "app_id", F.lit(".stdout"))))
-        .withColumn("stderr", F.coalesce("stderr", F.concat(F.lit(tmp_dir + "/"), "app_id", F.lit(".stderr"))))
-    )
-    rows = heads.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last_part"))))
-    return rows.join(arguments, ["task_id", "part"], "left").select(
-        "run_id", "task_id", "app_id", "label", "part", "last_part", "left_stderr", "stdout", "stderr",
-        F.concat_ws(" ", F.when(F.col("part") == 0, F.col("program")), "arguments").alias("cmd"),
+    streams = redirect_resolve(redirects).select(*KEY, "stdout", "stderr")
+    joined = programs.join(render_arguments(params), KEY, "left").join(streams, KEY, "left")
+
+    def default(name: str):
+        return F.coalesce(name, F.concat(F.lit(tmp_dir + "/"), "app_id", F.lit("." + name))).alias(name)
+
+    return joined.select(
+        *KEY, "app_id", "label", F.col("stderr").alias("left_stderr"), default("stdout"), default("stderr"),
+        F.concat_ws(" ", "program", "arguments").alias("cmd"), "success_on", "meta",
     )
 
 
 def pipe_compose(blueprint: DataFrame, pipes: DataFrame) -> DataFrame:
-    """``left [2> err] | right``: the streams become those of the right side.
+    """``left [2> err] | right``: the streams become those of the right side, accepted codes stay the left side's.
 
     ``blueprint`` has the columns of :func:`blueprints`; so has the result, so that longer
     chains are composed by applying the function to its own output.
     """
-    chosen = first_pipes(pipes)
     right = blueprint.select(
-        F.col("task_id").alias("right_task_id"), F.col("part").alias("right_part"),
-        F.col("last_part").alias("right_last"), F.col("cmd").alias("right_cmd"),
+        "run_id", F.col("task_id").alias("right_task_id"), F.col("cmd").alias("right_cmd"),
         F.col("stdout").alias("right_stdout"), F.col("stderr").alias("right_stderr"),
     )
-    pairs = chosen.join(right, "right_task_id").drop("right_task_id")
-    start = pairs.where("right_part = 0").drop("right_part")
+    pairs = first_pipes(pipes).join(right, ["run_id", "right_task_id"]).drop("right_task_id")
     piped = F.col("right_cmd").isNotNull()
-    at_end = F.col("part") == F.col("last_part")
-    own = blueprint.join(start, "task_id", "left").select(
-        "run_id", "task_id", "app_id", "label", "part",
-        (F.col("last_part") + F.when(piped, F.col("right_last")).otherwise(0)).alias("last_part"),
-        F.when(~piped, F.col("left_stderr")).alias("left_stderr"),
-        F.when(piped, F.col("right_stdout")).otherwise(F.col("stdout")).alias("stdout"),
-        F.when(piped, F.col("right_stderr")).otherwise(F.col("stderr")).alias("stderr"),
-        F.when(
-            piped & at_end,
-            F.concat_ws(
-                " ", "cmd",
-                F.when(F.col("left_stderr").isNotNull(), F.concat(F.lit("2> "), F.col("left_stderr"))),
-                F.lit("|"), "right_cmd",
-            ),
-        ).otherwise(F.col("cmd")).alias("cmd"),
-        piped.alias("is_piped"),
-    )
-    more = (
-        blueprint.where("part = 0")
-        .join(pairs.where("right_part > 0"), "task_id")
-        .select(
-            "run_id", "task_id", "app_id", "label",
-            (F.col("last_part") + F.col("right_part")).alias("part"),
-            (F.col("last_part") + F.col("right_last")).alias("last_part"),
-            F.lit(None).cast("string").alias("left_stderr"),
-            F.col("right_stdout").alias("stdout"), F.col("right_stderr").alias("stderr"),
-            F.col("right_cmd").alias("cmd"), F.lit(True).alias("is_piped"),
-        )
+    both = F.concat_ws(
+        " ", "cmd", F.when(F.col("left_stderr").isNotNull(), F.concat(F.lit("2> "), F.col("left_stderr"))), F.lit("|"), "right_cmd")
+    return blueprint.join(pairs, KEY, "left").select(
+        *KEY, "app_id", "label", F.when(~piped, F.col("left_stderr")).alias("left_stderr"),
+        F.coalesce("right_stdout", "stdout").alias("stdout"), F.coalesce("right_stderr", "stderr").alias("stderr"),
+        F.when(piped, both).otherwise(F.col("cmd")).alias("cmd"), "success_on", "meta", piped.alias("is_piped"),
     )
-    return own.unionByName(more)
 
 
 def task_files(
@@ -192,14 +158,14 @@ def task_files(
     right side.  One row each; a list per task would not be bounded."""
     streams = redirect_resolve(redirects)
     redirected = streams.select(
-        "task_id", F.lit("output").alias("role"),
+        *KEY, F.lit("output").alias("role"),
         F.explode(F.array_compact(F.array("output1", "output2"))).alias("path"),
     )
-    own = ports.select("task_id", "role", "path").unionByName(redirected)
-    left_of = first_pipes(pipes).select(F.col("right_task_id").alias("task_id"), F.col("task_id").alias("left_id"))
+    own = ports.select(*KEY, "role", "path").unionByName(redirected)
+    left_of = first_pipes(pipes).select("run_id", F.col("right_task_id").alias("task_id"), F.col("task_id").alias("left_id"))
     return (
-        own.where("path <> ''").join(left_of, "task_id", "left")
-        .select(F.explode(F.array_compact(F.array("task_id", "left_id"))).alias("task_id"), "role", "path")
+        own.where("path <> ''").join(left_of, KEY, "left")
+        .select("run_id", F.explode(F.array_compact(F.array("task_id", "left_id"))).alias("task_id"), "role", "path")
         .distinct()
     )
 
@@ -212,29 +178,27 @@ def command_manifest(
     pipes: DataFrame,
     ports: DataFrame,
     tmp_dir: str = "tmp",
-    per_part: int = ARGUMENTS_PER_PART,
 ) -> DataFrame:
-    """One row per program run (and part of a very long command): what was executed, where its
+    """One row per program run: what was executed, which exit codes it accepts, where its
     streams went, how many files it reads and writes, and how many tasks it waits on.
 
-    Commands before pipes are stored once, because both sides of a pipe read them.
+    A program on the right of a pipe runs as part of the left one and has no row of its own.  Commands before pipes are
+    stored once, because both sides of a pipe read them.
     """
-    blueprint, _ = stored(blueprints(tasks, software, params, redirects, tmp_dir, per_part), "blueprints")
-    composed = pipe_compose(blueprint, pipes)
+    blueprint, _ = stored(blueprints(tasks, software, params, redirects, tmp_dir), "blueprints")
+    rights = pipes.select("run_id", F.col("right_task_id").alias("task_id")).distinct()
+    composed = pipe_compose(blueprint, pipes).join(rights, KEY, "left_anti")
     counts = (
         task_files(ports, redirects, pipes)
-        .groupBy("task_id")
+        .groupBy(*KEY)
         .agg(*[
             F.count_if(F.col("role") == role).alias(name)
             for role, name in (("input", "n_inputs"), ("output", "n_outputs"), ("wait_on", "n_waits"))
         ])
     )
-    at_end = F.col("part") == F.col("last_part")
-    logged = F.when(
-        at_end, F.concat(F.col("cmd"), F.lit(" > "), F.col("stdout"), F.lit(" 2> "), F.col("stderr"))
-    ).otherwise(F.col("cmd"))
-    return composed.join(counts, "task_id", "left").select(
-        "run_id", "task_id", "app_id", "label", "part", "cmd", logged.alias("logged"), "stdout", "stderr",
+    logged = F.concat(F.col("cmd"), F.lit(" > "), F.col("stdout"), F.lit(" 2> "), F.col("stderr"))
+    return composed.join(counts, KEY, "left").select(
+        *KEY, "app_id", "label", "cmd", logged.alias("logged"), "stdout", "stderr", "success_on", "meta",
         *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_inputs", "n_outputs", "n_waits")],
     )
 

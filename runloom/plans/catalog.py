@@ -74,10 +74,8 @@ SELECT run_id, path, min_by(task_id, seq) AS producer, count(*) AS n_producers
 FROM (SELECT DISTINCT * FROM wf_log_port) GROUP BY run_id, path HAVING count(*) > 1)"""))
 def ambiguous_producers(v: Views) -> DataFrame:
     """Log files that several tasks of one run write."""
-    written = v.redirect().where("is_data").select("task_id", F.col("dest").alias("path")).distinct()
-    tasks = v.task()
-    ports = written.join(tasks.select("run_id", "task_id"), "task_id").withColumn("role", F.lit("output"))
-    return lineage.ambiguous_producers(tasks, ports)
+    written = v.redirect().where("is_data").select("run_id", "task_id", F.col("dest").alias("path")).distinct()
+    return lineage.ambiguous_producers(v.task(), written.withColumn("role", F.lit("output")))
 
 
 @query(using("wf_port", """
@@ -223,21 +221,22 @@ def _blueprints(v: Views) -> DataFrame:
     return stored(manifest.blueprints(v.program(), v.software(), v.param(), v.redirect(), "tmp"), "blueprints")[0]
 
 
-@query(using("wf_composed wf_file", """
-SELECT c.run_id, c.task_id, c.app_id, c.label, c.part, c.cmd, c.cmd || ' > ' || c.stdout || ' 2> ' || c.stderr AS logged,
+@query(using("wf_composed wf_file wf_pipe wf_task", """
+SELECT c.run_id, c.task_id, c.app_id, c.label, CASE WHEN c.task_id % 2 = 0 THEN '0,1,128' ELSE '0' END AS success_on, t.pool AS executor, c.cmd, c.cmd || ' > ' || c.stdout || ' 2> ' || c.stderr AS logged,
   c.stdout, c.stderr, coalesce(f.i, 0) AS n_inputs, coalesce(f.o, 0) AS n_outputs, coalesce(f.w, 0) AS n_waits
 FROM wf_composed c LEFT JOIN (SELECT task_id, count(*) FILTER (WHERE role = 'input') AS i,
   count(*) FILTER (WHERE role = 'output') AS o, count(*) FILTER (WHERE role = 'wait_on') AS w FROM wf_file GROUP BY task_id) f
-ON f.task_id = c.task_id"""))
+ON f.task_id = c.task_id JOIN wf_task t ON t.task_id = c.task_id WHERE c.task_id NOT IN (SELECT right_task_id FROM wf_pipe)"""))
 def command_manifest(v: Views) -> DataFrame:
-    return manifest.command_manifest(
+    found = manifest.command_manifest(
         v.program(), v.software(), v.param(), v.redirect(), v.pipe(), v.port()
     )
+    return found.withColumns({"success_on": F.array_join("success_on", ","), "executor": F.col("meta")["executor"]}).drop("meta")
 
 
 @query(using("wf_file", "SELECT task_id, role, path FROM wf_file"))
 def command_files(v: Views) -> DataFrame:
-    return manifest.task_files(v.port(), v.redirect(), v.pipe())
+    return manifest.task_files(v.port(), v.redirect(), v.pipe()).select("task_id", "role", "path")
 
 
 @query(using("wf_resolved", "SELECT run_id, task_id, seq FROM wf_resolved WHERE kind = 'bash' AND final_path IS NULL"))
@@ -247,7 +246,7 @@ def unresolved_programs(v: Views) -> DataFrame:
 
 @query(using("wf_stream", "SELECT task_id, stdout, stderr, output1, output2, token1, token2 FROM wf_stream"))
 def redirect_resolve(v: Views) -> DataFrame:
-    return manifest.redirect_resolve(v.redirect())
+    return manifest.redirect_resolve(v.redirect()).drop("run_id")
 
 
 @query(using("wf_composed", "SELECT task_id, cmd, stdout, stderr FROM wf_composed WHERE is_piped"))
@@ -261,15 +260,14 @@ def program_inventory(v: Views) -> DataFrame:
     return manifest.program_inventory(v.program(), v.software())
 
 
-@query("""
-SELECT o_orderkey AS task_id, CASE WHEN CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 5 IN (0, 1, 128) ELSE o_orderkey % 5 = 0 END THEN 0 ELSE 1 END AS status FROM orders""")
+@query(using("wf_resolved", """
+SELECT run_id, task_id, CASE WHEN CASE WHEN task_id % 2 = 0 THEN task_id % 5 IN (0, 1, 128) ELSE task_id % 5 = 0 END THEN 0 ELSE 1 END AS status
+FROM wf_resolved WHERE kind = 'bash' AND program IS NOT NULL"""))
 def exit_status(v: Views) -> DataFrame:
-    """Exit codes judged by the accepted codes of each task; every second task has no list."""
-    accepted = F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("0"), F.lit("1"), F.lit("128")))
-    return v.base("orders").select(
-        F.col("o_orderkey").alias("task_id"),
-        F.when(accepted_exit(accepted, F.col("o_orderkey") % 5), 0).otherwise(1).alias("status"),
-    )
+    """Exit codes of the programs judged by the codes that each accepts."""
+    programs = manifest.resolve_programs(v.program(), v.software()).where("resolved AND kind = 'bash'")
+    status = F.when(accepted_exit(F.col("success_on"), F.col("task_id") % 5), 0).otherwise(1)
+    return programs.select("run_id", "task_id", status.alias("status"))
 
 
 # --- matrices -----------------------------------------------------------------------------

@@ -33,9 +33,6 @@ class Views:
     def task(self) -> DataFrame:
         return self._table("task_ranked")
 
-    def token(self) -> DataFrame:
-        return self._table("token_ranked")
-
     def _task_ranked(self) -> DataFrame:
         orders = self.base("orders").select(
             F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("task_id"),
@@ -103,6 +100,8 @@ class Views:
             F.expr("CASE WHEN task_id % 3 <> 0 THEN concat('/opt/tools/', lower(pool), ' v2') END").alias("path"),
             F.expr("CASE WHEN task_id % 6 = 1 THEN 'sort' END").alias("subprogram"),
             F.expr("CASE WHEN task_id % 10 = 1 THEN concat('step ', CAST(task_id AS STRING)) END").alias("action"),
+            F.expr("CASE WHEN task_id % 2 = 0 THEN array('0', '1', '128') END").alias("success_on"),
+            F.expr("map('executor', pool)").alias("meta"),
         )
 
     def software(self) -> DataFrame:
@@ -114,17 +113,15 @@ class Views:
             F.concat(F.lit("/opt/site/"), "o_orderpriority").alias("path"),
         ).distinct()
 
-    def _token_ranked(self) -> DataFrame:
-        items = self.base("lineitem")
-        order = [
+    def _tokens(self) -> DataFrame:
+        """Line items with the run of their order.  Their place is a structure that sorts, so that none has to be ranked."""
+        place = [
             "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount",
             "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
         ]
-        ranked = row_rank(
-            items, ["l_orderkey"], order, [F.col("l_linenumber"), F.floor(F.col("l_partkey") / 1000)], "pos"
-        )
-        return ranked.select(
-            F.col("l_orderkey").alias("task_id"), "pos",
+        runs = self.base("orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("l_orderkey"))
+        return self.base("lineitem").join(runs, "l_orderkey").select(
+            "run_id", F.col("l_orderkey").alias("task_id"), F.struct(*place).alias("pos"),
             F.concat(F.lit("--"), "l_returnflag").alias("flag"),
             F.concat(F.lit("part"), F.col("l_partkey").cast("string")).alias("val"),
             F.expr("CASE WHEN l_linestatus = 'F' THEN '=' ELSE ' ' END").alias("sep"),
@@ -134,10 +131,10 @@ class Views:
         )
 
     def param(self) -> DataFrame:
-        return self.token().select("task_id", "pos", F.array("flag", "val").alias("tokens"), "sep")
+        return self._tokens().select("run_id", "task_id", "pos", F.array("flag", "val").alias("tokens"), "sep")
 
     def redirect(self) -> DataFrame:
-        return self.token().select("task_id", "pos", "stream", "dest", "is_data")
+        return self._tokens().select("run_id", "task_id", "pos", "stream", "dest", "is_data")
 
     def pipe(self) -> DataFrame:
         tasks = self.task().select("run_id", "task_id", "seq")
@@ -145,7 +142,7 @@ class Views:
             "run_id", "task_id", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("pos"), "seq"
         ).select("run_id", "task_id", "pos", (F.col("seq") + F.col("pos")).alias("seq"))
         right = tasks.withColumnRenamed("task_id", "right_task_id")
-        return left.join(right, ["run_id", "seq"]).select("task_id", "pos", "right_task_id")
+        return left.join(right, ["run_id", "seq"]).select("run_id", "task_id", "pos", "right_task_id")
 
     def pool(self) -> DataFrame:
         """Stored, so that the planner sees how small the site's configuration is."""

@@ -15,9 +15,9 @@ class Tables:
         make = spark.createDataFrame
         self.tasks = make(list(tasks), TASK)
         self.software = make(SOFTWARE, "name string, path string")
-        self.params = make(list(params), "task_id long, pos long, tokens array<string>, sep string")
-        self.redirects = make(list(redirects), "task_id long, pos long, stream int, dest string, is_data boolean")
-        self.pipes = make(list(pipes), "task_id long, pos long, right_task_id long")
+        self.params = make([(1, *p) for p in params], "run_id long, task_id long, pos long, tokens array<string>, sep string")
+        self.redirects = make([(1, *r) for r in redirects], "run_id long, task_id long, pos long, stream int, dest string, is_data boolean")
+        self.pipes = make([(1, *p) for p in pipes], "run_id long, task_id long, pos long, right_task_id long")
         self.ports = make(list(ports), "run_id long, task_id long, role string, path string")
 
     def manifest(self, **options):
@@ -55,9 +55,7 @@ def test_parameters(spark, rows):
     assert rows(t.manifest(), "cmd", "logged") == {
         (cmd, f"{cmd} > /tmp/run/soft1_1.stdout 2> /tmp/run/soft1_1.stderr")
     }
-    parts = sorted(t.manifest(per_part=3).select("part", "cmd").collect())
-    assert [r["part"] for r in parts] == [0, 1]
-    assert " ".join(r["cmd"] for r in parts) == cmd
+    assert [r["success_on"] for r in t.manifest().collect()] == [["0"]]
 
 
 @pytest.mark.parametrize("given, want", [
@@ -86,21 +84,39 @@ def test_pipes(spark, rows):
     assert rows(piped, "cmd", "stdout", "stderr", "n_inputs") == {(
         "/path/to/soft1 -a 1 2> /kept.err | /path/to/soft6 -b 2 -c /piped.out", "/piped.log", "/tmp/run/soft6_6.stderr", 1,
     )}
-    split = t.manifest(per_part=1).where("task_id = 1").orderBy("part").collect()
-    assert " ".join(r["cmd"] for r in split) == piped.first()["cmd"] and [r["part"] for r in split] == [0, 1]
+    # neither the right side nor the one of the ignored second pipe ran as a task of its own
+    assert rows(t.manifest(), "task_id") == {(1,)}
+
+
+def test_ids_repeat_across_runs(spark, rows):
+    """Task 1 of two runs: parameters, redirects, pipes and files of one run do not reach the other."""
+    t = Tables(spark, [])
+    make = spark.createDataFrame
+    tasks = make([(r, i, i, "bash", "software1", None, None, None, ["3"], {"executor": f"pool{r}"}) for r in (1, 2) for i in (1, 2)],
+                 TASK + ", success_on array<string>, meta map<string,string>")
+    found = manifest.command_manifest(
+        tasks, t.software, make([(1, 1, 1, ["a"], " "), (2, 1, 1, ["b"], " ")], t.params.schema),
+        make([(2, 1, 1, 0, "/out", True), (1, 1, 1, 1, None, True)], t.redirects.schema), make([(1, 1, 1, 2)], t.pipes.schema),
+        make([(1, 1, "input", "/i1"), (2, 1, "input", "/i2")], t.ports.schema), "/t")
+    assert rows(found, "run_id", "task_id", "cmd", "stdout", "n_inputs", "n_outputs") == {
+        (1, 1, "/path/to/soft1 a 2> /dev/null | /path/to/soft1", "/t/soft1_2.stdout", 1, 0),
+        (2, 1, "/path/to/soft1 b", "/out", 1, 1), (2, 2, "/path/to/soft1", "/t/soft1_2.stdout", 0, 0),
+    }
+    assert {(r["run_id"], *r["success_on"], r["meta"]["executor"]) for r in found.collect()} == {(1, "3", "pool1"), (2, "3", "pool2")}
 
 
 def test_pipe_chain(spark):
     t = Tables(spark, [program(1), program(2, "software2"), program(3, "bwa_mem")], pipes=[(2, 1, 3)])
     inner = manifest.pipe_compose(manifest.blueprints(t.tasks, t.software, t.params, t.redirects, "/tmp"), t.pipes)
-    outer = manifest.pipe_compose(inner.drop("is_piped"), spark.createDataFrame([(1, 1, 2)], t.pipes.schema))
+    outer = manifest.pipe_compose(inner.drop("is_piped"), spark.createDataFrame([(1, 1, 1, 2)], t.pipes.schema))
     assert outer.where("task_id = 1").first()["cmd"] == "/path/to/soft1 | /path/to/soft2 | /path/to/bwa mem"
 
 
 def test_redirected_data_is_an_output(spark, rows):
     t = Tables(spark, [program(1)], redirects=[(1, 1, 0, "/stdout.log", False), (1, 2, 1, "/stderr.log", True)],
                ports=[(1, 1, "input", "/i"), (1, 1, "input", "/i"), (1, 1, "output", ""), (1, 1, "wait_on", "9")])
-    assert rows(manifest.task_files(t.ports, t.redirects, t.pipes)) == {(1, "input", "/i"), (1, "output", "/stderr.log"), (1, "wait_on", "9")}
+    assert rows(manifest.task_files(t.ports, t.redirects, t.pipes)) == {
+        (1, 1, "input", "/i"), (1, 1, "output", "/stderr.log"), (1, 1, "wait_on", "9")}
 
 
 def test_text_functions(spark):
