@@ -160,17 +160,23 @@ def tag_inventory(packages: DataFrame) -> DataFrame:
     )
 
 
-def config_cascade(candidates: DataFrame, known: Sequence[str] = ()) -> DataFrame:
+def config_cascade(candidates: DataFrame, loadable: DataFrame | None = None) -> DataFrame:
     """First usable run configuration: command line, pipeline configuration, pipeline default,
     package default if the setting allows it, else failure.
 
-    A candidate on the first two levels is usable if built in or among ``known`` (those that
+    A candidate on the first two levels is usable if built in or among ``loadable`` (name: files that
     load); the pipeline default is taken as it is.
     """
-    names = [*BUILT_IN_CONFIGS, *known]
+    for column in ("cmd_line", "pipeline_config"):
+        mark = F.lit(False)
+        if loadable is not None:
+            known = loadable.select(F.col("name").alias(column)).distinct().withColumn(f"_{column}", F.lit(True))
+            candidates = candidates.join(known, column, "left")
+            mark = F.coalesce(f"_{column}", F.lit(False))
+        candidates = candidates.withColumn(f"_{column}", F.coalesce(F.col(column).isin(list(BUILT_IN_CONFIGS)), F.lit(False)) | mark)
 
     def usable(column: str) -> Column:
-        return F.coalesce(F.col(column).isin(names), F.lit(False))
+        return F.col(f"_{column}")
 
     default = F.coalesce(F.col("pipeline_default") != "", F.lit(False))
     package = F.col("no_config_behavior") == "use_package_default"
@@ -203,17 +209,16 @@ def settings_current(changes: DataFrame, schema: Mapping[str, Sequence[str]] = S
     )
 
 
-def answer_validate(answers: DataFrame, choices: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Value and standing of each answer (answer_id, q_type, answer, default_value, ignored).
+def answer_validate(answers: DataFrame, rules: DataFrame) -> DataFrame:
+    """Value and standing of each answer (answer_id, question, q_type, answer, default_value, ignored).
 
-    An ignored question takes its default unasked; an empty answer takes the default; a type
-    with ``choices`` accepts only those.
+    An ignored question takes its default unasked; an empty answer takes the default.  ``rules`` has the ``choices`` (an array) of
+    those questions that accept nothing else.
     """
     kind = F.lower(strip(F.col("q_type")))
     value = F.when(F.col("ignored") | (F.coalesce("answer", F.lit("")) == ""), F.col("default_value")).otherwise(F.col("answer"))
-    allowed = F.lit(True)
-    for name, options in choices.items():
-        allowed = F.when(kind == name, value.isin(list(options))).otherwise(allowed)
+    answers = answers.join(rules.select("question", "choices"), "question", "left")
+    allowed = F.when(F.col("choices").isNull(), F.lit(True)).otherwise(F.array_contains("choices", value))
     status = (
         F.when(~kind.isin(QUESTION_TYPES), "bad q_type")
         .when(F.col("ignored"), "ignored")
@@ -224,8 +229,12 @@ def answer_validate(answers: DataFrame, choices: Mapping[str, Sequence[str]]) ->
     return answers.select("answer_id", value.alias("value"), status.alias("status"))
 
 
+#: Fixed value: the type of a registry record that stands for a pipeline.
+PIPELINE_RECORD = "pipeline_record"
+
+
 def registry_current(changes: DataFrame) -> DataFrame:
-    """What is installed now, from changes (name, op, changed_at, seq).
+    """What is installed now, from changes (type, name, op, changed_at, seq); only pipeline records count.
 
     A name is installed if its last install is later than its last uninstall, and configured
     if a configure came after that install.  One aggregate, no ordering of the history.
@@ -235,6 +244,7 @@ def registry_current(changes: DataFrame) -> DataFrame:
     def last(op: str) -> Column:
         return F.max(F.when(F.col("op") == op, at)).alias(op)
 
+    changes = changes.where(F.col("type") == PIPELINE_RECORD)
     state = changes.groupBy("name").agg(last("install"), last("configure"), last("uninstall"))
     return state.where("install IS NOT NULL AND (uninstall IS NULL OR install > uninstall)").select(
         "name", F.col("install.changed_at").alias("installed_at"),

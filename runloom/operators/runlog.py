@@ -111,6 +111,19 @@ def run_provenance(log: DataFrame) -> DataFrame:
     )
 
 
+def run_tags(log: DataFrame) -> DataFrame:
+    """Start, end and elapsed microseconds of each run, from its tag lines; null for what is not there.
+
+    A tag is a line of its own, ``@<name>_start`` or ``@<name>_end`` and a time with microseconds.
+    """
+    def tag(which: str) -> Column:
+        found = F.regexp_extract("message", rf"^@\w+_{which} (\d{{4}}-\d{{2}}-\d{{2}} \d{{2}}:\d{{2}}:\d{{2}}(?:\.\d+)?)\s*$", 1)
+        return F.max(F.nullif(found, F.lit("")).try_cast("timestamp_ntz"))
+
+    spans = log.groupBy("run_id").agg(tag("start").alias("started"), tag("end").alias("ended"))
+    return spans.withColumn("elapsed_us", F.timestamp_diff("MICROSECOND", F.col("started"), F.col("ended")))
+
+
 def task_state_final(events: DataFrame, tasks: DataFrame) -> DataFrame:
     """Last state of every task; a task the log never mentions is pending."""
     last = events.groupBy("run_id", "task").agg(

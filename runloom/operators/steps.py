@@ -7,10 +7,11 @@ its standard input.
 from __future__ import annotations
 
 import itertools
+import queue
 import subprocess
-import tempfile
 import threading
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from typing import IO
 
 import pandas as pd
 from pyspark import TaskContext
@@ -41,8 +42,8 @@ def pipe_through(
     'stdout' or 'stderr' for lines of these streams and 'status' for the exit of each
     partition's chain, whose code is that of its last program.  Codes are compared as strings
     with ``success_on``; another code fails the task, which Spark then retries, or with
-    ``on_error='row'`` is reported in the status row.  No shell is involved.  Rows are fed from
-    a thread while output is read, and standard error goes to a file on the worker's disk, so
+    ``on_error='row'`` is reported in the status row.  The exception shows the first 20 lines of standard error; rows have
+    all of them.  No shell is involved.  Rows are fed from one thread and streams are read by others, through a short queue, so
     memory does not grow with the partition.  Partitions without rows run nothing.
 
     Reading both streams and the status means persisting the result first.
@@ -65,50 +66,62 @@ def pipe_through(
                 "accepted": pd.array([good] * len(lines), dtype="boolean"),
             })
 
-        with tempfile.TemporaryFile() as errors:
-            procs: list[subprocess.Popen] = []
-            for command in chain:
-                source = procs[-1].stdout if procs else subprocess.PIPE
-                procs.append(subprocess.Popen(command, stdin=source, stdout=subprocess.PIPE, stderr=errors))
-                if len(procs) > 1:
-                    procs[-2].stdout.close()
-            trouble: list[BaseException] = []
-
-            def feed() -> None:
-                try:
-                    with procs[0].stdin as sink:
-                        for batch in itertools.chain([head], filled):
-                            text = "".join(f"{v}\n" for v in batch[column].fillna(""))
-                            sink.write(text.encode())
-                except BrokenPipeError:
-                    for _ in filled:  # the program stopped reading, as ``head`` does
-                        pass
-                except BaseException as error:
-                    trouble.append(error)
-
-            feeder = threading.Thread(target=feed, daemon=True)
-            feeder.start()
+        procs: list[subprocess.Popen] = []
+        for command in chain:
+            source = procs[-1].stdout if procs else subprocess.PIPE
+            procs.append(subprocess.Popen(command, stdin=source, stdout=subprocess.PIPE, stderr=subprocess.PIPE))
+            if len(procs) > 1:
+                procs[-2].stdout.close()
+        trouble: list[BaseException] = []
+        said: queue.Queue = queue.Queue(maxsize=4)
+
+        def feed() -> None:
             try:
-                output = (raw.decode(errors="replace").rstrip("\n") for raw in procs[-1].stdout)
-                while lines := list(itertools.islice(output, _BATCH)):
-                    yield rows("stdout", lines)
-                feeder.join()
-                codes = [p.wait() for p in procs]
-            finally:
-                for p in procs:
-                    if p.poll() is None:
-                        p.kill()
-            if trouble:
-                raise trouble[0]
-            errors.seek(0)
-            messages = (raw.decode(errors="replace").rstrip("\n") for raw in errors)
-            good = str(codes[-1]) in accepted
-            if not good and on_error == "raise":
-                first = "\n".join(itertools.islice(messages, 20))
-                raise ProgramFailed(f"{chain[-1][0]} ended with {codes[-1]}, accepted are {sorted(accepted)}: {first}")
-            while lines := list(itertools.islice(messages, _BATCH)):
-                yield rows("stderr", lines)
-            yield rows("status", [None], codes[-1], good)
+                with procs[0].stdin as sink:
+                    for batch in itertools.chain([head], filled):
+                        text = "".join(f"{v}\n" for v in batch[column].fillna(""))
+                        sink.write(text.encode())
+            except BrokenPipeError:
+                for _ in filled:  # the program stopped reading, as ``head`` does
+                    pass
+            except BaseException as error:
+                trouble.append(error)
+
+        def listen(source: str, stream: IO[bytes]) -> None:
+            lines = (raw.decode(errors="replace").rstrip("\n") for raw in stream)
+            while part := list(itertools.islice(lines, _BATCH)):
+                said.put((source, part))
+            said.put((source, None))
+
+        streams = [("stdout", procs[-1].stdout), *[("stderr", p.stderr) for p in procs]]
+        feeder = threading.Thread(target=feed, daemon=True)
+        feeder.start()
+        for source, stream in streams:
+            threading.Thread(target=listen, args=(source, stream), daemon=True).start()
+        first: list[str] = []
+        open_streams = len(streams)
+        try:
+            while open_streams:
+                source, lines = said.get()
+                if lines is None:
+                    open_streams -= 1
+                    continue
+                if source == "stderr":
+                    first += lines[: 20 - len(first)]
+                yield rows(source, lines)
+            feeder.join()
+            codes = [p.wait() for p in procs]
+        finally:
+            for p in procs:
+                if p.poll() is None:
+                    p.kill()
+        if trouble:
+            raise trouble[0]
+        good = str(codes[-1]) in accepted
+        if not good and on_error == "raise":
+            message = "\n".join(first)
+            raise ProgramFailed(f"{chain[-1][0]} ended with {codes[-1]}, accepted are {sorted(accepted)}: {message}")
+        yield rows("status", [None], codes[-1], good)
 
     return df.select(F.col(column).cast("string")).mapInPandas(run, PROGRAM_ROWS)
 
@@ -126,6 +139,27 @@ def python_step(
     return df.mapInPandas(run, schema)
 
 
+def python_table(
+    df: DataFrame, func: Callable[[pd.DataFrame], pd.DataFrame], schema: StructType | str, keep: Sequence[str] = ()
+) -> DataFrame:
+    """A Python table function: any number of rows for each row, a batch at a time.
+
+    ``func`` returns rows whose index is the position of the input row that each belongs to; the columns ``keep`` of that
+    row are put before them.  A row that is named by none gives none.
+    """
+    own = StructType([df.schema[c] for c in keep])
+    made = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch.reset_index(drop=True)
+            out = func(batch)
+            kept = batch[list(keep)].take(out.index).reset_index(drop=True)
+            yield pd.concat([kept, out.reset_index(drop=True)], axis=1)
+
+    return df.mapInPandas(run, StructType([*own.fields, *made.fields]))
+
+
 def python_combine(
     df: DataFrame,
     keys: Sequence[str],
@@ -136,21 +170,18 @@ def python_combine(
 ) -> DataFrame:
     """A Python aggregate of many rows into one per key, safe for keys of any size.
 
-    ``partial`` reduces a batch, and ``merge`` rows of its own kind, to one row per key; both
+    ``partial`` reduces a batch, and ``merge`` rows of its own kind, to one row per key; both may see many keys at once and
     keep ``schema``.  Batches are reduced where they are read.  The partial rows of a key are
     spread over ``fan_in`` groups, merged, and merged again.
     """
 
-    def by_key(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([merge(g) for _, g in rows.groupby(list(keys), dropna=False)], ignore_index=True)
-
     def reduce_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
         for batch in batches:
             if not len(batch):
                 continue
             part = partial(batch)
-            held = part if held is None else by_key(pd.concat([held, part], ignore_index=True))
+            held = part if held is None else merge(pd.concat([held, part], ignore_index=True))
             if len(held) > 100_000:  # many keys: pass them on instead of holding them
                 yield held
                 held = None

@@ -434,6 +434,44 @@ def run_summary(v: Views) -> DataFrame:
     return runlog.run_summary(_events(v))
 
 
+def _head_lines(v: Views) -> DataFrame:
+    """How the log of each run begins and ends; every fourth has not ended, every third is named."""
+    stamp = F.lit("[02Jan2024 03:04:05|wf.main] > ")
+    lines = F.array(
+        F.concat(stamp, F.lit("Executing: tool run --n "), F.col("c_nationkey").cast("string")),
+        F.concat(stamp, F.lit("Who and where: user"), F.col("c_nationkey").cast("string"), F.lit("@node:/data:"), "c_mktsegment"),
+        F.when(F.col("c_custkey") % 3 == 0, F.concat(stamp, F.lit("Run name: "), "c_name")),
+        F.lit("@wf_start 2024-01-02 03:04:05.250000"),
+        F.when(F.col("c_custkey") % 4 != 0, F.concat(
+            F.lit("@wf_end 2024-01-0"), (2 + F.col("c_custkey") % 3).cast("string"), F.lit(" 03:14:05.750000"))),
+    )
+    rows = v.base("customer").select(F.col("c_custkey").alias("run_id"), F.posexplode(lines).alias("line_no", "line")).where("line IS NOT NULL")
+    return rows.withColumn("p", runlog.parse_line(F.col("line"))).select(
+        "run_id", "line_no", F.col("p.ts").alias("ts"), F.coalesce("p.message", "line").alias("message"))
+
+
+@query("""
+SELECT c_custkey AS run_id, 'run --n ' || c_nationkey AS command, 'user' || c_nationkey AS user, 'node' AS host, '/data:' || c_mktsegment AS folder,
+  CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE 'run' END AS run_name FROM customer""")
+def run_provenance(v: Views) -> DataFrame:
+    return runlog.run_provenance(_head_lines(v))
+
+
+@query("""
+SELECT c_custkey AS run_id, TIMESTAMP '2024-01-02 03:04:05.25' AS started,
+  CASE WHEN c_custkey % 4 <> 0 THEN TIMESTAMP '2024-01-02 03:14:05.75' + to_days(CAST(c_custkey % 3 AS INT)) END AS ended,
+  CASE WHEN c_custkey % 4 <> 0 THEN 600500000 + c_custkey % 3 * 86400000000 END AS elapsed_us FROM customer""")
+def run_tags(v: Views) -> DataFrame:
+    return runlog.run_tags(_head_lines(v))
+
+
+@query("""
+SELECT c_custkey AS run_id, 'run_' || c_name || '_1' AS run_name, TIMESTAMP '2024-01-02 03:04:05' AS started FROM customer""")
+def log_file_identity(v: Views) -> DataFrame:
+    name = F.concat(F.lit("run_"), "c_name", F.lit("_1_02Jan2024_030405.wf.log"))
+    return v.base("customer").select(F.col("c_custkey").alias("run_id"), runlog.log_file_identity(name).alias("f")).select("run_id", "f.run_name", "f.started")
+
+
 @query(using("wf_attempt", """
 SELECT run_id, total AS total_seconds, total % 86400 AS elapsed_seconds FROM (
   SELECT run_id, CAST(floor(epoch_us(max(end_ts)) / 1000000.0 - epoch_us(min(start_ts)) / 1000000.0) AS BIGINT) AS total FROM wf_attempt GROUP BY run_id)"""))
@@ -648,9 +686,9 @@ def config_inflate(v: Views) -> DataFrame:
 def config_sink(v: Views) -> DataFrame:
     path = scratch_path(v.spark, "configs")
     sinks.config_sink(_inflated(v), path)
+    written = r'^\{"config_id":(\d+),"config":(.*)\}$'
     return v.spark.read.text(path).select(
-        F.from_json("value", "config_id long, json string").alias("c")
-    ).select("c.config_id", "c.json")
+        F.regexp_extract("value", written, 1).cast("long").alias("config_id"), F.regexp_extract("value", written, 2).alias("json"))
 
 
 @query(f"""
@@ -697,7 +735,7 @@ SELECT pipeline_id, CASE WHEN cmd_line LIKE 'basic-%' THEN cmd_line WHEN pipelin
   WHEN pipeline_default IS NOT NULL THEN 'pipeline default' WHEN no_config_behavior = 'use_package_default' THEN 'package default' ELSE 'fail' END AS level
 FROM wf_candidate"""))
 def config_cascade(v: Views) -> DataFrame:
-    return config.config_cascade(v.candidate(), ["developer-default"])
+    return config.config_cascade(v.candidate(), v.base("nation").select(F.lower("n_name").alias("name")))
 
 
 SETTINGS = """
@@ -720,16 +758,22 @@ def settings_current(v: Views) -> DataFrame:
 
 @query(using("wf_answer", """
 SELECT answer_id, v AS value, CASE WHEN q_type = 'radio' THEN 'bad q_type' WHEN ignored THEN 'ignored'
-  WHEN q_type = 'list' AND v NOT IN ('BUILDING', 'MACHINERY') THEN 'not a choice' WHEN answer = '' THEN 'default' ELSE 'answered' END AS status
+  WHEN question = 'q0' AND v NOT IN ('BUILDING', 'MACHINERY') THEN 'not a choice' WHEN question = 'q1' AND v <> 'AUTOMOBILE' THEN 'not a choice'
+  WHEN answer = '' THEN 'default' ELSE 'answered' END AS status
 FROM (SELECT *, CASE WHEN ignored OR answer = '' THEN default_value ELSE answer END AS v FROM wf_answer)"""))
 def answer_validate(v: Views) -> DataFrame:
-    return config.answer_validate(v.answer(), {"list": ["BUILDING", "MACHINERY"]})
+    """Two of four questions have choices, and not the same ones."""
+    rules = v.base("customer").where("c_custkey % 4 < 2").select(
+        F.concat(F.lit("q"), (F.col("c_custkey") % 4).cast("string")).alias("question"),
+        F.when(F.col("c_custkey") % 4 == 0, F.array(F.lit("BUILDING"), F.lit("MACHINERY"))).otherwise(F.array(F.lit("AUTOMOBILE"))).alias("choices"),
+    ).distinct()
+    return config.answer_validate(v.answer(), rules)
 
 
 REGISTRY = """
 SELECT name, i.ts AS installed_at, coalesce(c > i, false) AS configured FROM (
   SELECT name, max({ts: changed_at, s: seq}) FILTER (WHERE op = 'install') AS i, max({ts: changed_at, s: seq}) FILTER (WHERE op = 'configure') AS c,
-    max({ts: changed_at, s: seq}) FILTER (WHERE op = 'uninstall') AS u FROM wf_registry_change GROUP BY name)
+    max({ts: changed_at, s: seq}) FILTER (WHERE op = 'uninstall') AS u FROM wf_registry_change WHERE type = 'pipeline_record' GROUP BY name)
 WHERE i IS NOT NULL AND (u IS NULL OR i > u)"""
 
 
@@ -806,17 +850,14 @@ def python_step(v: Views) -> DataFrame:
 
 @query(f"SELECT doc_id, line_no, line FROM ({TEXT_LINES}) WHERE trim(line) <> ''")
 def python_udtf(v: Views) -> DataFrame:
-    """A Python function that yields many rows for one input, used with LATERAL."""
+    """A Python function that yields many rows for one input."""
 
-    @F.udtf(returnType="line_no long, line string", useArrow=True)
-    class FilledLines:
-        def eval(self, text: str):
-            for number, line in enumerate(text.split("\n")):
-                if line.strip(" "):
-                    yield number, line
+    def filled_lines(batch: pd.DataFrame) -> pd.DataFrame:
+        lines = batch["text"].str.split("\n").explode().dropna()
+        numbered = pd.DataFrame({"line_no": lines.groupby(level=0).cumcount(), "line": lines})
+        return numbered[numbered["line"].str.strip(" ") != ""]
 
-    docs = v.base("documents").select("doc_id", "text")
-    return docs.alias("d").lateralJoin(FilledLines(F.col("d.text").outer())).select("doc_id", "line_no", "line")
+    return steps.python_table(v.base("documents").select("doc_id", "text"), filled_lines, "line_no long, line string", ["doc_id"])
 
 
 def total_lengths(batch: pd.DataFrame) -> pd.DataFrame:

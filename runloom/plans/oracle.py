@@ -114,12 +114,8 @@ SELECT user_id % 15 AS run_id, event_id AS line_no, date_trunc('second', ts) AS
   CASE event_type WHEN 'signup' THEN ' assigned to executor small, task id 1' WHEN 'view' THEN ' staged to run'
     WHEN 'click' THEN ' finished running' WHEN 'error' THEN ' failed during execution'
     ELSE ' did not produce expected outputs' END AS said FROM events"""),
-    "wf_config": ([], """
-SELECT CAST(n_nationkey AS BIGINT) AS config_id, n_name, n_regionkey, r_name, concat('{"', n_name, '":{"path":"/opt/', n_name,
-  '","threads":{"q_type":"list","message":"n","default":"', CAST(n_regionkey AS STRING), '"}},"',
-  'shared":{"deep":{"ref_path":"/ref/', r_name, '"}}}') AS json FROM nation JOIN region ON n_regionkey = r_regionkey"""),
     "wf_registry_change": ([], """
-SELECT concat('p', CAST(user_id % 40 AS STRING)) AS name,
+SELECT CASE WHEN event_id % 11 = 0 THEN 'system_record' ELSE 'pipeline_record' END AS type, concat('p', CAST(user_id % 40 AS STRING)) AS name,
   CASE event_type WHEN 'signup' THEN 'install' WHEN 'purchase' THEN 'configure' ELSE 'uninstall' END AS op,
   ts AS changed_at, event_id AS seq FROM events WHERE event_type IN ('signup', 'purchase', 'error')"""),
     "wf_capture": ([], """
@@ -138,7 +134,7 @@ SELECT p_partkey % 50 AS pipeline_id, concat(lower(p_type), '=', CAST(p_size AS
   CASE WHEN p_partkey % 3 = 0 THEN concat('share/', p_name, '.jar') END AS executable_path FROM part"""),
     "wf_answer": ([], """
 SELECT c_custkey AS answer_id, CASE c_custkey % 3 WHEN 0 THEN 'list' WHEN 1 THEN 'path' ELSE 'radio' END AS q_type,
-  CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_mktsegment END AS answer, 'BUILDING' AS default_value, c_nationkey = 3 AS ignored FROM customer"""),
+  'q' || (c_custkey % 4) AS question, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_mktsegment END AS answer, 'BUILDING' AS default_value, c_nationkey = 3 AS ignored FROM customer"""),
 }
 
 

@@ -237,19 +237,6 @@ class Views:
 
     # --- configuration --------------------------------------------------------------------
 
-    def config(self) -> DataFrame:
-        nation = self.base("nation").join(
-            self.base("region"), F.col("n_regionkey") == F.col("r_regionkey")
-        )
-        return nation.select(
-            F.col("n_nationkey").cast("long").alias("config_id"),
-            F.expr(
-                """concat('{"', n_name, '":{"path":"/opt/', n_name,
-                '","threads":{"q_type":"list","message":"n","default":"', CAST(n_regionkey AS STRING), '"}},"',
-                'shared":{"deep":{"ref_path":"/ref/', r_name, '"}}}')"""
-            ).alias("json"),
-        )
-
     def site_config(self) -> DataFrame:
         """One nested configuration per customer: a site's answers for its nation's template."""
         joined = self.base("customer").join(self.base("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -267,6 +254,7 @@ class Views:
 
     def registry_change(self) -> DataFrame:
         return self.base("events").where("event_type IN ('signup', 'purchase', 'error')").select(
+            F.expr("CASE WHEN event_id % 11 = 0 THEN 'system_record' ELSE 'pipeline_record' END").alias("type"),
             F.concat(F.lit("p"), (F.col("user_id") % 40).cast("string")).alias("name"),
             F.expr("CASE event_type WHEN 'signup' THEN 'install' WHEN 'purchase' THEN 'configure' ELSE 'uninstall' END").alias("op"),
             F.col("ts").alias("changed_at"), F.col("event_id").alias("seq"),
@@ -303,6 +291,7 @@ class Views:
         return self.base("customer").select(
             F.col("c_custkey").alias("answer_id"),
             F.expr("CASE c_custkey % 3 WHEN 0 THEN 'list' WHEN 1 THEN 'path' ELSE 'radio' END").alias("q_type"),
-            F.expr("CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_mktsegment END").alias("answer"),
+            F.concat(F.lit("q"), F.expr("CAST(c_custkey % 4 AS STRING)")).alias("question"),
+            F.expr("CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_mktsegment END").alias("answer"),
             F.lit("BUILDING").alias("default_value"), (F.col("c_nationkey") == 3).alias("ignored"),
         )

@@ -30,10 +30,12 @@ def matrix_text_sink(lines: DataFrame, path: str) -> None:
 
 
 def config_sink(configs: DataFrame, path: str, buckets: int = 16) -> None:
-    """Configurations (config_id, json) as text, one document per line, by bucket of the id."""
+    """Configurations (config_id, json), one line each, by bucket of the id.  The document is nested as it is, not quoted as a text."""
     bucket = F.pmod(F.xxhash64("config_id"), F.lit(buckets)).cast("int")
     (
-        configs.select(bucket.alias("bucket"), F.to_json(F.struct("config_id", "json")).alias("value"))
+        configs.select(bucket.alias("bucket"), F.concat(
+            F.lit('{"config_id":'), F.regexp_extract(F.to_json(F.struct("config_id")), r'^\{"config_id":(.*)\}$', 1), F.lit(',"config":'), "json", F.lit("}")
+        ).alias("value"))
         .hint("rebalance", "bucket").write.partitionBy("bucket").mode("append").text(path)
     )
 

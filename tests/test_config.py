@@ -61,8 +61,8 @@ def test_scan(spark, tmp_path, rows):
     assert rows(text.config_scan(spark, str(tmp_path)), "config_id", "valid") == {("good.json", True), ("malformed.json", False)}
     with pytest.raises(Exception, match="MALFORMED_RECORD"):
         text.config_scan(spark, str(tmp_path), strict=True).collect()
-    sinks.config_sink(spark.createDataFrame([(1, "{}")], "config_id long, json string"), str(tmp_path / "out"))
-    assert json.loads(spark.read.text(str(tmp_path / "out")).first()["value"]) == {"config_id": 1, "json": "{}"}
+    sinks.config_sink(spark.createDataFrame([(1, '{"a":[true]}')], "config_id long, json string"), str(tmp_path / "out"))
+    assert json.loads(spark.read.text(str(tmp_path / "out")).first()["value"]) == {"config_id": 1, "config": {"a": [True]}}
 
 
 def test_overlay(spark, rows):
@@ -81,7 +81,7 @@ def test_cascade(spark, rows):
     table = spark.createDataFrame(
         [(i, *c, "use_package_default") for i, c in enumerate(cases)] + [(9, None, None, None, "fail")],
         "pipeline_id long, cmd_line string, pipeline_config string, pipeline_default string, no_config_behavior string")
-    got = rows(config.config_cascade(table, ["tiny.py"]))
+    got = rows(config.config_cascade(table, spark.createDataFrame([("tiny.py",), ("tiny.py",)], "name string")))
     assert got == {
         (0, "basic-threads-4", "command line"), (1, "tiny.py", "command line"), (2, "basic-threads-2", "package default"),
         (3, "basic-threads-4", "pipeline config"), (4, "tiny.py", "pipeline config"), (5, "basic-threads-2", "package default"),
@@ -102,8 +102,9 @@ def test_software_paths(spark, rows):
 def test_registry(spark, rows):
     ops = [("a", "install"), ("a", "configure"), ("b", "install"), ("a", "uninstall"), ("a", "configure"), ("c", "install"),
            ("c", "configure"), ("c", "install"), ("d", "install"), ("d", "configure"), ("e", "configure")]
-    changes = spark.createDataFrame([(n, op, datetime(2024, 1, 1), i) for i, (n, op) in enumerate(ops)],
-                                    "name string, op string, changed_at timestamp_ntz, seq long")
+    kinds = [("pipeline_record", n, op) for n, op in ops] + [("system_record", "z", "install"), ("system_record", "b", "uninstall")]
+    changes = spark.createDataFrame([(k, n, op, datetime(2024, 1, 1), i) for i, (k, n, op) in enumerate(kinds)],
+                                    "type string, name string, op string, changed_at timestamp_ntz, seq long")
     current = config.registry_current(changes)
     assert rows(current, "name", "configured") == {("b", False), ("c", False), ("d", True)}
     assert [r["configured"] for r in config.registry_list(changes).collect()] == ["No", "No", "Yes"]
@@ -118,11 +119,13 @@ def test_settings_and_answers(spark, rows):
     assert rows(config.setting_validate(changes), "change_id", "outcome") == {(1, "set"), (2, "bad value"), (3, "bad key"), (4, "set")}
     assert rows(config.settings_current(changes)) == {("delete_temporary_files", "yes")}
     answers = spark.createDataFrame([
-        (1, "list", "8", "4", False), (2, "list", "9", "4", False), (3, "list", "", "4", False), (4, "text", "", "d", False),
-        (5, "radio", "x", "d", False), (6, "list", "9", "d", True),
-    ], "answer_id long, q_type string, answer string, default_value string, ignored boolean")
-    assert rows(config.answer_validate(answers, {"list": ["4", "8"]})) == {
+        (1, "a", "list", "8", "4", False), (2, "a", "list", "9", "4", False), (3, "a", "list", "", "4", False), (4, "t", "text", "", "d", False),
+        (5, "r", "radio", "x", "d", False), (6, "a", "list", "9", "d", True), (7, "b", "list", "9", "4", False), (8, "b", "list", "8", "4", False),
+    ], "answer_id long, question string, q_type string, answer string, default_value string, ignored boolean")
+    rules = spark.createDataFrame([("a", ["4", "8"]), ("b", ["9"])], "question string, choices array<string>")
+    assert rows(config.answer_validate(answers, rules)) == {
         (1, "8", "answered"), (2, "9", "not a choice"), (3, "4", "default"), (4, "d", "default"), (5, "x", "bad q_type"), (6, "d", "ignored"),
+        (7, "9", "answered"), (8, "8", "not a choice"),
     }
 
 

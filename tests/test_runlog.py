@@ -46,6 +46,13 @@ def test_provenance(spark, rows):
     assert rows(runlog.run_provenance(named), "run_name") == {("night shift",)}
 
 
+def test_tags(spark, rows):
+    lines = spark.createDataFrame(
+        [(1, 0, None, "@wf_start 2024-01-01 00:00:00.5"), (1, 1, None, "@wf_end 2024-01-02 00:00:01.25"), (2, 0, None, "@wf_start 2024-01-01 00:00:00"),
+         (3, 0, None, "no @wf_start 2024-01-01 00:00:00")], "run_id long, line_no long, ts timestamp_ntz, message string")
+    assert rows(runlog.run_tags(lines), "run_id", "elapsed_us") == {(1, 86_400_750_000), (2, None), (3, None)}
+
+
 def test_file_identity(spark):
     row = spark.range(1).select(runlog.log_file_identity(F.lit("my_run_2_29Aug2018_120001.wf.log")).alias("f")).first()["f"]
     assert (row["run_name"], row["started"]) == ("my_run_2", datetime(2018, 8, 29, 12, 0, 1))

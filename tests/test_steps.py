@@ -30,7 +30,9 @@ def test_rejected_code_fails(lines):
 def test_streams_and_chain(spark, lines):
     one = lines.coalesce(1)
     both = steps.pipe_through(one, ["sh", "-c", "cat >/dev/null; echo out; echo err >&2; exit 3"], ["3"]).collect()
-    assert [(r["source"], r["line"], r["exit_code"]) for r in both] == [("stdout", "out", None), ("stderr", "err", None), ("status", None, 3)]
+    # the streams are read side by side; the status comes last
+    assert {(r["source"], r["line"], r["exit_code"]) for r in both} == {("stdout", "out", None), ("stderr", "err", None), ("status", None, 3)}
+    assert both[-1]["source"] == "status" and len(both) == 3
     chain = steps.pipe_through(one, [["grep", "hit"], ["wc", "-l"]]).where("source = 'stdout'").collect()
     assert [int(r["line"]) for r in chain] == [10_000]
 
@@ -73,3 +75,19 @@ def test_output_contract(spark, rows):
     with pytest.raises(FileNotFoundError, match="y"):
         steps.require_outputs(ports, seen)
     steps.require_outputs(ports.where("task_id = 'b'"), seen)
+
+
+def test_python_table(spark, rows):
+    """Any number of rows for one, joined to the columns of the row they came from."""
+    def letters(batch: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"letter": batch["word"].map(list).explode().dropna()})
+
+    words = spark.createDataFrame([(1, "ab"), (2, ""), (3, "c")], "id long, word string").repartition(2)
+    assert rows(steps.python_table(words, letters, "letter string", ["id"])) == {(1, "a"), (1, "b"), (3, "c")}
+
+
+def test_much_standard_error(lines):
+    """Both streams are read while the program runs, however much it writes to either."""
+    script = "while read -r x; do echo out; echo err >&2; done"
+    found = steps.pipe_through(lines.coalesce(1), ["sh", "-c", script]).groupBy("source").count().collect()
+    assert {tuple(r) for r in found} == {("stdout", 30_000), ("stderr", 30_000), ("status", 1)}
