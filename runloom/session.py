@@ -44,9 +44,22 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/runloom/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder, never used before."""
-    return f"{shared_root(spark)}/runloom/{label}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Delete all intermediate tables of this application; call it when every result that reads them is saved.
+
+    Returns whether there were any.  Other applications that share the folder keep theirs.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stored(df: DataFrame, label: str, *counts: Column) -> tuple[DataFrame, list[int]]:

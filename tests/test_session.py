@@ -2,14 +2,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from runloom.session import scratch_path, shared_root, stored
+from runloom.session import clear_scratch, scratch_path, shared_root, stored
 
 
 def test_shared_folder(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert shared_root(spark) == (named or spark.conf.get("runloom.shared.dir"))
     first, second = scratch_path(spark, "x"), scratch_path(spark, "x")
-    assert first != second and first.startswith(shared_root(spark) + "/runloom/x-")
+    assert first != second and first.startswith(f"{shared_root(spark)}/runloom/{spark.sparkContext.applicationId}/x-")
 
 
 def test_stored_counts_while_writing(spark):
@@ -17,3 +17,16 @@ def test_stored_counts_while_writing(spark):
     assert (n, top, df.count()) == (7, 6, 7)
     empty, (none,) = stored(spark.range(0), "t", F.count(F.lit(1)))
     assert none == 0 and empty.columns == ["id"] and empty.count() == 0
+
+
+def test_clear_scratch(spark, tmp_path):
+    other = tmp_path / "runloom" / "another-application" / "t"
+    other.mkdir(parents=True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        assert not clear_scratch(spark)
+        stored(spark.range(3), "t")
+        assert clear_scratch(spark) and [p.name for p in (tmp_path / "runloom").iterdir()] == ["another-application"]
+        assert other.exists()
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
