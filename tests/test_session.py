@@ -22,11 +22,12 @@ def test_stored_counts_while_writing(spark):
 def test_clear_scratch(spark, tmp_path):
     other = tmp_path / "runloom" / "another-application" / "t"
     other.mkdir(parents=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    before = shared_root(spark)
+    spark.conf.set("runloom.shared.dir", f"file://{tmp_path}")
     try:
         assert not clear_scratch(spark)
         stored(spark.range(3), "t")
         assert clear_scratch(spark) and [p.name for p in (tmp_path / "runloom").iterdir()] == ["another-application"]
         assert other.exists()
     finally:
-        spark.conf.unset("spark.checkpoint.dir")
+        spark.conf.set("runloom.shared.dir", before)
