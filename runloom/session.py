@@ -59,7 +59,8 @@ def clear_scratch(spark: SparkSession) -> bool:
     Returns whether there were any.  Other applications that share the folder keep theirs.
     """
     folder = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(folder) and files.delete(folder, True)
 
 
 def stored(df: DataFrame, label: str, *counts: Column) -> tuple[DataFrame, list[int]]:
