@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from runloom import session
 from runloom.session import clear_scratch, scratch_path, shared_root, stored
 
 
@@ -19,15 +20,11 @@ def test_stored_counts_while_writing(spark):
     assert none == 0 and empty.columns == ["id"] and empty.count() == 0
 
 
-def test_clear_scratch(spark, tmp_path):
+def test_clear_scratch(spark, tmp_path, monkeypatch):
     other = tmp_path / "runloom" / "another-application" / "t"
     other.mkdir(parents=True)
-    before = shared_root(spark)
-    spark.conf.set("runloom.shared.dir", f"file://{tmp_path}")
-    try:
-        assert not clear_scratch(spark)
-        stored(spark.range(3), "t")
-        assert clear_scratch(spark) and [p.name for p in (tmp_path / "runloom").iterdir()] == ["another-application"]
-        assert other.exists()
-    finally:
-        spark.conf.set("runloom.shared.dir", before)
+    monkeypatch.setattr(session, "shared_root", lambda _: f"file://{tmp_path}")
+    assert not clear_scratch(spark)
+    stored(spark.range(3), "t")
+    assert clear_scratch(spark) and [p.name for p in (tmp_path / "runloom").iterdir()] == ["another-application"]
+    assert other.exists()
