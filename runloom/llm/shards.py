@@ -19,7 +19,7 @@ from runloom.session import scratch_path
 SHARDS = 40
 SEED = 17
 #: Bytes of text in a bucket, about; and the bytes that each record counts on top of its text.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 RECORD_BYTES = 16
 LAW = "rows"
 
@@ -54,8 +54,10 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, bucket_bytes: int = BUCKET_B
         np.random.default_rng([seed, bucket["_bucket"][0].as_py()]).shuffle(order)
         return bucket.take(pa.array(order)).append_column("_at", pa.array(np.arange(bucket.num_rows), pa.int64()))
 
+    # the bucket's first position comes with the rows: a join after the groups would shuffle all texts once more
+    placed = placed.join(first, "_bucket")
     mixed = placed.groupBy("_bucket").applyInArrow(
-        fisher_yates, StructType([*placed.schema.fields, StructField("_at", LongType())])).join(first, "_bucket")
+        fisher_yates, StructType([*placed.schema.fields, StructField("_at", LongType())]))
     # shard s holds the positions from ceil(s * rows / shards) on
     place = mixed.withColumn("_pos", F.col("_first") + F.col("_at")).withColumn("_shard", F.expr(f"_pos * {shards} div {rows}"))
     begin = F.expr(f"(_shard * {rows} + {shards - 1}) div {shards}")
