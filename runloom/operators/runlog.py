@@ -156,12 +156,17 @@ def failure_lists(tasks: DataFrame) -> DataFrame:
 
 
 def run_summary(events: DataFrame) -> DataFrame:
-    """Start, end and event counts of each run."""
-    state = F.col("state")
-    return events.groupBy("run_id").agg(
-        F.min("ts").alias("started"), F.max("ts").alias("ended"),
-        F.count_if(state == "pending").alias("n_assigned"), F.count_if(state == "running").alias("n_staged"),
-        F.count_if(state == "completed").alias("n_finished"), F.count_if(state == "failed").alias("n_failed"),
+    """First and last record of each run, and how many of its tasks ended in which state.
+
+    A task that is reported several times counts once, with its last state.  Aggregates are combined before both shuffles.
+    """
+    task = events.groupBy("run_id", "task").agg(
+        F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("n"),
+        F.max(state_stamp(F.col("ts"), F.col("state"))).alias("stamp"))
+    state, known = stamped_state(F.col("stamp")), F.col("task").isNotNull()
+    return task.groupBy("run_id").agg(
+        F.min("first").alias("started"), F.max("last").alias("ended"), F.sum("n").alias("n_records"), F.count_if(known).alias("n_tasks"),
+        *[F.count_if(known & (state == s)).alias(f"n_{s}") for s in SEVERITY],
     ).withColumn("elapsed_s", F.timestamp_diff("SECOND", F.col("started"), F.col("ended")))
 
 

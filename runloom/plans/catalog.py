@@ -425,11 +425,13 @@ def failure_lists(v: Views) -> DataFrame:
     return runlog.failure_lists(tasks)
 
 
-@query(using("wf_log", """
-SELECT run_id, min(ts) AS started, max(ts) AS ended, count(*) FILTER (WHERE event_type = 'signup') AS n_assigned,
-  count(*) FILTER (WHERE event_type = 'view') AS n_staged, count(*) FILTER (WHERE event_type = 'click') AS n_finished,
-  count(*) FILTER (WHERE event_type IN ('error', 'purchase')) AS n_failed,
-  CAST(epoch(max(ts)) - epoch(min(ts)) AS BIGINT) AS elapsed_s FROM wf_log GROUP BY run_id"""))
+@query(using("wf_log", f"""
+SELECT run_id, min(first) AS started, max(last) AS ended, CAST(sum(n) AS BIGINT) AS n_records, count(*) AS n_tasks,
+  count(*) FILTER (WHERE state = 'pending') AS n_pending, count(*) FILTER (WHERE state = 'running') AS n_running,
+  count(*) FILTER (WHERE state = 'completed') AS n_completed, count(*) FILTER (WHERE state = 'failed') AS n_failed,
+  CAST(epoch(max(last)) - epoch(min(first)) AS BIGINT) AS elapsed_s
+FROM (SELECT run_id, task, min(ts) AS first, max(ts) AS last, count(*) AS n, max_by({STATE}, {{ts: ts, r: {RANK}}}) AS state FROM wf_log GROUP BY run_id, task)
+GROUP BY run_id"""))
 def run_summary(v: Views) -> DataFrame:
     return runlog.run_summary(_events(v))
 

@@ -81,6 +81,13 @@ def test_final_state(spark, rows):
     assert rows(runlog.task_state_final(events, tasks), "task", "state") == {("a", "completed"), ("b", "failed"), ("c", "pending")}
 
 
+def test_summary_counts_tasks_once(spark, rows):
+    said = "a staged to run\na failed during execution\na failed during execution\nb staged to run\nUser aborted run"
+    log = log_of(spark, "\n".join(f"[29Aug2018 12:00:0{i}|m] > {s}" for i, s in enumerate(said.splitlines())))
+    got = rows(runlog.run_summary(runlog.task_events(log)), "n_records", "n_tasks", "n_failed", "n_running", "n_completed", "elapsed_s")
+    assert got == {(5, 2, 1, 1, 0, 4)}
+
+
 def attempts(spark, spans):
     rows = [(1, i, datetime(2024, 1, 1 + a // 86400, a % 86400 // 3600, a % 3600 // 60, a % 60),
              datetime(2024, 1, 1 + b // 86400, b % 86400 // 3600, b % 3600 // 60, b % 60)) for i, (a, b) in enumerate(spans)]
