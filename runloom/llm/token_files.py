@@ -15,6 +15,7 @@ import functools
 import json
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,14 +25,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
+from runloom.llm.common import small_batches
 from runloom.session import scratch_path, stored
 
 MAX_BITS = 20
 STRIDE = 128
 BLOCK_IDS = 1 << 16
 END = 1
-#: Words whose ids are kept at hand in a worker.
-_MOST_WORDS = 600_000
+#: Words, pieces of words and letters whose ids a worker has at hand (twice as many at most).
+_WORDS, _PIECES, _LETTERS = 100_000, 200_000, 10_000
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -131,8 +133,26 @@ def encode_whole(path: str, texts: list[str]) -> list[np.ndarray]:
     return [np.array(e.ids, dtype=np.uint32) for e in _tokenizer(path).encode_batch(texts, add_special_tokens=False)]
 
 
-class _Words(dict):
-    """The ids of words, and of the pieces that the tokenizer cuts them into, kept while they fit.
+class _Recent(dict):
+    """A table that forgets what has not been asked for while it was filled anew."""
+
+    def __init__(self, most: int, make: Callable):
+        self.most, self.make, self.before = most, make, {}
+
+    def __missing__(self, key):
+        found = self.before.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
+        if len(key) <= 64:
+            self[key] = found
+        return found
+
+
+class _Words:
+    """The ids of words, by way of the pieces that the tokenizer cuts them into; both at hand while they are in use.
 
     For tokenizers that lower-case, split by a pattern that keeps no white space, and merge the bytes of each piece: there no
     token joins two words or two pieces.  A word that holds a special token, or whose lower case depends on its
@@ -147,35 +167,24 @@ class _Words(dict):
         if steps != ["NFC", "Replace", "Lowercase"] or level["type"] != "ByteLevel" or level["add_prefix_space"]:
             raise ValueError("this tokenizer needs encode_whole")
         self.split = regex.compile(split["pattern"]["Regex"]).findall
-        self.special = [t["content"] for t in shape["added_tokens"]]
-        self.letters = ByteLevel(add_prefix_space=False, use_regex=False)
+        special = "|".join(regex.escape(t["content"]) for t in shape["added_tokens"])
+        self.special = regex.compile(special or "(?!)").search
         self.model = self.tokenizer.model
-        self.pieces: dict[str, bytes] = {}
-
-    def _packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype="<u4").tobytes()
+        letters = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letter = _Recent(_LETTERS, lambda c: "".join(x for x, _ in letters.pre_tokenize_str(c)))
+        self.pieces = _Recent(_PIECES, self._piece)
+        self.words = _Recent(_WORDS, self._word)
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            if len(self.pieces) >= _MOST_WORDS:
-                self.pieces.clear()
-            text = piece if piece.isascii() and piece.isprintable() else "".join(x for x, _ in self.letters.pre_tokenize_str(piece))
-            found = self.pieces[piece] = self._packed([t.id for t in self.model.tokenize(text)])
-        return found
+        text = piece if piece.isascii() and piece.isprintable() else "".join(map(self.letter.__getitem__, piece))
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
-    def __missing__(self, word: bytes) -> bytes:
+    def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8")
         plain = text.isascii() or ("\u03a3" not in text and "\u0130" not in text and unicodedata.is_normalized("NFC", text))
-        if plain and not any(t in text for t in self.special):
-            ids = b"".join(map(self._piece, self.split(text.lower())))
-        else:
-            ids = self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if len(self) >= _MOST_WORDS:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+        if plain and not self.special(text):
+            return b"".join(map(self.pieces.__getitem__, self.split(text.lower())))
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 _words = functools.cache(_Words)
@@ -183,7 +192,7 @@ _words = functools.cache(_Words)
 
 def encode_by_word(path: str, texts: list[str]) -> list[np.ndarray]:
     """The same ids as ``encode_whole``, by way of the distinct words; several times faster."""
-    ids = _words(path).__getitem__
+    ids = _words(path).words.__getitem__
     return [np.frombuffer(b"".join(map(ids, t.encode("utf-8", "replace").split())), dtype="<u4") for t in texts]
 
 
@@ -225,9 +234,10 @@ def tokenized(docs: DataFrame, path: str, encoder: Callable = encode_by_word, en
             yield closed()
 
     cut = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows, _ = stored(
-        cut.select("doc_id", "text", F.spark_partition_id().alias("file")).mapInPandas(
-            run, "file int, block long, start long, doc_ids array<long>, sizes array<long>, ids binary"), "ids")
+    with small_batches(docs.sparkSession):
+        rows, _ = stored(
+            cut.select("doc_id", "text", F.spark_partition_id().alias("file")).mapInPandas(
+                run, "file int, block long, start long, doc_ids array<long>, sizes array<long>, ids binary"), "ids")
     return rows
 
 
