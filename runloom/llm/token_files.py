@@ -29,11 +29,11 @@ from runloom.llm.common import small_batches
 from runloom.session import scratch_path, stored
 
 MAX_BITS = 20
-STRIDE = 128
+STRIDE = 64
 BLOCK_IDS = 1 << 16
 END = 1
 #: Words, pieces of words and letters whose ids a worker has at hand (twice as many at most).
-_WORDS, _PIECES, _LETTERS = 100_000, 200_000, 10_000
+_WORDS, _PIECES, _LETTERS = 200_000, 300_000, 10_000
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -181,6 +181,12 @@ class _Words:
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8")
+        # most words are letters and perhaps a stop or comma; those of Latin-1 have no composed or contextual forms
+        last = text[-1]
+        bare = text[:-1] if last in ",." else text
+        if bare.isalpha() and (bare.isascii() or max(bare) < "\u0100"):
+            ids = self.pieces[bare.lower()]
+            return ids if bare is text else ids + self.pieces[last]
         plain = text.isascii() or ("\u03a3" not in text and "\u0130" not in text and unicodedata.is_normalized("NFC", text))
         if plain and not self.special(text):
             return b"".join(map(self.pieces.__getitem__, self.split(text.lower())))
