@@ -11,6 +11,7 @@ texts is scored by one product of its presence matrix with it.
 from __future__ import annotations
 
 import functools
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +26,7 @@ BUCKETS = 1 << 15
 LONGEST = 4
 #: The classifier is fitted on a sample: about so many texts of a language, and of all languages together.
 TEXTS_PER_LANGUAGE = 250
-MOST_TEXTS = 4000
+MOST_TEXTS = 2000
 LANDMARKS = 256
 RIDGE = 1e-2
 UNKNOWN = "und"
@@ -90,8 +91,8 @@ def fit(rows: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridg
     names = sorted(set(languages))
     if not names:
         return Model([], np.zeros((BUCKETS, 0), dtype=np.float32))
-    rows = rows.astype(np.float32)
-    unit = rows / np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
+    unit = rows.astype(np.float32)
+    unit /= np.sqrt(np.maximum(unit.sum(axis=1, keepdims=True), 1))
     pick = np.unique(np.linspace(0, len(unit) - 1, min(landmarks, len(unit))).astype(int))
     marks = unit[pick]
     value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
@@ -133,13 +134,15 @@ def train(labelled: DataFrame, per_language: int = TEXTS_PER_LANGUAGE, most: int
 
     found = sample.mapInPandas(run, "lang string, bits binary").where("bits IS NOT NULL").collect()
     found.sort(key=lambda r: (r["lang"], bytes(r["bits"])))
-    rows = np.array([np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8)) for r in found], dtype=np.uint8)
     # languages take turns, so that landmarks spread over all of them
-    turn: dict[str, int] = {}
-    order = sorted(range(len(found)), key=lambda i: (turn.setdefault(found[i]["lang"], 0), turn.update({found[i]["lang"]: turn[found[i]["lang"]] + 1}))[0])
-    if not found:
-        rows = np.zeros((0, BUCKETS), dtype=np.uint8)
-    return fit(rows[order], [found[i]["lang"] for i in order])
+    turn: dict[str, int] = defaultdict(int)
+    nth = []
+    for r in found:
+        nth.append(turn[r["lang"]])
+        turn[r["lang"]] += 1
+    found = [found[i] for i in sorted(range(len(found)), key=nth.__getitem__)]
+    packed = np.frombuffer(b"".join(bytes(r["bits"]) for r in found), dtype=np.uint8).reshape(len(found), BUCKETS // 8)
+    return fit(np.unpackbits(packed, axis=1), [r["lang"] for r in found])
 
 
 def predict(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
