@@ -146,6 +146,19 @@ def test_vectors(spark):
     assert found[-60:] == exact[-60:]
 
 
+def test_group_of_near_copies(spark):
+    """A third of the vectors lie around one: every link is found."""
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(3000, 64))
+    vectors[:1000] = rng.normal(size=64) + 0.115 * rng.normal(size=(1000, 64))
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    assert 100_000 < links.sum() < 999_000
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in vector_dedup.near_duplicates(frame).collect()}
+    assert [got[i] for i in range(3000)] == links.tolist()
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash_dedup.near_duplicates(docs).collect() == [] and simhash_dedup.keep_one(docs).collect() == []
