@@ -5,6 +5,9 @@ segment below which too many different values occur is variable and becomes a wi
 whose labelled shares do not differ significantly are merged.  A template is rejected when its share of bad urls,
 smoothed towards a prior, is above a limit: a template without labels is kept.
 
+The tree is walked level by level, to whatever depth.  Only paths below a prefix with more than ``VALUES`` distinct ones go on to
+the next level: with fewer no segment further down can be variable, so that a few deep paths add no rounds.
+
 All of it is counting: distinct paths with their counts are combined before each shuffle, so that a host with very
 many urls is no more than its distinct paths.
 """
@@ -12,17 +15,18 @@ many urls is no more than its distinct paths.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.session import stored
 
-#: Segments that form the tree; what is deeper is one wildcard.
-DEPTH = 5
 #: A segment is variable when more values than this occur at its place and a value has fewer urls than ``PER_VALUE`` on average.
 VALUES = 32
 PER_VALUE = 20
+#: Levels after which the finished paths are written as one table.
+FOLD = 8
 #: Branches are merged when each has ``LEAST_LABELS`` and their shares are closer than this many standard errors.
 LEAST_LABELS = 5
 SAME = 1.96
@@ -58,10 +62,9 @@ def judged(rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
 
 
 def _segments() -> Column:
-    """The path's segments with digits and hexadecimal strings as wildcards, cut to ``DEPTH``."""
+    """The path's segments with digits and hexadecimal strings as wildcards."""
     plain = F.regexp_replace("path", r"(?<![0-9A-Za-z])(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{8,}(?![0-9A-Za-z])", "{h}")
-    parts = F.split(F.regexp_replace(F.regexp_replace(plain, r"[0-9]+", "{n}"), r"^/", ""), "/")
-    return F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("**")))).otherwise(parts)
+    return F.split(F.regexp_replace(F.regexp_replace(plain, r"[0-9]+", "{n}"), r"^/", ""), "/")
 
 
 def templates(shapes: DataFrame) -> DataFrame:
@@ -70,21 +73,30 @@ def templates(shapes: DataFrame) -> DataFrame:
     ``template`` is the path with variable segments as ``*``; ``labelled`` and ``bad`` are those of the template, or
     of all branches merged with it.
     """
-    tree = shapes.withColumn("general", F.col("segments"))
-    for level in range(1, DEPTH + 1):
+    open_, done, level, left = shapes.withColumn("general", F.col("segments")), [], 0, 1
+    while left:
+        level += 1
         above = F.slice("general", 1, level - 1) if level > 1 else F.array().cast("array<string>")
-        here = tree.withColumn("_above", above).withColumn("_here", F.get("general", F.lit(level - 1)))
-        values = here.where("_here IS NOT NULL").groupBy("host", "_above", "_here").agg(F.sum("n").alias("n"))
-        wide = values.groupBy("host", "_above").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).where(
-            (F.col("v") > VALUES) & (F.col("n") < PER_VALUE * F.col("v"))).select("host", "_above", F.lit(True).alias("_wide"))
-        made = here.join(wide, ["host", "_above"], "left").withColumn(
+        here = open_.withColumn("_above", above).withColumn("_here", F.get("general", F.lit(level - 1)))
+        values = here.where("_here IS NOT NULL").groupBy("host", "_above", "_here").agg(
+            F.sum("n").alias("n"), F.count(F.lit(1)).alias("paths"))
+        many = values.groupBy("host", "_above").agg(
+            F.count(F.lit(1)).alias("v"), F.sum("n").alias("n"), F.sum("paths").alias("paths")).where(F.col("paths") > VALUES).select(
+            "host", "_above", ((F.col("v") > VALUES) & (F.col("n") < PER_VALUE * F.col("v"))).alias("_wide"))
+        made = here.join(many, ["host", "_above"], "left").withColumn(
             "general", F.when(
                 F.col("_wide") & F.col("_here").isNotNull(),
-                F.concat("_above", F.array(F.lit("*")), F.slice("general", level + 1, DEPTH + 1))).otherwise(F.col("general")))
-        tree, _ = stored(made.drop("_above", "_here", "_wide"), "templates")
+                F.concat("_above", F.array(F.lit("*")), F.slice("general", level + 1, F.size("general")))).otherwise(F.col("general")))
+        further = F.col("_wide").isNotNull() & (F.size("general") > level)
+        made, (left,) = stored(made.withColumn("_further", further).drop("_above", "_here", "_wide"), "templates", F.count_if("_further"))
+        open_ = made.where("_further").drop("_further")
+        done.append(made.where("NOT _further").drop("_further"))
+        if len(done) > FOLD:
+            done = [stored(reduce(DataFrame.unionByName, done), "templates")[0]]
+    tree = reduce(DataFrame.unionByName, done)
     leaf = tree.groupBy("host", "general").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     # the first segment tells branches of a host apart; below it the rest of the template is one shape
-    leaf = leaf.withColumn("_shape", F.concat(F.lit("/"), F.array_join(F.slice("general", 2, DEPTH + 1), "/")))
+    leaf = leaf.withColumn("_shape", F.concat(F.lit("/"), F.array_join(F.slice("general", 2, F.size("general")), "/")))
     pooled = leaf.where(F.col("labelled") >= LEAST_LABELS).groupBy("host", "_shape").agg(
         F.sum("labelled").alias("_labelled"), F.sum("bad").alias("_bad"))
     both = leaf.join(pooled, ["host", "_shape"], "left")

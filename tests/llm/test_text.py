@@ -81,6 +81,19 @@ def test_templates(spark):
     assert url_filter.classify(spark.createDataFrame([], "page_id long, url string")).collect() == []
 
 
+def test_deep_branches(spark):
+    """Branches that part at the sixth segment, with a variable one further down, are templates of their own."""
+    names = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(100)]
+    rows = [(i, f"http://h.com/a/b/c/d/e/{kind}/x/y/{name}/z", kind == "spam") for kind in ("spam", "news") for i, name in enumerate(names)]
+    rows += [(2000, "http://h.com/" + "/".join("abcdefghijklmnopqrstuvwxyz"), None), (2001, "http://h.com/a/b/c/d/e", None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    got = url_filter.classify(frame, rules=(), bad=frame["bad"]).collect()
+    assert {(r.template, r.verdict) for r in got} == {
+        ("/a/b/c/d/e/spam/x/y/*/z", "block"), ("/a/b/c/d/e/news/x/y/*/z", "allow"), ("/" + "/".join("abcdefghijklmnopqrstuvwxyz"), "allow"),
+        ("/a/b/c/d/e", "allow")}
+    assert len(got) == len(rows)
+
+
 def test_languages(spark):
     rng = random.Random(1)
     kinds = {"aa": "abcde", "bb": "vwxyzé", "cc": "mnopqü"}
