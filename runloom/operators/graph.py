@@ -1,8 +1,8 @@
 """Lineage that needs more than one step, over dependencies (run_id, task_id, depends_on).
 
-A run is a graph of its own, and almost every run is small.  Runs of up to ``run_rows`` dependencies are therefore brought
-together by run in one shuffle and solved where they lie, all runs of a partition at once.  Longer ones, which no task
-could hold, are solved by rounds of joins; each round drops the dependencies that it has used up, and what it adds is written to the
+A run is a graph of its own, and almost every run is small.  Runs of up to ``run_rows`` tasks and dependencies are therefore
+brought together by run in one shuffle, sorted by run, and solved where they lie, some whole runs at a time: a task holds no more than
+``AT_ONCE`` rows, or one run, and a batch.  Longer ones, the tasks without a run among them, are solved by rounds of joins; each round drops the dependencies that it has used up, and what it adds is written to the
 shared folder, which cuts the lineage, survives lost executors and tells the planner the true sizes.  Both ways give the same rows.
 The driver sees only row counts, which are observed while writing.
 """
@@ -21,8 +21,10 @@ from pyspark.sql.types import LongType, StructField, StructType
 from runloom.session import stored
 
 KEY = ["run_id", "task_id"]
-#: Dependencies of a run that is solved in one task.
+#: Tasks and dependencies of a run that is solved in one task.
 RUN_ROWS = 200_000
+#: Rows of whole runs that are solved together.
+AT_ONCE = 100_000
 #: Rounds after which what was added is written as one table.
 FOLD = 8
 
@@ -31,17 +33,42 @@ def _stack(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _parted(edges: DataFrame, run_rows: int) -> tuple[DataFrame, int]:
-    """The runs with more than ``run_rows`` dependencies, and how many they are."""
-    long = edges.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > run_rows).select("run_id")
+def _parted(run_rows: int, *tables: DataFrame) -> tuple[DataFrame, int]:
+    """The runs, null included, with more than ``run_rows`` rows in all ``tables``, and how many they are."""
+    rows = _stack([t.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")) for t in tables])
+    long = rows.groupBy("run_id").agg(F.sum("n").alias("n")).where(F.col("n") > run_rows).select("run_id")
     return (found := stored(long, "long-runs", F.count(F.lit(1))))[0], found[1][0]
 
 
+def _of(table: DataFrame, long: DataFrame, how: str) -> DataFrame:
+    """The rows of the long runs (``left_semi``) or of all others (``left_anti``); null is a run as well."""
+    names = long.select(F.col("run_id").alias("_long"))
+    return table.join(names, F.col("run_id").eqNullSafe(F.col("_long")), how)
+
+
+def _whole_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Regroup batches that are sorted by run, so that no run spans two of them."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n < AT_ONCE:
+            continue
+        frame = pd.concat([b for b in held if len(b)], ignore_index=True)
+        run, last = frame["run_id"], frame["run_id"].iloc[-1]
+        start = int(np.argmax((run.isna() if pd.isna(last) else run == last).to_numpy()))
+        if start:
+            yield frame.iloc[:start]
+        held, n = [frame.iloc[start:]], len(frame) - start
+    if n:
+        yield pd.concat([b for b in held if len(b)], ignore_index=True)
+
+
 def _solve(
     tasks: DataFrame, edges: DataFrame, values: list[str], solve: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]],
     out: list[str], names: str | None = None,
 ) -> DataFrame:
-    """Run ``solve(values of the tasks, source rows, target rows)`` on the graphs of each partition.
+    """Run ``solve(values of the tasks, source rows, target rows)`` on the graphs of some runs at a time.
 
     ``tasks`` has ``run_id, task_id`` and long ``values``; ``edges`` has ``run_id, src, dst``; both ends must be among the tasks.
     ``solve`` returns long columns ``out`` for all tasks; rows whose first one is negative are left out.  Tasks are numbered in
@@ -53,25 +80,22 @@ def _solve(
         edges.select("run_id", F.col("src").alias("task_id"), F.col("dst").alias("other"), *nothing))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [b for b in batches if len(b)]
-        if not held:
-            return
-        frame = pd.concat(held, ignore_index=True)
-        link = frame["other"].notna().to_numpy()
-        nodes, links = frame[~link].sort_values(KEY, ignore_index=True), frame[link]
-        place = pd.MultiIndex.from_arrays([nodes["run_id"], nodes["task_id"]])
-        src = place.get_indexer(pd.MultiIndex.from_arrays([links["run_id"], links["task_id"]]))
-        dst = place.get_indexer(pd.MultiIndex.from_arrays([links["run_id"], links["other"].astype(nodes["task_id"].dtype)]))
-        found = solve(nodes[values].to_numpy(dtype=np.int64) if values else np.zeros((len(nodes), 0)), src, dst)
-        if names:
-            found[names] = nodes["task_id"].to_numpy()[found[names]]
-        result = nodes[KEY].assign(**found)
-        yield result[result[out[0]] >= 0 if out else slice(None)][[*KEY, *out, *([names] if names else [])]]
+        for frame in _whole_runs(batches):
+            link = frame["other"].notna().to_numpy()
+            nodes, links = frame[~link].sort_values(KEY, ignore_index=True), frame[link]
+            place = pd.MultiIndex.from_arrays([nodes["run_id"], nodes["task_id"]])
+            src = place.get_indexer(pd.MultiIndex.from_arrays([links["run_id"], links["task_id"]]))
+            dst = place.get_indexer(pd.MultiIndex.from_arrays([links["run_id"], links["other"].astype(nodes["task_id"].dtype)]))
+            found = solve(nodes[values].to_numpy(dtype=np.int64) if values else np.zeros((len(nodes), 0)), src, dst)
+            if names:
+                found[names] = nodes["task_id"].to_numpy()[found[names]]
+            result = nodes[KEY].assign(**found)
+            yield result[result[out[0]] >= 0 if out else slice(None)][[*KEY, *out, *([names] if names else [])]]
 
     schema = StructType([
         tasks.schema["run_id"], tasks.schema["task_id"], *[StructField(c, LongType()) for c in out],
         *([StructField(names, tasks.schema["task_id"].dataType)] if names else [])])
-    return both.repartition("run_id").mapInPandas(run, schema)
+    return both.repartition("run_id").sortWithinPartitions("run_id").mapInPandas(run, schema)
 
 
 def _outgoing(src: np.ndarray, dst: np.ndarray, n: int) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
@@ -178,8 +202,8 @@ def schedule(tasks: DataFrame, dependencies: DataFrame, run_rows: int = RUN_ROWS
         .join(known, ["run_id", "src"], "left_semi").join(tasks.select("run_id", F.col("task_id").alias("dst")), ["run_id", "dst"], "left_semi"),
         "edges")
     nodes = tasks.select(*KEY, F.col("duration_s").cast("long").alias("duration_s"))
-    long, n_long = _parted(edges, run_rows)
-    small = (nodes, edges) if not n_long else tuple(x.join(long, "run_id", "left_anti") for x in (nodes, edges))
+    long, n_long = _parted(run_rows, nodes, edges)
+    small = (nodes, edges) if not n_long else tuple(_of(x, long, "left_anti") for x in (nodes, edges))
 
     def peel(values: np.ndarray, src: np.ndarray, dst: np.ndarray) -> dict[str, np.ndarray]:
         found = _peel(values, src, dst)
@@ -188,7 +212,7 @@ def schedule(tasks: DataFrame, dependencies: DataFrame, run_rows: int = RUN_ROWS
     solved = _solve(*small, ["duration_s"], peel, ["round", "start_s", "finish_s"])
     both = solved.select(*KEY, F.when(F.col("round") > 0, F.col("round") - 1).alias("level"), "start_s", "finish_s")
     if n_long:
-        both = both.unionByName(_levels_by_rounds(*(stored(x.join(long, "run_id", "left_semi"), "long-run")[0] for x in (nodes, edges))))
+        both = both.unionByName(_levels_by_rounds(*(stored(_of(x, long, "left_semi"), "long-run")[0] for x in (nodes, edges))))
     both, _ = stored(both, "schedule")
     return both.where("level IS NOT NULL"), both.where("level IS NULL").select(*KEY)
 
@@ -234,14 +258,14 @@ def reach(seeds: DataFrame, edges: DataFrame, run_rows: int = RUN_ROWS) -> DataF
     seeds = seeds.select(*KEY).distinct()
     edges, _ = stored(
         edges.select("run_id", "src", "dst").distinct().join(seeds.select("run_id").distinct(), "run_id", "left_semi"), "edges")
-    long, n_long = _parted(edges, run_rows)
-    small = (seeds, edges) if not n_long else tuple(x.join(long, "run_id", "left_anti") for x in (seeds, edges))
+    long, n_long = _parted(run_rows, seeds, edges)
+    small = (seeds, edges) if not n_long else tuple(_of(x, long, "left_anti") for x in (seeds, edges))
     ends = small[1].select("run_id", F.explode(F.array("src", "dst")).alias("task_id"))
     nodes = ends.withColumn("seed", F.lit(0).cast("long")).unionByName(
         small[0].withColumn("seed", F.lit(1).cast("long"))).groupBy(*KEY).agg(F.max("seed").alias("seed"))
     found = _solve(nodes, small[1], ["seed"], _spread, ["hops"])
     if n_long:
-        found = found.unionByName(_reach_by_rounds(*(stored(x.join(long, "run_id", "left_semi"), "long-run")[0] for x in (seeds, edges))))
+        found = found.unionByName(_reach_by_rounds(*(stored(_of(x, long, "left_semi"), "long-run")[0] for x in (seeds, edges))))
     return found
 
 
@@ -287,11 +311,11 @@ def sub_workflows(tasks: DataFrame, dependencies: DataFrame, run_rows: int = RUN
     edges, _ = stored(
         dependencies.select("run_id", F.col("task_id").alias("src"), F.col("depends_on").alias("dst")).where("src <> dst").distinct()
         .join(ends[0], ["run_id", "src"], "left_semi").join(ends[1], ["run_id", "dst"], "left_semi"), "links")
-    long, n_long = _parted(edges, run_rows)
-    small = (nodes, edges) if not n_long else tuple(x.join(long, "run_id", "left_anti") for x in (nodes, edges))
+    long, n_long = _parted(run_rows, nodes, edges)
+    small = (nodes, edges) if not n_long else tuple(_of(x, long, "left_anti") for x in (nodes, edges))
     solved = _solve(*small, [], _merge, [], "component")
     if not n_long:
         return solved
-    parts = _parts_by_rounds(edges.join(long, "run_id", "left_semi"))
-    rest = nodes.join(long, "run_id", "left_semi").join(parts, KEY, "left").select(*KEY, F.coalesce("part", "task_id").alias("component"))
+    parts = _parts_by_rounds(_of(edges, long, "left_semi"))
+    rest = _of(nodes, long, "left_semi").join(parts, KEY, "left").select(*KEY, F.coalesce("part", "task_id").alias("component"))
     return solved.unionByName(rest)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,3 +214,32 @@ def test_long_runs_are_solved_alike(spark, rows, run_rows):
         lambda k: graph.failure_impact(seeds, deps, k), lambda k: graph.upstream_closure(seeds, deps, k), lambda k: graph.sub_workflows(tasks, deps, k),
     ):
         assert rows(find(run_rows)) == rows(find(10**6))
+
+
+def test_many_tasks_make_a_run_long(spark, rows, monkeypatch):
+    """Tasks count as dependencies do, those without a run too; what is left is solved some whole runs at a time."""
+    tasks = [(None, t, 1) for t in range(300)] + [(1, t, 2) for t in range(300)] + [(r, t, 3) for r in range(2, 30) for t in range(10)]
+    deps = [(1, 1, 0), (None, 1, 0)] + [(r, t + 1, t) for r in range(2, 30) for t in range(9)]
+    tasks = spark.createDataFrame(tasks, "run_id long, task_id long, duration_s long")
+    deps = spark.createDataFrame(deps, "run_id long, task_id long, depends_on long")
+    real = graph._solve
+    runs = []
+    monkeypatch.setattr(graph, "_solve", lambda *a: (runs.append({r.run_id for r in a[0].collect()}), real(*a))[1])
+    for find in (
+        lambda k: graph.earliest_schedule(tasks, deps, k), lambda k: graph.failure_impact(tasks, deps, k),
+        lambda k: graph.upstream_closure(tasks, deps, k), lambda k: graph.sub_workflows(tasks, deps, k),
+    ):
+        assert rows(find(100)) == rows(find(10**6))
+        assert runs == [set(range(2, 30)), {None, *range(1, 30)}]
+        runs.clear()
+
+
+def test_whole_runs(monkeypatch):
+    monkeypatch.setattr(graph, "AT_ONCE", 10)
+    runs = [None] * 15 + [r for r in range(40) for _ in range(r % 7)] + [50] * 30
+    frame = pd.DataFrame({"run_id": pd.Series(runs, dtype=object), "row": range(len(runs))})
+    for size in (1, 4, 100, 1000):
+        got = list(graph._whole_runs(iter([frame[:0], *(frame[a:a + size] for a in range(0, len(frame), size))])))
+        assert pd.concat(got)["row"].tolist() == frame["row"].tolist()
+        assert sum(g["run_id"].nunique(dropna=False) for g in got) == len(set(runs))
+    assert list(graph._whole_runs(iter([frame[:0]]))) == [] and max(map(len, graph._whole_runs(iter([frame[a:a + 4] for a in range(0, len(frame), 4)])))) < 31
