@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 KINDS = ("email", "ip", "card", "phone")
 AROUND = 3
-#: Sequences decoded at once, and tokens of one after which it is cut (at a token, never inside one).
+#: Sequences decoded at once, and tokens of each whose scores are held at once; longer sequences go on from the scores before.
 _LANES = 512
 _LONGEST = 2048
 
@@ -198,22 +198,30 @@ class Field:
         """The best labels of each sequence."""
         out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(sequences)
         order = sorted((i for i in range(len(sequences)) if sequences[i]), key=lambda i: len(sequences[i]))
-        for at in range(0, len(order), _LANES):
-            lanes = order[at:at + _LANES]
+        at = 0
+        while at < len(order):
+            stop = at + 1
+            while stop < min(len(order), at + _LANES) and (stop + 1 - at) * len(sequences[order[stop]]) <= _LANES * _LONGEST:
+                stop += 1
+            lanes, at = order[at:stop], stop
             size = np.array([len(sequences[i]) for i in lanes])
-            score = self.emissions(self.numbers([sequences[i] for i in lanes]))
-            back = np.zeros(score.shape, dtype=np.int8)
-            best = score[:, 0].copy()
-            best[:, 2::2] = -1e9  # nothing starts inside a span
-            for t in range(1, score.shape[1]):
-                ways = best[:, :, None] + self.step[None]
-                back[:, t] = ways.argmax(axis=1)
-                after = ways.max(axis=1) + score[:, t]
-                best = np.where((t < size)[:, None], after, best)
-            label = np.zeros(score.shape[:2], dtype=np.int64)
+            n, long = self.numbers([sequences[i] for i in lanes]), int(size.max())
+            back = np.zeros((len(lanes), long, self.step.shape[0]), dtype=np.int8)
+            for begin in range(0, long, _LONGEST):
+                score = self.emissions(n[:, begin:begin + _LONGEST + 4])
+                for t in range(begin, begin + score.shape[1]):
+                    if not t:
+                        best = score[:, 0].copy()
+                        best[:, 2::2] = -1e9  # nothing starts inside a span
+                        continue
+                    ways = best[:, :, None] + self.step[None]
+                    back[:, t] = ways.argmax(axis=1)
+                    after = ways.max(axis=1) + score[:, t - begin]
+                    best = np.where((t < size)[:, None], after, best)
+            label = np.zeros((len(lanes), long), dtype=np.int64)
             now = best.argmax(axis=1)
             rows = np.arange(len(lanes))
-            for t in range(score.shape[1] - 1, -1, -1):
+            for t in range(long - 1, -1, -1):
                 inside = t < size
                 label[:, t] = np.where(inside, now, 0)
                 now = np.where(inside & (t > 0), back[rows, t, now], now)
@@ -326,10 +334,8 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], field:
     owner, tokens = [], []
     for i, text in enumerate(texts):
         for begin, end in stretches(text):
-            found = _tokens(text, begin, end)
-            for at in range(0, len(found), _LONGEST):
-                owner.append(i)
-                tokens.append(found[at:at + _LONGEST])
+            owner.append(i)
+            tokens.append(_tokens(text, begin, end))
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for i, found, labels in zip(owner, tokens, field.decode([[t[2] for t in f] for f in tokens])):
         at = 0

@@ -185,3 +185,31 @@ def test_field_learned_its_lines():
     field, lines = personal_data.train(), personal_data._examples(99)
     right = sum((found == labels).all() for found, (_, labels) in zip(field.decode([e for e, _ in lines]), lines))
     assert right >= 0.97 * len(lines)
+
+
+def test_spans_of_a_long_sequence():
+    """A table of numbers in one sequence of thousands of tokens, with phone numbers at every offset to any cut."""
+    field = personal_data.train()
+    for pad in range(9):
+        text, want = "row 17, " * (680 + pad) + "x " * pad, []
+        for _ in range(3):
+            for i in range(160):
+                text += f"row {i}, " + "y " * (i % 3)
+            text += "call "
+            want.append((len(text), len(text) + 14))
+            text += "(415) 555-0199 tomorrow. "
+        for cut in range(2038, 2050):  # and one over each place near the cut before
+            line = "row 17, " * (cut // 3) + "y " * (cut % 3) + "call (415) 555-0199 tomorrow"
+            at = line.index("(415)")
+            assert (at, 3, at + 14) in personal_data.added_spans([line], [[]], field)[0]
+        assert {(a, 3, b) for a, b in want} <= set(personal_data.added_spans([text], [[]], field)[0])
+
+
+def test_decoding_in_pieces(monkeypatch):
+    field = personal_data.train()
+    names, rng = list(field.shapes), random.Random(8)
+    sequences = [rng.choices(names, k=k) for k in (0, 1, 5, 7, 8, 50, 51, 300)]
+    whole = field.decode(sequences)
+    monkeypatch.setattr(personal_data, "_LONGEST", 7)
+    monkeypatch.setattr(personal_data, "_LANES", 3)
+    assert all((a == b).all() and len(a) == len(s) for a, b, s in zip(whole, field.decode(sequences), sequences))
