@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from runloom.llm import (
-    contamination, html_text, language_id, mixing, personal_data, shards, simhash_dedup, token_files, url_filter, vector_dedup,
+    contamination, html_text, language_id, mixing, packing, personal_data, shards, simhash_dedup, token_files, url_filter, vector_dedup,
 )
 from runloom.llm.common import table
 
@@ -55,8 +55,14 @@ def op10_contamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("text_hash")
 
 
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.digest(spark, packing.write(table(spark, folder, "documents"), vocabulary), vocabulary)
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_html_text, op2_url_filter, op3_language_id, op4_vector_dedup, op5_simhash_dedup, op6_mixing, op7_personal_data, op8_token_files, op9_shards, op10_contamination)}
+    op1_html_text, op2_url_filter, op3_language_id, op4_vector_dedup, op5_simhash_dedup, op6_mixing, op7_personal_data, op8_token_files, op9_shards, op10_contamination,
+    op11_packing)}
 
 ORACLE_SQL = {
     "op4_vector_dedup": """

@@ -11,20 +11,15 @@ documents) and ``code`` (id, length).
 
 from __future__ import annotations
 
-import functools
-import json
-import unicodedata
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers.pre_tokenizers import ByteLevel
 
+from runloom.llm import piece_ids
 from runloom.llm.common import small_batches
 from runloom.session import scratch_path, stored
 
@@ -32,8 +27,6 @@ MAX_BITS = 20
 STRIDE = 64
 BLOCK_IDS = 1 << 16
 END = 1
-#: Words, pieces of words and letters whose ids a worker has at hand (twice as many at most).
-_WORDS, _PIECES, _LETTERS = 200_000, 300_000, 10_000
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -122,91 +115,21 @@ def decode(bits: bytes, offsets: np.ndarray, total: int, table: np.ndarray, size
     return out.T.reshape(-1)[:total]
 
 
-@functools.cache
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
 def encode_whole(path: str, texts: list[str]) -> list[np.ndarray]:
-    return [np.array(e.ids, dtype=np.uint32) for e in _tokenizer(path).encode_batch(texts, add_special_tokens=False)]
-
-
-class _Recent(dict):
-    """A table that forgets what has not been asked for while it was filled anew."""
+    found = piece_ids.tokenizer(path).encode_batch(texts, add_special_tokens=False)
+    return [np.array(e.ids, dtype=np.uint32) for e in found]
 
-    def __init__(self, most: int, make: Callable):
-        self.most, self.make, self.before = most, make, {}
-
-    def __missing__(self, key):
-        found = self.before.get(key)
-        if found is None:
-            found = self.make(key)
-        if len(self) >= self.most:
-            self.before = dict(self)
-            self.clear()
-        if len(key) <= 64:
-            self[key] = found
-        return found
-
-
-class _Words:
-    """The ids of words, by way of the pieces that the tokenizer cuts them into; both at hand while they are in use.
-
-    For tokenizers that lower-case, split by a pattern that keeps no white space, and merge the bytes of each piece: there no
-    token joins two words or two pieces.  A word that holds a special token, or whose lower case depends on its
-    neighbours or on composition, goes to the library as it is.
-    """
 
-    def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
-        shape = json.loads(self.tokenizer.to_str())
-        split, level = shape["pre_tokenizer"]["pretokenizers"]
-        steps = [n["type"] for n in shape["normalizer"]["normalizers"]]
-        if steps != ["NFC", "Replace", "Lowercase"] or level["type"] != "ByteLevel" or level["add_prefix_space"]:
-            raise ValueError("this tokenizer needs encode_whole")
-        self.split = regex.compile(split["pattern"]["Regex"]).findall
-        special = "|".join(regex.escape(t["content"]) for t in shape["added_tokens"])
-        self.special = regex.compile(special or "(?!)").search
-        self.model = self.tokenizer.model
-        letters = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.letter = _Recent(_LETTERS, lambda c: "".join(x for x, _ in letters.pre_tokenize_str(c)))
-        self.pieces = _Recent(_PIECES, self._piece)
-        self.words = _Recent(_WORDS, self._word)
-
-    def _piece(self, piece: str) -> bytes:
-        text = piece if piece.isascii() and piece.isprintable() else "".join(map(self.letter.__getitem__, piece))
-        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
-
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8")
-        # most words are letters and perhaps a stop or comma; those of Latin-1 have no composed or contextual forms
-        last = text[-1]
-        bare = text[:-1] if last in ",." else text
-        if bare.isalpha() and (bare.isascii() or max(bare) < "\u0100"):
-            ids = self.pieces[bare.lower()]
-            return ids if bare is text else ids + self.pieces[last]
-        plain = text.isascii() or ("\u03a3" not in text and "\u0130" not in text and unicodedata.is_normalized("NFC", text))
-        if plain and not self.special(text):
-            return b"".join(map(self.pieces.__getitem__, self.split(text.lower())))
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-
-_words = functools.cache(_Words)
-
-
-def encode_by_word(path: str, texts: list[str]) -> list[np.ndarray]:
-    """The same ids as ``encode_whole``, by way of the distinct words; several times faster."""
-    ids = _words(path).words.__getitem__
-    return [np.frombuffer(b"".join(map(ids, t.encode("utf-8", "replace").split())), dtype="<u4") for t in texts]
+def encode_by_piece(path: str, texts: list[str]) -> list[np.ndarray]:
+    """The same ids as ``encode_whole``, several times faster."""
+    return list(map(piece_ids.of_file(path).of, texts))
 
 
 def _width(path: str) -> str:
-    return "<u2" if _tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+    return "<u2" if piece_ids.tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
 
-def tokenized(docs: DataFrame, path: str, encoder: Callable = encode_by_word, end: int = END) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, encoder: Callable = encode_by_piece, end: int = END) -> DataFrame:
     """Blocks of whole documents in id order, written once: ``file, block, start, doc_ids, sizes, ids``.
 
     A file is a range of ids; ``start`` counts the ids before a block in its file.  A block closes at ``BLOCK_IDS``.
@@ -239,7 +162,9 @@ def tokenized(docs: DataFrame, path: str, encoder: Callable = encode_by_word, en
         if docs:
             yield closed()
 
-    cut = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one id, null among them, may be many: they are dealt and ordered by a hash of their texts
+    cut = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash")).repartitionByRange("doc_id", "_hash")
+    cut = cut.sortWithinPartitions("doc_id", "_hash", "text")
     with small_batches(docs.sparkSession):
         rows, _ = stored(
             cut.select("doc_id", "text", F.spark_partition_id().alias("file")).mapInPandas(
@@ -268,10 +193,10 @@ def counts(rows: DataFrame, width: str) -> np.ndarray:
     return out
 
 
-def write(docs: DataFrame, path: str, folder: str | None = None, encoder: Callable = encode_by_word) -> str:
+def write(docs: DataFrame, path: str, folder: str | None = None, encoder: Callable = encode_by_piece) -> str:
     """Write ``docs`` in id order below ``folder`` (a fresh shared one if none); returns it.
 
-    A null text has no ids but the end.  Rows with one id are ordered by text; null ids come first.
+    A null text has no ids but the end.  Rows with one id are ordered by a hash of the text; null ids come first.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "token-files")

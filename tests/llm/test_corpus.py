@@ -10,9 +10,10 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from runloom.llm import common, contamination, language_id, mixing, queries, shards, simhash_dedup, token_files
+from runloom.llm import common, contamination, language_id, mixing, piece_ids, queries, shards, simhash_dedup, token_files
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -121,31 +122,56 @@ def test_one_id_and_none():
         assert np.array_equal(token_files.decode(bits, offsets, len(ids), *token_files.decoding_table(lengths)), ids)
 
 
-def test_words_give_the_ids_of_whole_texts():
+def test_pieces_give_the_ids_of_whole_texts():
     rng = random.Random(1)
     pool = [chr(c) for c in [*range(1, 0x250), *range(0x300, 0x340), *range(0x370, 0x400), 0x130, 0x2028, 0x3000, 0x85, 0xA0, 0x1E9E, 0x4E00, 0x1F600, 0x660]]
     pool += ["'s", "'S", "'LL", " ", "\n", "<|endoftext|>", "<|startoftext|>"] * 6
     texts = ["".join(rng.choices(pool, k=rng.randint(0, 30))) for _ in range(4000)] + ["", "word " * 3000]
-    for whole, parts in zip(token_files.encode_whole(TOKENIZER, texts), token_files.encode_by_word(TOKENIZER, texts)):
+    for whole, parts in zip(token_files.encode_whole(TOKENIZER, texts), token_files.encode_by_piece(TOKENIZER, texts)):
         assert np.array_equal(whole, parts)
 
 
 def test_recent_table_forgets_and_stays_right():
-    table = token_files._Recent(3, lambda k: k * 2)
+    table = piece_ids._Recent(3, lambda k: k * 2)
     assert [table[k] for k in "abcabcdefgabcg"] == [k * 2 for k in "abcabcdefgabcg"] and len(table) <= 3
 
 
+def test_token_files_of_one_hot_id(spark):
+    """A third of the rows without an id, and one very long text: no file holds all of an id, and nothing is lost."""
+    rng = random.Random(8)
+    rows = [(None if i % 3 else i, " ".join(rng.choices(["ab", "cde", "f", "é"], k=8))) for i in range(3000)] + [(7, "word " * 200_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit(1)).withColumn("n_tokens", F.lit("x"))
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")  # these are small enough for one task
+    kept = token_files.tokenized(docs.repartition(8), TOKENIZER)
+    spark.conf.set(coalesce, before)
+    files = {}
+    for r in kept.select("file", "doc_ids").collect():
+        files[r.file] = files.get(r.file, 0) + sum(d is None for d in r.doc_ids)
+    assert sum(files.values()) == 2000 and max(files.values()) < 1200
+    got = token_files.read(spark, token_files.write(docs, TOKENIZER)).collect()
+    assert len(got) == 3001 and max(r.n_tokens for r in got) == 200_001
+    assert {r.start for r in got} == {0, *np.cumsum([r.n_tokens for r in sorted(got, key=lambda r: r.start)])[:-1].tolist()}
+
+
 def test_token_files(spark, monkeypatch):
     monkeypatch.setattr(token_files, "BLOCK_IDS", 300)
     rows, docs = made(spark)
     got = token_files.read(spark, token_files.write(docs, TOKENIZER), digest=False).collect()
+    found = sorted(got, key=lambda r: r.start)
+    assert [r.doc_id is not None for r in found] == sorted(r.doc_id is not None for r in found)
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
-    start, want = 0, []
+    want = []
     for row, ids in zip(order, token_files.encode_whole(TOKENIZER, [r[1] or "" for r in order])):
         ids = [*ids.tolist(), 1]
-        want.append((start, row[0], len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()), ids))
-        start += len(ids)
-    assert sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32, list(r.ids)) for r in got) == want
+        want.append((row[0] or -1, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()), ids))
+    assert sorted((r.doc_id or -1, r.n_tokens, r.ids_crc32, list(r.ids)) for r in got) == sorted(want)
+    start = 0
+    for r in found:
+        assert r.start == start
+        start += r.n_tokens
+    assert [r.doc_id or -1 for r in found] == sorted(r.doc_id or -1 for r in found)
     assert token_files.read(spark, token_files.write(docs.limit(0), TOKENIZER)).collect() == []
 
 
