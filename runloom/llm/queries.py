@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from runloom.llm import (
-    contamination, html_text, language_id, mixing, packing, personal_data, shards, simhash_dedup, token_files, url_filter, vector_dedup,
+    contamination, html_text, language_id, mixing, packing, personal_data, shards, simhash_dedup, spelling, token_files,
+    url_filter, vector_dedup,
 )
 from runloom.llm.common import table
 
@@ -60,9 +61,13 @@ def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.digest(spark, packing.write(table(spark, folder, "documents"), vocabulary), vocabulary)
 
 
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_html_text, op2_url_filter, op3_language_id, op4_vector_dedup, op5_simhash_dedup, op6_mixing, op7_personal_data, op8_token_files, op9_shards, op10_contamination,
-    op11_packing)}
+    op11_packing, op12_spelling)}
 
 ORACLE_SQL = {
     "op4_vector_dedup": """
@@ -99,4 +104,42 @@ ORACLE_SQL = {
         FROM d JOIN i USING (s) JOIN n USING (item_id)
         GROUP BY doc_id, h, item_id HAVING count(*) >= 0.8 * any_value(n)
     """,
+    "op12_spelling": r"""
+        WITH RECURSIVE runs AS (
+            SELECT doc_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{5,}')) AS run
+            FROM documents),
+        each AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+        crc_table AS (SELECT [list_reduce(
+            [i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FOR i IN range(256)] AS t),
+        hashed AS (
+            SELECT run, n, xor(4294967295, list_reduce(
+                [4294967295] || flatten([CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x) - 64] END
+                    FOR x IN string_split(concat(doc_id, ':', run), '')]),
+                lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) AS h
+            FROM each, crc_table),
+        v AS (
+            SELECT word, sum(n)::BIGINT AS n
+            FROM (SELECT CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM hashed)
+            WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        cut AS (
+            SELECT DISTINCT word, length(word) AS len, i, word[:i - 1] || word[i + 1:] AS s
+            FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+        near AS (
+            SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.s = b.s AND a.i = b.i AND a.len = b.len AND a.word <> b.word
+            UNION SELECT a.word, b.word FROM cut a JOIN v b ON a.s = b.word
+            UNION SELECT b.word, a.word FROM cut a JOIN v b ON a.s = b.word),
+        best AS (
+            SELECT near.word, count(*) AS n_near, arg_min(other, (-o.n, encode(other))) AS other, max(o.n) AS other_n
+            FROM near JOIN v o ON o.word = near.other GROUP BY near.word),
+        form AS (
+            SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * v.n THEN other END AS form,
+                CASE WHEN other_n >= 2 * v.n THEN other_n END AS form_n
+            FROM v LEFT JOIN best USING (word)),
+        path AS (
+            SELECT word, word AS root, 0 AS depth FROM form
+            UNION ALL SELECT path.word, form.form, depth + 1 FROM path JOIN form ON form.word = path.root WHERE form.form IS NOT NULL),
+        ends AS (SELECT word, arg_max(root, depth) AS root FROM path GROUP BY word)
+        SELECT word, n, n_near, form, form_n, root FROM form JOIN ends USING (word)
+    """,
 }
