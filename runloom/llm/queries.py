@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from runloom.llm import (
-    contamination, html_text, language_id, mixing, packing, personal_data, shards, simhash_dedup, spelling, token_files,
+    collocations, contamination, html_text, language_id, mixing, packing, personal_data, shards, simhash_dedup, spelling, token_files,
     url_filter, vector_dedup,
 )
 from runloom.llm.common import table
@@ -65,9 +65,13 @@ def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(table(spark, folder, "documents"))
 
 
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_html_text, op2_url_filter, op3_language_id, op4_vector_dedup, op5_simhash_dedup, op6_mixing, op7_personal_data, op8_token_files, op9_shards, op10_contamination,
-    op11_packing, op12_spelling)}
+    op11_packing, op12_spelling, op13_collocations)}
 
 ORACLE_SQL = {
     "op4_vector_dedup": """
@@ -142,4 +146,34 @@ ORACLE_SQL = {
         ends AS (SELECT word, arg_max(root, depth) AS root FROM path GROUP BY word)
         SELECT word, n, n_near, form, form_n, root FROM form JOIN ends USING (word)
     """,
+    "op13_collocations": r"""
+        WITH text AS (
+            SELECT row_number() OVER () AS t, coalesce(lang, 'und') AS lang,
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+            FROM documents),
+        piece AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM text),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM piece),
+        gram AS (
+            SELECT lang, k, unnest([w[i:i + k - 1] FOR i IN range(1, len(w) - k + 2)]) AS g
+            FROM w, (SELECT unnest([1, 2, 3, 4])::INT AS k) WHERE len(w) >= k),
+        f AS (SELECT lang, k, g, count(*) AS n FROM gram GROUP BY ALL HAVING count(*) >= 30),
+        total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+        cut AS (SELECT *, unnest(range(1, k)) AS at FROM f WHERE k > 1),
+        score AS (
+            SELECT c.lang, c.k, c.g, c.n AS a, x.n AS l, y.n AS r, (2000000::HUGEINT * c.n // (x.n + y.n))::BIGINT AS score, c.at
+            FROM cut c JOIN f x ON x.lang = c.lang AND x.g = c.g[:c.at] JOIN f y ON y.lang = c.lang AND y.g = c.g[c.at + 1:]),
+        low AS (SELECT * FROM score QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, at) = 1),
+        inner_part AS (
+            SELECT lang, n, unnest([g[i:i + s - 1] FOR i IN range(1, k - s + 2)]) AS g
+            FROM f, (SELECT unnest([2, 3])::INT AS s) WHERE s < k),
+        longer AS (SELECT lang, g, max(n) AS n FROM inner_part GROUP BY ALL),
+        kept AS (
+            SELECT low.* FROM low LEFT JOIN longer ON longer.lang = low.lang AND longer.g = low.g
+            WHERE longer.n IS NULL OR 100::HUGEINT * longer.n < 80::HUGEINT * a),
+        ranked AS (
+            SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(g, ' '))) AS rank,
+                array_to_string(g, ' ') AS phrase, a, l, r, score
+            FROM kept)
+        SELECT lang, rank, phrase, a, l, r, total.n AS n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+    """,
 }
