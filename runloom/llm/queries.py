@@ -158,11 +158,11 @@ ORACLE_SQL = {
             FROM w, (SELECT unnest([1, 2, 3, 4])::INT AS k) WHERE len(w) >= k),
         f AS (SELECT lang, k, g, count(*) AS n FROM gram GROUP BY ALL HAVING count(*) >= 30),
         total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
-        cut AS (SELECT *, unnest(range(1, k)) AS at FROM f WHERE k > 1),
+        cut AS (SELECT *, unnest(range(1, k)) AS cut_at FROM f WHERE k > 1),
         score AS (
-            SELECT c.lang, c.k, c.g, c.n AS a, x.n AS l, y.n AS r, (2000000::HUGEINT * c.n // (x.n + y.n))::BIGINT AS score, c.at
-            FROM cut c JOIN f x ON x.lang = c.lang AND x.g = c.g[:c.at] JOIN f y ON y.lang = c.lang AND y.g = c.g[c.at + 1:]),
-        low AS (SELECT * FROM score QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, at) = 1),
+            SELECT c.lang, c.k, c.g, c.n AS a, x.n AS l, y.n AS r, (2000000::HUGEINT * c.n // (x.n + y.n))::BIGINT AS score, c.cut_at
+            FROM cut c JOIN f x ON x.lang = c.lang AND x.g = c.g[:c.cut_at] JOIN f y ON y.lang = c.lang AND y.g = c.g[c.cut_at + 1:]),
+        low AS (SELECT * FROM score QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut_at) = 1),
         inner_part AS (
             SELECT lang, n, unnest([g[i:i + s - 1] FOR i IN range(1, k - s + 2)]) AS g
             FROM f, (SELECT unnest([2, 3])::INT AS s) WHERE s < k),
