@@ -221,22 +221,29 @@ def _blueprints(v: Views) -> DataFrame:
     return stored(manifest.blueprints(v.program(), v.software(), v.param(), v.redirect(), "tmp"), "blueprints")[0]
 
 
-@query(using("wf_composed wf_file wf_pipe wf_task", """
+@query(using("wf_composed wf_file wf_pipe wf_task wf_stream wf_first_pipe", """
 SELECT c.run_id, c.task_id, c.app_id, c.label, CASE WHEN c.task_id % 2 = 0 THEN '0,1,128' ELSE '0' END AS success_on, t.pool AS executor, c.cmd, c.cmd || ' > ' || c.stdout || ' 2> ' || c.stderr AS logged,
-  c.stdout, c.stderr, coalesce(f.i, 0) AS n_inputs, coalesce(f.o, 0) AS n_outputs, coalesce(f.w, 0) AS n_waits
-FROM wf_composed c LEFT JOIN (SELECT task_id, count(*) FILTER (WHERE role = 'input') AS i,
-  count(*) FILTER (WHERE role = 'output') AS o, count(*) FILTER (WHERE role = 'wait_on') AS w FROM wf_file GROUP BY task_id) f
+  c.stdout, c.stderr, coalesce(f.i, 0) AS n_inputs, coalesce(f.o, 0) AS n_outputs, coalesce(f.w, 0) AS n_waits,
+  coalesce(f.d, 0) AS n_defaulted, coalesce(s.n_ignored, 0) + coalesce(p.n_ignored, 0) AS n_ignored
+FROM wf_composed c LEFT JOIN wf_stream s ON s.task_id = c.task_id LEFT JOIN wf_first_pipe p ON p.task_id = c.task_id LEFT JOIN (SELECT task_id, count(*) FILTER (WHERE role = 'input') AS i,
+  count(*) FILTER (WHERE role = 'output') AS o, count(*) FILTER (WHERE role = 'wait_on') AS w,
+  count(*) FILTER (WHERE mode_defaulted) AS d FROM wf_file GROUP BY task_id) f
 ON f.task_id = c.task_id JOIN wf_task t ON t.task_id = c.task_id WHERE c.task_id NOT IN (SELECT right_task_id FROM wf_pipe)"""))
 def command_manifest(v: Views) -> DataFrame:
     found = manifest.command_manifest(
-        v.program(), v.software(), v.param(), v.redirect(), v.pipe(), v.port()
+        v.program(), v.software(), v.param(), v.redirect(), v.pipe(), v.declared_port()
     )
     return found.withColumns({"success_on": F.array_join("success_on", ","), "executor": F.col("meta")["executor"]}).drop("meta")
 
 
-@query(using("wf_file", "SELECT task_id, role, path FROM wf_file"))
+@query(using("wf_file", "SELECT task_id, role, path, mode_defaulted FROM wf_file"))
 def command_files(v: Views) -> DataFrame:
-    return manifest.task_files(v.port(), v.redirect(), v.pipe()).select("task_id", "role", "path")
+    return manifest.command_files(v.task(), v.param(), v.redirect(), v.pipe(), v.declared_port()).drop("run_id")
+
+
+@query(using("wf_mode", "SELECT task_id, path, role, defaulted AS mode_defaulted FROM wf_mode"))
+def file_modes(v: Views) -> DataFrame:
+    return manifest.file_modes(v.task(), v.param()).drop("run_id")
 
 
 @query(using("wf_resolved", "SELECT run_id, task_id, seq FROM wf_resolved WHERE kind = 'bash' AND final_path IS NULL"))
@@ -244,7 +251,7 @@ def unresolved_programs(v: Views) -> DataFrame:
     return manifest.unresolved_programs(v.program(), v.software())
 
 
-@query(using("wf_stream", "SELECT task_id, stdout, stderr, output1, output2, token1, token2 FROM wf_stream"))
+@query(using("wf_stream", "SELECT task_id, stdout, stderr, output1, output2, token1, token2, n_ignored FROM wf_stream"))
 def redirect_resolve(v: Views) -> DataFrame:
     return manifest.redirect_resolve(v.redirect()).drop("run_id")
 

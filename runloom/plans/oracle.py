@@ -46,7 +46,8 @@ FROM wf_program p LEFT JOIN wf_software s ON p.name = s.name"""),
 SELECT l_orderkey AS task_id, CAST(row_number() OVER (PARTITION BY l_orderkey
     ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag,
              l_linestatus, l_shipdate) AS BIGINT) AS pos,
-  concat('--', l_returnflag) AS flag, concat('part', CAST(l_partkey AS STRING)) AS val,
+  concat('--', l_returnflag) AS flag, concat('ref/', CAST(l_partkey % 40 AS STRING)) AS val,
+  CASE l_returnflag WHEN 'A' THEN 'input' WHEN 'R' THEN 'output' END AS mark,
   CASE WHEN l_linestatus = 'F' THEN '=' ELSE ' ' END AS sep, l_suppkey % 3 AS stream,
   concat('log/', CAST(l_partkey AS STRING)) AS dest, l_linenumber % 2 = 0 AS is_data FROM lineitem"""),
     "wf_pipe": (["wf_task"], """
@@ -61,8 +62,9 @@ SELECT task_id,
   max(dest) FILTER (WHERE pos = 1 AND is_data AND (both_pos IS NULL OR both_pos > 1)) AS output1,
   max(dest) FILTER (WHERE pos = 2 AND is_data AND both_pos IS NULL) AS output2,
   max(CASE stream WHEN 0 THEN '1>' WHEN 1 THEN '2>' ELSE '&>' END) FILTER (WHERE pos = 1) AS token1,
-  max(CASE stream WHEN 0 THEN '1>' WHEN 1 THEN '2>' ELSE '&>' END) FILTER (WHERE pos = 2) AS token2
-FROM wf_cut GROUP BY task_id"""),
+  max(CASE stream WHEN 0 THEN '1>' WHEN 1 THEN '2>' ELSE '&>' END) FILTER (WHERE pos = 2) AS token2,
+  CAST(max(n) - CASE WHEN min(both_pos) = 1 THEN 1 ELSE least(max(n), 2) END AS BIGINT) AS n_ignored
+FROM wf_cut JOIN (SELECT task_id, count(*) AS n FROM wf_token GROUP BY task_id) USING (task_id) GROUP BY task_id"""),
     "wf_args": (["wf_token"], """
 SELECT task_id, string_agg(flag || sep || val, ' ' ORDER BY pos) AS arguments FROM wf_token GROUP BY task_id"""),
     "wf_blueprint": (["wf_resolved", "wf_stream", "wf_args"], """
@@ -74,7 +76,7 @@ SELECT r.run_id, r.task_id, r.app_id, coalesce(r.action, r.program) AS label,
 FROM wf_resolved r LEFT JOIN wf_stream s USING (task_id) LEFT JOIN wf_args a USING (task_id)
 WHERE r.kind = 'bash' AND r.program IS NOT NULL"""),
     "wf_first_pipe": (["wf_pipe"], """
-SELECT task_id, min_by(right_task_id, pos) AS right_task_id FROM wf_pipe GROUP BY task_id"""),
+SELECT task_id, min_by(right_task_id, pos) AS right_task_id, count(*) - 1 AS n_ignored FROM wf_pipe GROUP BY task_id"""),
     "wf_composed": (["wf_blueprint", "wf_first_pipe"], """
 SELECT l.run_id, l.task_id, l.app_id, l.label, CAST(0 AS BIGINT) AS part, r.cmd IS NOT NULL AS is_piped,
   CASE WHEN r.cmd IS NULL THEN l.cmd
@@ -82,13 +84,21 @@ SELECT l.run_id, l.task_id, l.app_id, l.label, CAST(0 AS BIGINT) AS part, r.cmd
   coalesce(r.stdout, l.stdout) AS stdout, coalesce(r.stderr, l.stderr) AS stderr
 FROM wf_blueprint l LEFT JOIN wf_first_pipe p ON l.task_id = p.task_id
   LEFT JOIN wf_blueprint r ON r.task_id = p.right_task_id"""),
-    "wf_own_file": (["wf_port", "wf_stream"], """
-SELECT task_id, role, path FROM wf_port
-UNION ALL SELECT task_id, 'output', output1 FROM wf_stream WHERE output1 IS NOT NULL
-UNION ALL SELECT task_id, 'output', output2 FROM wf_stream WHERE output2 IS NOT NULL"""),
+    "wf_mode": (["wf_token", "wf_task"], """
+SELECT task_id, path, CASE WHEN mode = 'input' THEN 'input' ELSE 'output' END AS role, mode IS NULL AS defaulted
+FROM (SELECT task_id, path, last_value(mark IGNORE NULLS) OVER (PARTITION BY run_id, path ORDER BY seq) AS mode
+  FROM (SELECT t.run_id, t.task_id, t.seq, k.val AS path, max_by(mark, pos) FILTER (WHERE mark IS NOT NULL) AS mark
+    FROM wf_token k JOIN wf_task t ON t.task_id = k.task_id GROUP BY t.run_id, t.task_id, t.seq, k.val))"""),
+    "wf_own_file": (["wf_port", "wf_stream", "wf_mode"], """
+SELECT task_id, role, path, false AS defaulted FROM wf_port WHERE path NOT LIKE 'part/%'
+UNION ALL SELECT task_id, role, path, defaulted FROM wf_mode
+UNION ALL SELECT task_id, 'output', output1, false FROM wf_stream WHERE output1 IS NOT NULL
+UNION ALL SELECT task_id, 'output', output2, false FROM wf_stream WHERE output2 IS NOT NULL"""),
     "wf_file": (["wf_own_file", "wf_first_pipe"], """
-SELECT task_id, role, path FROM wf_own_file
-UNION SELECT p.task_id, f.role, f.path FROM wf_own_file f JOIN wf_first_pipe p ON f.task_id = p.right_task_id"""),
+SELECT task_id, role, path, bool_and(defaulted) AS mode_defaulted
+FROM (SELECT * FROM wf_own_file
+  UNION ALL SELECT p.task_id, f.role, f.path, f.defaulted FROM wf_own_file f JOIN wf_first_pipe p ON f.task_id = p.right_task_id)
+GROUP BY task_id, role, path"""),
     "wf_pool": ([], """
 SELECT DISTINCT o_orderpriority AS label, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS cpu,
   concat(substr(o_orderpriority, 1, 1), 'G') AS mem FROM orders WHERE o_orderpriority <> '5-LOW'

@@ -53,8 +53,17 @@ class Views:
         )
 
     def port(self) -> DataFrame:
-        """Outputs, inputs from the parent in a binary heap, all distinct parts of the order as
-        external inputs, and waits on the task two places before."""
+        """What is declared beside the parameters, and all distinct parts of the order as external inputs."""
+        parts = self.base("lineitem").select(F.col("l_orderkey").alias("task_id"), "l_partkey").distinct()
+        runs = self.base("orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("task_id"))
+        external = parts.join(runs, "task_id").select(
+            "run_id", "task_id", F.lit("input").alias("role"),
+            F.concat(F.lit("part/"), F.col("l_partkey").cast("string")).alias("path"),
+        )
+        return self.declared_port().unionByName(external)
+
+    def declared_port(self) -> DataFrame:
+        """Outputs, inputs from the parent in a binary heap, and waits on the task two places before."""
         out = self.task_rows().select(
             "run_id", "task_id", F.lit("output").alias("role"),
             F.concat(F.lit("out/"), F.col("task_id").cast("string")).alias("path"),
@@ -69,13 +78,7 @@ class Views:
 
         parents = link("input", "seq > 1", "floor(seq / 2)", "concat('out/', other)")
         waits = link("wait_on", "seq % 3 = 0", "seq - 2", "other")
-        parts = self.base("lineitem").select(F.col("l_orderkey").alias("task_id"), "l_partkey").distinct()
-        runs = self.base("orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("task_id"))
-        external = parts.join(runs, "task_id").select(
-            "run_id", "task_id", F.lit("input").alias("role"),
-            F.concat(F.lit("part/"), F.col("l_partkey").cast("string")).alias("path"),
-        )
-        return out.unionByName(parents).unionByName(waits).unionByName(external)
+        return out.unionByName(parents).unionByName(waits)
 
     def manifest(self) -> DataFrame:
         return self.task_rows().where("state = 'completed' AND task_id % 7 <> 0").select(
@@ -123,7 +126,8 @@ class Views:
         return self.base("lineitem").join(runs, "l_orderkey").select(
             "run_id", F.col("l_orderkey").alias("task_id"), F.struct(*place).alias("pos"),
             F.concat(F.lit("--"), "l_returnflag").alias("flag"),
-            F.concat(F.lit("part"), F.col("l_partkey").cast("string")).alias("val"),
+            F.concat(F.lit("ref/"), (F.col("l_partkey") % 40).cast("string")).alias("val"),
+            F.expr("CASE l_returnflag WHEN 'A' THEN 'input' WHEN 'R' THEN 'output' ELSE 'unmarked' END").alias("mark"),
             F.expr("CASE WHEN l_linestatus = 'F' THEN '=' ELSE ' ' END").alias("sep"),
             (F.col("l_suppkey") % 3).alias("stream"),
             F.concat(F.lit("log/"), F.col("l_partkey").cast("string")).alias("dest"),
@@ -131,7 +135,9 @@ class Views:
         )
 
     def param(self) -> DataFrame:
-        return self._tokens().select("run_id", "task_id", "pos", F.array("flag", "val").alias("tokens"), "sep")
+        """A flag and a file each, which is marked as input, as output or not at all."""
+        return self._tokens().select(
+            "run_id", "task_id", "pos", F.array("flag", "val").alias("tokens"), F.array(F.lit(None), "mark").alias("marks"), "sep")
 
     def redirect(self) -> DataFrame:
         return self._tokens().select("run_id", "task_id", "pos", "stream", "dest", "is_data")

@@ -116,7 +116,75 @@ def test_redirected_data_is_an_output(spark, rows):
     t = Tables(spark, [program(1)], redirects=[(1, 1, 0, "/stdout.log", False), (1, 2, 1, "/stderr.log", True)],
                ports=[(1, 1, "input", "/i"), (1, 1, "input", "/i"), (1, 1, "output", ""), (1, 1, "wait_on", "9")])
     assert rows(manifest.task_files(t.ports, t.redirects, t.pipes)) == {
-        (1, 1, "input", "/i"), (1, 1, "output", "/stderr.log"), (1, 1, "wait_on", "9")}
+        (1, 1, "input", "/i", False), (1, 1, "output", "/stderr.log", False), (1, 1, "wait_on", "9", False)}
+
+
+MARKED = "run_id long, task_id long, pos long, tokens array<string>, marks array<string>, sep string"
+
+
+def marked(spark, *params):
+    """Parameters of (run, task, pos, tokens, marks)."""
+    return spark.createDataFrame([(*p, " ") for p in params], MARKED)
+
+
+def test_files_of_parameters(spark, rows):
+    """The last mark of a file holds for all that use it from there on, within its run; without any it is an output."""
+    t = Tables(spark, [program(i) for i in range(1, 7)] + [(2, 1, 1, "bash", "software1", None, None, None)])
+    no = "none"
+    params = marked(
+        spark,
+        (1, 1, 1, ["-i", "/a", "/b"], [None, "input", no]), (1, 1, 2, ["/late"], [no]), (1, 1, 3, ["/late"], ["input"]),
+        (1, 2, 1, ["/a", "/b", ""], [no, "output", "input"]), (1, 3, 1, ["/a"], ["output"]), (1, 4, 1, ["/a", "/b"], [no, no]),
+        (1, 5, 1, ["/a", "/a"], ["output", "input"]), (1, 6, 1, ["/a"], [no]), (1, 6, 2, ["plain"], [None]), (2, 1, 1, ["/a"], [no]))
+    want = {
+        (1, 1, "/a", "input", False), (1, 1, "/b", "output", True), (1, 1, "/late", "input", False), (1, 2, "/a", "input", False),
+        (1, 2, "/b", "output", False), (1, 3, "/a", "output", False), (1, 4, "/a", "output", False), (1, 4, "/b", "output", False),
+        (1, 5, "/a", "input", False), (1, 6, "/a", "input", False), (2, 1, "/a", "output", True)}
+    assert rows(manifest.file_modes(t.tasks, params)) == want
+    # a file marked beside the parameters, and one that is redirected to
+    other = spark.createDataFrame([(1, 3, "/b", "input"), (1, 3, "", "input"), (1, 4, "/x", "input")], "run_id long, task_id long, path string, mark string")
+    found = rows(manifest.file_modes(t.tasks, params, other))
+    assert found - want == {(1, 4, "/b", "input", False)} and not any(f[2] == "/x" for f in found)
+
+
+def test_manifest_counts_derived_files(spark, rows):
+    t = Tables(spark, [program(1), program(2)], redirects=[(1, 1, 0, "/o", True), (1, 2, 1, "/e", False), (1, 3, 0, "/x", True), (2, 1, 2, "/b", True), (2, 2, 0, "/c", True)],
+               pipes=[], ports=[(1, 1, "input", "/extra"), (1, 1, "output", "/b")])
+    t.params = marked(spark, (1, 1, 1, ["-a", "/a", "/b"], [None, "input", "none"]), (1, 2, 1, ["/a"], ["none"]))
+    assert rows(t.manifest(), "task_id", "n_inputs", "n_outputs", "n_defaulted", "n_ignored") == {(1, 2, 2, 0, 1), (2, 1, 0, 0, 1)}
+    assert rows(t.manifest(both_is_output=True), "task_id", "n_outputs") == {(1, 2), (2, 1)}
+    assert rows(t.manifest().where("task_id = 1"), "cmd") == {("/path/to/soft1 -a /a /b",)}
+    files = manifest.command_files(t.tasks, t.params, t.redirects, t.pipes, t.ports)
+    assert rows(files.where("task_id = 1")) == {
+        (1, 1, "input", "/extra", False), (1, 1, "input", "/a", False), (1, 1, "output", "/b", False), (1, 1, "output", "/o", False)}
+
+
+def test_file_used_by_every_task(spark):
+    """One file in all tasks of a run, marked once in a thousand."""
+    n = 25_000
+    tasks = spark.range(1, n + 1).selectExpr("1L run_id", "id task_id", "id seq")
+    params = tasks.selectExpr(
+        "run_id", "task_id", "1L pos", "array('/hot') tokens",
+        "array(CASE WHEN seq % 1000 = 0 THEN CASE WHEN seq % 2000 = 0 THEN 'output' ELSE 'input' END ELSE 'none' END) marks", "' ' sep")
+    got = manifest.file_modes(tasks, params).groupBy("role", "mode_defaulted").count().collect()
+    assert {(r.role, r.mode_defaulted): r["count"] for r in got} == plain_modes(n)
+
+
+def plain_modes(n):
+    from collections import Counter
+    mode, found = None, Counter()
+    for seq in range(1, n + 1):
+        if seq % 1000 == 0:
+            mode = "output" if seq % 2000 == 0 else "input"
+        found[mode or "output", mode is None] += 1
+    return dict(found)
+
+
+def test_redirects_by_token(spark, rows):
+    given = spark.createDataFrame([(1, 1, 1, "2>", "/e", True), (1, 1, 2, ">", "/o", True), (1, 2, 1, "&>", "/b", True), (1, 2, 2, ">", "/x", True)],
+                                  "run_id long, task_id long, pos long, stream string, dest string, is_data boolean")
+    assert rows(manifest.redirect_resolve(given), "task_id", "stdout", "stderr", "output1", "n_ignored") == {(1, "/o", "/e", "/e", 0), (2, "/b", "/b", None, 1)}
+    assert rows(manifest.redirect_resolve(given, True), "task_id", "output1", "output2") == {(1, "/e", "/o"), (2, "/b", None)}
 
 
 def test_text_functions(spark):
