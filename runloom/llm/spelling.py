@@ -153,10 +153,11 @@ def near_words(words: DataFrame) -> DataFrame:
     half = F.floor(F.col("m") / 2).cast("int")
     shared = F.when(F.col("side") == "front", F.left("word", half)).otherwise(F.right("word", half))
     placed = placed.withColumn("_shared", F.xxhash64(shared))
-    # buckets by (m, side) so that each has about so many words and letters
-    sizes = placed.groupBy("m", "side").agg(F.count(F.lit(1)).alias("_rows")).select(
+    # buckets by (m, side) so that each has about so many words and letters; stored, so that the planner knows how few rows that are: words of
+    # k different lengths have k * k / 2 letters at least
+    sizes, _ = stored(placed.groupBy("m", "side").agg(F.count(F.lit(1)).alias("_rows")).select(
         "m", "side", F.greatest(
-            F.ceil(F.col("_rows") * (F.col("m") + 1) / BUCKET_LETTERS), F.ceil(F.col("_rows") / BUCKET_WORDS)).alias("_buckets"))
+            F.ceil(F.col("_rows") * (F.col("m") + 1) / BUCKET_LETTERS), F.ceil(F.col("_rows") / BUCKET_WORDS)).alias("_buckets")), "bucket-sizes")
     lists = placed.join(sizes, ["m", "side"]).select(
         "word", "n", "m", "side", F.pmod("_shared", "_buckets").alias("bucket"))
     keys = ["m", "side", "bucket"]
