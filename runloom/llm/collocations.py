@@ -214,28 +214,29 @@ def graph(counted: DataFrame, least: int = LEAST) -> DataFrame:
     """``a, b, c, d, n``: all phrases of one to four words (0 behind the last) that occur ``least`` times, from ``edges``.
 
     Edges are dealt by their first node, which also gives the flow through it without a further shuffle; only sums for pairs of
-    words, added up per task, are shuffled again.
+    words, added up per task, are shuffled again.  The four results share these two shuffles because they ask for the same columns: rows are told
+    apart by aggregates of their keys, as a filter on the keys themselves would be pushed below the shuffles, and conditions that always
+    hold keep columns that only some of them need.
     """
     zero = F.lit(0).cast("long")
     dealt = counted.repartition("a", "b", "c")
     total = F.sum("n").alias("n")
-    four = dealt.groupBy(*_KEYS).agg(total).where("d <> 0")
+    four = dealt.groupBy(*_KEYS).agg(total, F.max("d").alias("last")).where("last <> 0").drop("last")
     # a node's flow, and how much of it ends there; a shorter run is a node of its own
-    flow = dealt.groupBy("a", "b", "c").agg(total, F.sum(F.when(F.col("d") == 0, F.col("n"))).alias("ends"))
-    ends = F.coalesce("ends", zero)
-
-    def part(a, b, c, n):
-        return F.struct(a.alias("a"), b.alias("b"), c.alias("c"), n.alias("n"))
-
-    a, b, c, n = (F.col(x) for x in ("a", "b", "c", "n"))
-    longer = F.array(part(a, b, c, n), part(a, b, zero, n), part(b, c, zero, ends), part(c, zero, zero, ends))
-    shorter = F.when(b == 0, F.array(part(a, zero, zero, n))).otherwise(F.array(part(a, b, zero, n), part(b, zero, zero, n)))
-    parts = flow.select(F.explode(F.when(c == 0, shorter).otherwise(longer)).alias("p")).select("p.*").where("n > 0")
-    # rows with b = 0 are here the runs that end in a word; what goes on from it is added from the pairs
-    three = parts.groupBy("a", "b", "c").agg(total)
-    ones = three.where("c = 0").groupBy("a").agg(total).select("a", zero.alias("b"), zero.alias("c"), "n")
-    found = three.where("b <> 0").unionByName(ones).withColumn("d", zero)
-    return four.unionByName(found).where(F.col("n") >= least)
+    flow = dealt.groupBy("a", "b", "c").agg(total, F.sum(F.when(F.col("d") == 0, F.col("n"))).alias("ends"), F.max("c").alias("last"))
+    three = flow.where("last <> 0 AND (ends IS NULL OR ends > 0)").select("a", "b", "c", zero.alias("d"), "n")
+
+    def part(a, b, n):
+        return F.struct(a.alias("a"), b.alias("b"), n.alias("n"))
+
+    a, b, c, n, ends = F.col("a"), F.col("b"), F.col("c"), F.col("n"), F.coalesce("ends", zero)
+    parts = F.when(b == 0, F.array(part(a, zero, n))).when(c == 0, F.array(part(a, b, n), part(b, zero, n))).otherwise(
+        F.array(part(a, b, n), part(b, c, ends), part(c, zero, ends)))
+    pairs = flow.select(F.explode(parts).alias("p")).select("p.*").where("n > 0").groupBy("a", "b").agg(total, F.max("b").alias("last"))
+    two = pairs.where("last <> 0").select("a", "b", zero.alias("c"), zero.alias("d"), "n")
+    # rows without a second word are runs that end in the first; what goes on from it is added from the pairs
+    one = pairs.where("last IS NOT NULL").groupBy("a").agg(total).select("a", *[zero.alias(x) for x in "bcd"], "n")
+    return four.unionByName(three).unionByName(two).unionByName(one).where(F.col("n") >= least)
 
 
 def _parts(key: list[Column]) -> Column:
