@@ -30,6 +30,7 @@ SEVERITY = {"pending": 0, "running": 1, "completed": 2, "failed": 3}
 
 # Form of a log line and of a log file name.
 LOG_LINE = r"^\[\d{2}[A-Za-z]{3}\d{4} \d{2}:\d{2}:\d{2}\|[^\]]*\] > "
+TAG_LINE = r"^@\w+_(start|end) (\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:\.\d+)?)\s*$"
 LOG_FILE = r"^(.*)_(\d{2}[A-Za-z]{3}\d{4}_\d{6})\.\w+\.log$"
 
 
@@ -117,8 +118,8 @@ def run_tags(log: DataFrame) -> DataFrame:
     A tag is a line of its own, ``@<name>_start`` or ``@<name>_end`` and a time with microseconds.
     """
     def tag(which: str) -> Column:
-        found = F.regexp_extract("message", rf"^@\w+_{which} (\d{{4}}-\d{{2}}-\d{{2}} \d{{2}}:\d{{2}}:\d{{2}}(?:\.\d+)?)\s*$", 1)
-        return F.max(F.nullif(found, F.lit("")).try_cast("timestamp_ntz"))
+        found = F.when(F.regexp_extract("message", TAG_LINE, 1) == which, F.regexp_extract("message", TAG_LINE, 2))
+        return F.max(found.try_cast("timestamp_ntz"))
 
     spans = log.groupBy("run_id").agg(tag("start").alias("started"), tag("end").alias("ended"))
     return spans.withColumn("elapsed_us", F.timestamp_diff("MICROSECOND", F.col("started"), F.col("ended")))

@@ -18,7 +18,7 @@ from runloom.plans.oracle import using
 from runloom.plans.views import Views
 from runloom.session import scratch_path, stored
 from runloom.sources import sinks, text
-from runloom.streaming import runs
+from runloom.streaming import machines, runs
 
 Query = Callable[[Views], DataFrame]
 CATALOG: dict[str, tuple[Query, str | None]] = {}
@@ -925,7 +925,33 @@ SELECT user_id % 15 AS run_id, concat('task_', CAST(user_id AS STRING)) AS task,
 FROM events GROUP BY user_id""")
 def stream_task_state(v: Views) -> DataFrame:
     batches = runs.drain(runs.task_states(_event_stream(v)), "states", "update")
-    return _plain(runs.latest(batches, ["run_id", "task"]), "ts")
+    return _plain(runs.newest_states(batches), "ts")
+
+
+@query(f"""
+SELECT run_id, task, before, state, ts FROM (
+  SELECT *, lag(state) OVER (PARTITION BY task ORDER BY ts, {RANK}) AS before FROM (
+    SELECT DISTINCT user_id % 15 AS run_id, concat('task_', CAST(user_id AS STRING)) AS task, {STATE} AS state, event_type, ts FROM events))
+WHERE before IS DISTINCT FROM state""")
+def stream_task_changes(v: Views) -> DataFrame:
+    """Every change of state of every task, kept by a state machine for each."""
+    changes = runs.drain(machines.task_changes(_event_stream(v)), "changes", "append")
+    return _plain(changes.drop("batch_id"), "ts")
+
+
+@query("""
+SELECT c_custkey AS run_id, TIMESTAMP '2024-01-02 03:04:05.25' AS started,
+  CASE WHEN c_custkey % 4 <> 0 THEN TIMESTAMP '2024-01-02 03:14:05.75' + to_days(CAST(c_custkey % 3 AS INT)) END AS ended,
+  c_custkey % 4 <> 0 AS closed FROM customer""")
+def stream_run_spans(v: Views) -> DataFrame:
+    """Runs by their start and end tags, ended or still open, from log lines that arrive as files."""
+    source = scratch_path(v.spark, "tags")
+    _head_lines(v).select("run_id", "message").write.parquet(source)
+    stream = v.spark.readStream.schema("run_id long, message string").parquet(source)
+    done = runs.run_to_end(machines.run_spans(stream), "spans", "append")
+    ended = done.rows.drop("batch_id").withColumn("closed", F.lit(True))
+    every = ended.unionByName(machines.open_runs(v.spark, done.checkpoint).withColumn("closed", F.lit(False)))
+    return _plain(every.select("run_id", *[F.timestamp_micros(f"{c}_us").alias(c) for c in ("started", "ended")], "closed"), "started", "ended")
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type AS pool, count(*) AS n FROM events GROUP BY ALL")
@@ -934,12 +960,27 @@ def stream_run_counts(v: Views) -> DataFrame:
     return _plain(runs.latest(batches, ["window_start", "pool"]), "window_start")
 
 
-@query("SELECT count(*) AS n_read, count(*) AS n_counted, CAST(0 AS BIGINT) AS n_late FROM events")
+@query("""
+WITH late AS (
+  SELECT event_id % 3 = 0 AND date_trunc('hour', ts) + INTERVAL 1 HOUR
+    <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events WHERE event_id % 3 = 1) AS is_late FROM events)
+SELECT count(*) AS n_read, count(*) FILTER (WHERE NOT is_late) AS n_counted, count(*) FILTER (WHERE is_late) AS n_late,
+  count(*) FILTER (WHERE is_late) > 0 AS reported FROM late""")
 def stream_late_rows(v: Views) -> DataFrame:
-    """How many rows the hourly counts read, counted and found too late: none, when all files are one micro-batch."""
-    done = runs.run_to_end(runs.run_counts(_event_stream(v)), "late", "update")
+    """Hourly counts of events that arrive in three parts: rows read, counted and too late, and whether Spark reported any.
+
+    What is too late in a micro-batch is judged by the watermark that held in the one before it, which comes from the first part.
+    """
+    source = scratch_path(v.spark, "arrivals")
+    events = v.base("events").select("event_id", F.col("event_type").alias("pool"), F.col("ts").cast("timestamp").alias("ts"))
+    for part in (1, 2, 0):  # files are read in order of their time
+        events.where(F.col("event_id") % 3 == part).coalesce(8).write.parquet(f"{source}/part={part}")
+    files = len(v.spark.read.parquet(f"{source}/part=1").inputFiles())
+    stream = v.spark.readStream.schema("event_id long, pool string, ts timestamp, part int").option("maxFilesPerTrigger", files).parquet(source)
+    done = runs.run_to_end(runs.run_counts(stream), "late", "update")
     counted = runs.latest(done.rows, ["window_start", "pool"]).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_counted"))
-    return counted.select(F.lit(done.n_read).cast("long").alias("n_read"), "n_counted", F.lit(done.n_late).cast("long").alias("n_late"))
+    read = F.lit(done.n_read).cast("long")
+    return counted.select(read.alias("n_read"), "n_counted", (read - F.col("n_counted")).alias("n_late"), F.lit(done.n_late > 0).alias("reported"))
 
 
 @query("""
@@ -948,8 +989,9 @@ SELECT run_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_en
     SELECT user_id % 15 AS run_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id % 15 ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events))
 GROUP BY run_id, session""")
 def stream_run_sessions(v: Views) -> DataFrame:
-    batches = runs.drain(runs.run_sessions(_event_stream(v)), "sessions", "complete")
-    return _plain(runs.final(batches), "session_start", "session_end")
+    done = runs.run_to_end(runs.run_sessions(_event_stream(v)), "sessions", "append")
+    every = done.rows.drop("batch_id").unionByName(runs.open_sessions(v.spark, done.checkpoint))
+    return _plain(every, "session_start", "session_end")
 
 
 @query(f"""

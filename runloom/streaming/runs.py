@@ -6,6 +6,7 @@ dropped by Spark and counted in the query's progress.  All queries read what is
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import NamedTuple
@@ -41,7 +42,8 @@ def _conf(spark: SparkSession, settings: dict[str, str]):
 
 
 class Drained(NamedTuple):
-    """What a stream gave: its rows, how many rows it read, and how many of its state rows came too late.
+    """What a stream gave: its rows, how many rows it read, how many of its state rows came too late, how many rows of state it had at
+    the end of each of its last batches, and the folder with its state.
 
     Late rows are counted by Spark where state is kept, after rows of one key in one task have been combined.
     """
@@ -49,6 +51,28 @@ class Drained(NamedTuple):
     rows: DataFrame
     n_read: int
     n_late: int
+    state_rows: list[int]
+    checkpoint: str
+
+
+class _Progress:
+    """Sums over the progress of a query, taken from its recent reports often enough to miss none."""
+
+    RECENT = 100
+
+    def __init__(self):
+        self.query: StreamingQuery | None = None
+        self.last = -1
+        self.n_read = self.n_late = 0
+        self.state_rows: deque[int] = deque(maxlen=self.RECENT)
+
+    def take(self) -> None:
+        for p in self.query.recentProgress if self.query else []:
+            if p["batchId"] > self.last:
+                self.last = p["batchId"]
+                self.n_read += p["numInputRows"]
+                self.n_late += sum(o["numRowsDroppedByWatermark"] for o in p["stateOperators"])
+                self.state_rows.append(sum(o["numRowsTotal"] for o in p["stateOperators"]))
 
 
 def drain(stream: DataFrame, label: str, mode: str) -> DataFrame:
@@ -64,29 +88,31 @@ def run_to_end(stream: DataFrame, label: str, mode: str) -> Drained:
     """
     spark = stream.sparkSession
     out = scratch_path(spark, label)
-    seen: list[int] = []
+    seen: set[bool] = set()
+    progress = _Progress()
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")
-        seen.append(batch_id)
+        seen.add(True)
+        if batch_id % (progress.RECENT // 4) == 0:
+            progress.take()
 
     settings = {
         **STATE_CONF, "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism),
-        "spark.sql.streaming.numRecentProgressUpdates": "1000000",
+        "spark.sql.streaming.numRecentProgressUpdates": str(progress.RECENT),
     }
     with _conf(spark, settings):
-        query: StreamingQuery = (
+        progress.query = query = (
             stream.writeStream.outputMode(mode).foreachBatch(store)
             .option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
         )
         query.awaitTermination()
     if not seen:
         raise ValueError(f"the source of {label} matched no file")
-    progress = query.recentProgress
-    n_late = sum(o["numRowsDroppedByWatermark"] for p in progress for o in p["stateOperators"])
+    progress.take()
     schema = stream.schema.add("batch_id", "long")
     rows = spark.read.schema(schema).option("basePath", f"{out}/rows").parquet(f"{out}/rows")
-    return Drained(rows, sum(p["numInputRows"] for p in progress), n_late)
+    return Drained(rows, progress.n_read, progress.n_late, list(progress.state_rows), f"{out}/state")
 
 
 def latest(batches: DataFrame, keys: list[str]) -> DataFrame:
@@ -115,15 +141,24 @@ def parquet_stream(spark: SparkSession, folder: str, table: str, files_per_batch
 
 
 def task_states(events: DataFrame) -> DataFrame:
-    """Latest state of every task (run_id, task, ts, state): the newest time wins, at equal times
-    the more severe state.  A built-in aggregate, combined before the shuffle, so one very busy
-    task is no bottleneck and late lines cannot undo a newer state."""
+    """Latest state of every task (run_id, task, ts, state) in each hour of its activity: the newest time wins, at equal times
+    the more severe state.  :func:`newest_states` reduces the batches.
+
+    A built-in aggregate, combined before the shuffle, so one very busy task is no bottleneck.  An hour leaves the state when the
+    watermark passes its end: what the task says later is newer, and what comes from before is too late to be read.
+    """
     newest = F.max(state_stamp(F.col("ts"), F.col("state")))
-    return events.groupBy("run_id", "task").agg(newest.alias("stamp")).select(
+    return events.withWatermark("ts", LATENESS).groupBy(F.window("ts", "1 hour"), "run_id", "task").agg(newest.alias("stamp")).select(
         "run_id", "task", stamped_state(F.col("stamp")).alias("state"), stamped_time(F.col("stamp")).alias("ts")
     )
 
 
+def newest_states(batches: DataFrame) -> DataFrame:
+    """The state of every task (run_id, task, state, ts) at the end of an update-mode stream of :func:`task_states`."""
+    newest = batches.groupBy("run_id", "task").agg(F.max(state_stamp(F.col("ts"), F.col("state"))).alias("stamp"))
+    return newest.select("run_id", "task", stamped_state(F.col("stamp")).alias("state"), stamped_time(F.col("stamp")).alias("ts"))
+
+
 def run_counts(events: DataFrame, every: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Events per pool in tumbling (or sliding) windows."""
     return (
@@ -134,7 +169,8 @@ def run_counts(events: DataFrame, every: str = "1 hour", slide: str | None = Non
 
 
 def run_sessions(events: DataFrame, gap: str = "6 hours") -> DataFrame:
-    """Bursts of activity of each run, ended by a pause of ``gap``."""
+    """Bursts of activity of each run, ended by a pause of ``gap``; in append mode once the watermark has passed
+    their end.  Those still open are read by :func:`open_sessions`."""
     return (
         events.withWatermark("ts", LATENESS).groupBy(F.session_window("ts", gap), "run_id")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -143,6 +179,14 @@ def run_sessions(events: DataFrame, gap: str = "6 hours") -> DataFrame:
     )
 
 
+def open_sessions(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The sessions that an append-mode stream of :func:`run_sessions` still has open, with the columns of that stream."""
+    state = spark.read.format("statestore").load(checkpoint)
+    return state.select(
+        "value.run_id", F.col("value.session_window.start").alias("session_start"), F.col("value.session_window.end").alias("session_end"),
+        F.col("value.count").alias("n"))
+
+
 def distinct_transitions(events: DataFrame) -> DataFrame:
     """Each state of a task once per hour, however often it is reported.  The hour carries the
     watermark and is part of the key, so old keys leave the state.
