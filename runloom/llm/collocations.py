@@ -6,10 +6,9 @@ occurrence of three words either goes on along an edge or ends its run, so that
 
 ``f3(a b c) = sum over d of f4(a b c d) + runs that end in a b c``
 ``f2(a b)   = sum over c of f3(a b c)   + runs that end in a b``
-``f1(a)     = sum over b of f2(a b)     + runs that end in a``
 
 A run is a piece of text between marks, cut also at words that are too rare to be in any phrase asked for: those are known from a
-first count of all words.  Words are represented by 64-bit hashes of language and word, under the first seed for which no two words
+first count of all words, which also gives ``f1``.  Words are represented by 64-bit hashes of language and word, under the first seed for which no two words
 of the collection share one, so that counts are exact and no dictionary is sent to the tasks; a table of bits of fixed size, filled with
 the hashes of frequent words, lets through what may be frequent.
 
@@ -22,7 +21,7 @@ from __future__ import annotations
 
 import functools
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import count
 
 import numpy as np
@@ -45,6 +44,11 @@ UNKNOWN = "und"
 TABLE_BITS = 26
 #: Positions whose edges a task counts together, and different words whose counts it holds.
 _POSITIONS, _WORDS = 1 << 20, 1 << 18
+#: A word that makes up more than one in ``_HOT`` of all is hot: there are no more than ``_HOT`` of them.  What begins with two hot words is dealt
+#: to ``_SALTS`` places; what begins with any other two is one in ``_HOT`` at most.
+_HOT, _SALTS = 500, 64
+#: Sorted rows that are added up together.
+_ROWS = 1 << 17
 _KEYS = ["a", "b", "c", "d"]
 _MARK = b"\xff"  # no byte of UTF-8
 
@@ -148,7 +152,10 @@ class _WordKeys(dict):
 
 
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The edges, and the last words of runs, of a sequence of unsigned keys that ends with 0; rows of four keys, and counts."""
+    """The edges and the ends of runs in a sequence of unsigned keys that ends with 0; rows of four keys, and counts.
+
+    The end of a run is its last three words and 0, and also its last two words and 0, 0.
+    """
     own, place = np.unique(np.append(keys, np.zeros(3, dtype=keys.dtype)), return_inverse=True)
     if len(own) > 1 << 16:  # four numbers of words fill 64 bits: cut at a run's end, near the middle
         ends = np.flatnonzero(keys[:-1] == 0)
@@ -158,14 +165,12 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return np.concatenate([h[0] for h in halves]), np.concatenate([h[1] for h in halves])
     word = place[:-3] > 0
     after = [place[k:len(place) - 3 + k] for k in range(4)]
-    edge = word & (after[1] > 0) & (after[2] > 0) & (after[3] > 0)
-    last = np.flatnonzero(word & (after[1] == 0))
-    # the run's last three words, or as many as it has
-    back = np.concatenate([np.zeros(2, dtype=place.dtype), place])
-    one, two, three = back[last + 2], back[last + 1], back[last]
-    three = np.where(two == 0, 0, three)
-    tail = [np.where(three > 0, three, np.where(two > 0, two, one)), np.where(three > 0, two, np.where(two > 0, one, 0)), np.where(three > 0, one, 0)]
-    rows = [np.concatenate([a[edge], t]) for a, t in zip(after, [*tail, np.zeros_like(one)])]
+    two = word & (after[1] > 0)
+    three = two & (after[2] > 0)
+    edge = three & (after[3] > 0)
+    last_two, last_three = two & (after[2] == 0), three & (after[3] == 0)
+    after[3] = np.where(after[2] > 0, after[3], 0)  # behind a run's end another begins
+    rows = [np.concatenate([a[edge], a[last_three], a[last_two]]) for a in after]
     if len(own) <= 1 << 16:
         packed = np.zeros(len(rows[0]), dtype=np.uint64)
         for r in rows:
@@ -180,20 +185,24 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([own[r] for r in rows], axis=1).view(np.int64), n
 
 
-def edges(docs: DataFrame, seed: int, table: np.ndarray) -> DataFrame:
-    """``a, b, c, d, n``: edges, and with ``d`` 0 the last three words of runs (``c`` or ``b`` 0 too if they are shorter).
+def edges(docs: DataFrame, seed: int, table: np.ndarray, hot: Sequence[int] = ()) -> DataFrame:
+    """``a, b, c, d, n, salt``: edges, and the ends of runs with ``d``, or ``c`` and ``d``, 0.
 
-    Each task adds up stretches of its texts; a row may come from several.
+    Each task adds up stretches of its texts; a row may come from several.  ``salt`` tells apart, by their third word, rows that begin with
+    two of the ``hot`` keys; it is 0 for others.
     """
-    box = docs.sparkSession.sparkContext.broadcast(table)
+    box = docs.sparkSession.sparkContext.broadcast((table, np.array(sorted(hot), dtype=np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = functools.cache(lambda lang: _WordKeys(_language_seed(seed, lang), box.value))
+        bits, often = box.value
+        known = functools.cache(lambda lang: _WordKeys(_language_seed(seed, lang), bits))
         held, n = [], 0
 
         def handed() -> pa.RecordBatch:
             found, times = _counted(np.concatenate(held))
-            return pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(4)] + [pa.array(times, pa.int64())], [*_KEYS, "n"])
+            salt = np.where(np.isin(found[:, 0], often) & np.isin(found[:, 1], often), 1 + found[:, 2] % _SALTS, 0).astype(np.int32)
+            return pa.RecordBatch.from_arrays(
+                [*(pa.array(found[:, k]) for k in range(4)), pa.array(times, pa.int64()), pa.array(salt)], [*_KEYS, "n", "salt"])
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
@@ -207,36 +216,67 @@ def edges(docs: DataFrame, seed: int, table: np.ndarray) -> DataFrame:
         if held:
             yield handed()
 
-    return docs.select(_lang(), "text").mapInArrow(run, "a long, b long, c long, d long, n long")
+    return docs.select(_lang(), "text").mapInArrow(run, "a long, b long, c long, d long, n long, salt int")
+
+
+class _Sums:
+    """Sums over the first ``width`` keys of sorted rows that come in stretches; the last group waits for the next stretch."""
+
+    def __init__(self, width: int):
+        self.width = width
+        self.key, self.n = np.zeros((0, width), dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.concatenate([self.key, keys[:, :self.width]])
+        n = np.concatenate([self.n, n])
+        if not len(n):
+            return keys, n
+        at = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
+        keys, n = keys[at], np.add.reduceat(n, at)
+        self.key, self.n = keys[-1:], n[-1:]
+        return keys[:-1], n[:-1]
 
 
 def graph(counted: DataFrame, least: int = LEAST) -> DataFrame:
-    """``a, b, c, d, n``: all phrases of one to four words (0 behind the last) that occur ``least`` times, from ``edges``.
+    """``a, b, c, d, n``: all phrases of two to four words (0 behind the last) that occur ``least`` times, from :func:`edges`.
 
-    Edges are dealt by their first node, which also gives the flow through it without a further shuffle; only sums for pairs of
-    words, added up per task, are shuffled again.  The four results share these two shuffles because they ask for the same columns: rows are told
-    apart by aggregates of their keys, as a filter on the keys themselves would be pushed below the shuffles, and conditions that always
-    hold keep columns that only some of them need.
+    Edges are dealt and sorted by their first two words, so that one pass over them adds up the edges, the flow through their first nodes,
+    and the flow of those nodes' first two words, and only frequent phrases leave it.  Pairs of hot words have rows in
+    several places; what each of these found is added up at the end.
     """
-    zero = F.lit(0).cast("long")
-    dealt = counted.repartition("a", "b", "c")
-    total = F.sum("n").alias("n")
-    four = dealt.groupBy(*_KEYS).agg(total, F.max("d").alias("last")).where("last <> 0").drop("last")
-    # a node's flow, and how much of it ends there; a shorter run is a node of its own
-    flow = dealt.groupBy("a", "b", "c").agg(total, F.sum(F.when(F.col("d") == 0, F.col("n"))).alias("ends"), F.max("c").alias("last"))
-    three = flow.where("last <> 0 AND (ends IS NULL OR ends > 0)").select("a", "b", "c", zero.alias("d"), "n")
-
-    def part(a, b, n):
-        return F.struct(a.alias("a"), b.alias("b"), n.alias("n"))
-
-    a, b, c, n, ends = F.col("a"), F.col("b"), F.col("c"), F.col("n"), F.coalesce("ends", zero)
-    parts = F.when(b == 0, F.array(part(a, zero, n))).when(c == 0, F.array(part(a, b, n), part(b, zero, n))).otherwise(
-        F.array(part(a, b, n), part(b, c, ends), part(c, zero, ends)))
-    pairs = flow.select(F.explode(parts).alias("p")).select("p.*").where("n > 0").groupBy("a", "b").agg(total, F.max("b").alias("last"))
-    two = pairs.where("last <> 0").select("a", "b", zero.alias("c"), zero.alias("d"), "n")
-    # rows without a second word are runs that end in the first; what goes on from it is added from the pairs
-    one = pairs.where("last IS NOT NULL").groupBy("a").agg(total).select("a", *[zero.alias(x) for x in "bcd"], "n")
-    return four.unionByName(three).unionByName(two).unionByName(one).where(F.col("n") >= least)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = {4: _Sums(4), 3: _Sums(3), 2: _Sums(3)}
+        held, n_held = [], 0
+
+        def sums(rows: list[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate([r.column(k).to_numpy() for r in rows]) for k in range(6)] if rows else [np.zeros(0, dtype=np.int64)] * 6
+            keys, n, salt = np.stack(columns[:4], axis=1), columns[4], columns[5].astype(np.int64)
+            pair = np.stack([columns[0], columns[1], salt], axis=1)
+            for words, level in levels.items():
+                mine = keys[:, words - 1] != 0
+                found, total = level.add(*((pair, n) if words == 2 else (keys[mine], n[mine])))
+                if last:
+                    found, total = np.concatenate([found, level.key]), np.concatenate([total, level.n])
+                kept = total >= least
+                if words == 2:  # the third key is the salt
+                    kept |= found[:, 2] > 0
+                    found = found[:, :2]
+                found = np.pad(found[kept], ((0, 0), (0, 4 - found.shape[1])))
+                yield pa.RecordBatch.from_arrays([*(pa.array(found[:, k]) for k in range(4)), pa.array(total[kept])], [*_KEYS, "n"])
+
+        for batch in batches:
+            held.append(batch)
+            n_held += batch.num_rows
+            if n_held >= _ROWS:
+                yield from sums(held, False)
+                held, n_held = [], 0
+        yield from sums(held, True)
+
+    dealt = counted.repartition("a", "b", "salt")
+    # a hash first: few rows have the same one, so that sorting seldom looks further
+    in_order = dealt.withColumn("_h", F.xxhash64("a", "b")).sortWithinPartitions("_h", "a", "b", "salt", "c", "d").drop("_h")
+    found = in_order.mapInArrow(run, "a long, b long, c long, d long, n long")
+    return found.groupBy(*_KEYS).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 def _parts(key: list[Column]) -> Column:
@@ -301,7 +341,7 @@ def passages(found: DataFrame) -> DataFrame:
 def scored(found: DataFrame, covered: int = COVERED, scale: int = SCALE) -> DataFrame:
     """Phrases of two to four words that no longer phrase covers: ``a, b, c, d, n, l, r, score`` of their lowest-scoring cut.
 
-    ``found`` is the table of :func:`graph`.  Products are decimals, so that they are exact beyond 64 bits.
+    ``found`` is the table of :func:`graph` with the words themselves, ``b`` 0 there.  Products are decimals, so that they are exact beyond 64 bits.
     """
     wide = "decimal(20,0)"
     phrase = found.where("b <> 0")
@@ -344,9 +384,12 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, covered: i
     with small_batches(docs.sparkSession):
         words, _ = stored(word_counts(docs), "words")
         seed = _separating_seed(words)
-        keyed = words.where(F.col("n") >= least).select(_key(seed).alias("key"), "lang", "word")
-        frequent, _ = stored(keyed, "frequent-words")
-        found, _ = stored(graph(edges(docs, seed, _table(frequent)), least), "phrases")
+        keyed = words.where(F.col("n") >= least).select(_key(seed).alias("key"), "lang", "word", "n")
+        frequent, (n_all,) = stored(keyed, "frequent-words", F.sum("n"))
+        hot = [r["key"] for r in frequent.where(F.col("n") * _HOT > n_all).select("key").collect()]  # fewer than _HOT
+        phrases, _ = stored(graph(edges(docs, seed, _table(frequent), hot), least), "phrases")
+    zero = F.lit(0).cast("long")
+    found = phrases.unionByName(frequent.select(F.col("key").alias("a"), *[zero.alias(x) for x in "bcd"], "n"))
     judged = scored(found, covered).join(frequent.select(F.col("key").alias("a"), "lang"), "a")
     order = [F.col("score").desc(), F.col("n").desc()]
     # ties at the end stay until the phrases are spelled out

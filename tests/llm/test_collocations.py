@@ -60,10 +60,11 @@ def corpus(seed):
     return rows + [("en", None), (None, None), ("de", ""), ("en", " . , "), ("xx", "one word"), ("en", "the of " * 4000), rows[0], rows[0]]
 
 
-@pytest.mark.parametrize("seed, least, top, positions, words", [(1, 5, 2000, 1 << 20, 1 << 18), (2, 2, 40, 50, 3), (3, 12, 7, 500, 30)])
-def test_collocations(spark, monkeypatch, seed, least, top, positions, words):
-    monkeypatch.setattr(collocations, "_POSITIONS", positions)
-    monkeypatch.setattr(collocations, "_WORDS", words)
+@pytest.mark.parametrize("seed, least, top, positions, words, hot, rows_at_once", [
+    (1, 5, 2000, 1 << 20, 1 << 18, 500, 1 << 17), (2, 2, 40, 50, 3, 10**6, 7), (3, 12, 7, 500, 30, 20, 100)])
+def test_collocations(spark, monkeypatch, seed, least, top, positions, words, hot, rows_at_once):
+    for name, value in (("_POSITIONS", positions), ("_WORDS", words), ("_HOT", hot), ("_ROWS", rows_at_once)):
+        monkeypatch.setattr(collocations, name, value)
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "lang string, text string").withColumn("n", F.lit("x")).withColumn("a", F.lit(0)).repartition(4)
     got = sorted((tuple(r) for r in collocations.collocations(docs, least, top).collect()), key=lambda r: r[:2])
@@ -72,7 +73,7 @@ def test_collocations(spark, monkeypatch, seed, least, top, positions, words):
 
 
 def test_counts_from_flows(spark):
-    """All phrases of one to four words that are frequent, and only those, with their exact counts."""
+    """All phrases of two to four words that are frequent, and only those, with their exact counts."""
     rows = corpus(9)
     docs = spark.createDataFrame(rows, "lang string, text string")
     words = collocations.word_counts(docs).where("n >= 4")
@@ -80,12 +81,13 @@ def test_counts_from_flows(spark):
     spelled = {r.key: (r.lang, r.word) for r in words.select(key.alias("key"), "lang", "word").collect()}
     table = collocations._table(words.select(key.alias("key")))
     got = {}
-    for r in collocations.graph(collocations.edges(docs, 0, table), 4).collect():
+    hot = [k for k, w in spelled.items() if w[1] in ("the", "of")]
+    for r in collocations.graph(collocations.edges(docs, 0, table, hot), 4).collect():
         parts = [spelled[k] for k in r[:4] if k]
         assert {lang for lang, _ in parts} == {parts[0][0]}
         got[parts[0][0], *[w for _, w in parts]] = r.n
     counts, _ = plain_counts(rows)
-    assert got == {p: n for p, n in counts.items() if n >= 4}
+    assert got == {p: n for p, n in counts.items() if n >= 4 and len(p) > 2}
 
 
 def test_passages(spark):
@@ -106,8 +108,8 @@ def test_one_run_of_very_many_words():
     keys = np.append(np.arange(1, 70_001, dtype=np.uint64) << np.uint64(40), np.uint64(0))
     for times in (1, 2):
         found, n = collocations._counted(np.concatenate([keys] * times))
-        assert len(found) == len(n) and (n >= 1).all() and int(n.sum()) == times * (70_000 - 3 + 1)
-        assert (found[:, :3] != 0).all() and int(n[found[:, 3] == 0].sum()) == times
+        assert len(found) == len(n) and (n >= 1).all() and int(n.sum()) == times * (70_000 - 3 + 2)
+        assert (found[:, :2] != 0).all() and int(n[found[:, 3] == 0].sum()) == 2 * times and int(n[found[:, 2] == 0].sum()) == times
 
 
 def test_a_seed_that_separates(spark, monkeypatch):
