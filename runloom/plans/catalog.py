@@ -166,7 +166,9 @@ def task_levels(v: Views) -> DataFrame:
 
 
 @query(using("wf_dep", """
-SELECT DISTINCT x.run_id, x.a AS task_id FROM wf_behind x JOIN wf_behind y ON y.run_id = x.run_id AND y.a = x.b AND y.b = x.b""", """
+SELECT b.run_id, b.a AS task_id, c.cycle FROM (SELECT DISTINCT x.run_id, x.a FROM wf_behind x JOIN wf_behind y ON y.run_id = x.run_id AND y.a = x.b AND y.b = x.b) b
+LEFT JOIN (SELECT x.run_id, x.a, min(x.b) AS cycle FROM wf_behind x JOIN wf_behind y ON y.run_id = x.run_id AND y.a = x.b AND y.b = x.a GROUP BY x.run_id, x.a) c
+  ON c.run_id = b.run_id AND c.a = b.a""", """
 wf_looped AS (SELECT run_id, task_id, depends_on FROM wf_dep
   UNION SELECT run_id, depends_on, task_id FROM wf_dep WHERE run_id % 7 = 0 AND task_id % 5 = 0),
 wf_behind AS (SELECT run_id, task_id AS a, depends_on AS b FROM wf_looped
@@ -179,6 +181,22 @@ def cyclic_tasks(v: Views) -> DataFrame:
     return graph.cyclic_tasks(v.task_rows(), deps.unionByName(back))
 
 
+@query(using("wf_task wf_dep", """
+SELECT s.run_id, s.task_id, s.start_s, s.start_s + t.duration_s AS finish_s, m.makespan_s - e.after_s - t.duration_s AS latest_start_s,
+  m.makespan_s - e.after_s - t.duration_s - s.start_s AS slack_s, m.makespan_s
+FROM (SELECT run_id, task_id, max(start_s) AS start_s FROM wf_start GROUP BY run_id, task_id) s JOIN wf_task t ON t.task_id = s.task_id
+JOIN (SELECT task_id, max(after_s) AS after_s FROM wf_after GROUP BY task_id) e ON e.task_id = s.task_id
+JOIN (SELECT s.run_id, max(s.start_s + t.duration_s) AS makespan_s FROM wf_start s JOIN wf_task t ON t.task_id = s.task_id GROUP BY s.run_id) m ON m.run_id = s.run_id""", """
+wf_start AS (SELECT run_id, task_id, CAST(0 AS BIGINT) AS start_s FROM wf_task
+  UNION SELECT d.run_id, d.task_id, s.start_s + t.duration_s FROM wf_dep d
+    JOIN wf_start s ON d.run_id = s.run_id AND d.depends_on = s.task_id JOIN wf_task t ON t.task_id = s.task_id),
+wf_after AS (SELECT run_id, task_id, CAST(0 AS BIGINT) AS after_s FROM wf_task
+  UNION SELECT d.run_id, d.depends_on, a.after_s + t.duration_s FROM wf_dep d
+    JOIN wf_after a ON d.run_id = a.run_id AND d.task_id = a.task_id JOIN wf_task t ON t.task_id = a.task_id)"""))
+def critical_path(v: Views) -> DataFrame:
+    return graph.critical_path(v.task_rows(), lineage.task_dependencies(v.port()))
+
+
 @query(using("wf_task wf_dep", """
 SELECT s.run_id, s.task_id, max(s.start_s) AS start_s, max(s.start_s + t.duration_s) AS finish_s
 FROM wf_start s JOIN wf_task t ON t.task_id = s.task_id GROUP BY s.run_id, s.task_id""", """

@@ -108,6 +108,8 @@ def test_cycle_is_reported(spark, rows):
     assert rows(graph.cyclic_tasks(tasks, deps), "task_id") == {
         (t,) for t in ("notos_4", "notos_6", "petrichor_7", "sleep_8", "petrichor_9")
     }
+    assert rows(graph.cyclic_tasks(tasks, deps), "task_id", "cycle") == {
+        (t, None if t == "never" else "notos_4") for t in ("notos_4", "notos_6", "petrichor_7", "sleep_8", "petrichor_9")}
     only = make(spark, [("x", 1, ["b"], ["a"], []), ("y", 1, ["a"], ["b"], [])])
     assert len(rows(graph.cyclic_tasks(only[0], lineage.task_dependencies(only[1])))) == 2
     assert rows(graph.task_levels(only[0], lineage.task_dependencies(only[1]))) == set()
@@ -223,15 +225,76 @@ def test_many_tasks_make_a_run_long(spark, rows, monkeypatch):
     tasks = spark.createDataFrame(tasks, "run_id long, task_id long, duration_s long")
     deps = spark.createDataFrame(deps, "run_id long, task_id long, depends_on long")
     real = graph._solve
-    runs = []
-    monkeypatch.setattr(graph, "_solve", lambda *a: (runs.append({r.run_id for r in a[0].collect()}), real(*a))[1])
+    sizes = []
+    monkeypatch.setattr(graph, "_solve", lambda *a, **k: (sizes.append(max([r["count"] for r in a[0].groupBy("run_id").count().collect()], default=0)), real(*a, **k))[1])
     for find in (
         lambda k: graph.earliest_schedule(tasks, deps, k), lambda k: graph.failure_impact(tasks, deps, k),
         lambda k: graph.upstream_closure(tasks, deps, k), lambda k: graph.sub_workflows(tasks, deps, k),
     ):
         assert rows(find(100)) == rows(find(10**6))
-        assert runs == [set(range(2, 30)), {None, *range(1, 30)}]
-        runs.clear()
+        assert max(sizes[:-1]) <= 100 and sizes[-1] == 300
+        sizes.clear()
+
+
+@pytest.mark.parametrize("seed, run_rows, deepest", [(0, 0, 0), (2, 12, 4)])
+def test_long_runs_against_plain_search(spark, rows, monkeypatch, seed, run_rows, deepest):
+    """Random graphs of trees, rings, diamonds and what joins them: each way to solve a long run gives the plain result."""
+    rng = random.Random(seed)
+    n = 40
+    deps = {(rng.randrange(n), rng.randrange(n)) for _ in range(12)}
+    deps |= {(t, t - 1) for t in range(1, n) if rng.random() < 0.7}
+    deps |= {(a, b) for a, b in [(n, n + 1), (n + 1, n + 2), (n + 2, n), (n + 3, n + 2), (n + 4, n + 3), (n + 5, n + 5)]}
+    n += 6
+    length = [rng.randint(0, 9) for _ in range(n)]
+    need = {t: {b for a, b in deps if a == t} for t in range(n)}
+    start, level = {}, {}
+    while True:
+        ready = [t for t in range(n) if t not in start and need[t] <= set(start)]
+        if not ready:
+            break
+        for t in ready:
+            start[t] = max([start[d] + length[d] for d in need[t]], default=0)
+            level[t] = max([level[d] + 1 for d in need[t]], default=0)
+    reach = {t: set(need[t]) for t in range(n)}
+    for _ in range(n):
+        reach = {t: r | set().union(*[reach[x] for x in r]) if r else r for t, r in reach.items()}
+    after = {}
+    for t in sorted(start, key=lambda t: -level[t]):
+        after[t] = max([after[x] + length[x] for x in start if t in need[x]], default=0)
+    end = max([start[t] + length[t] for t in start], default=0)
+    hops = {t: 0 for t in range(0, n, 11)}
+    now = set(hops)
+    while now:
+        now = {a for a, b in deps if b in now} - set(hops)
+        hops |= {t: max(hops.values()) + 1 for t in now}
+    tasks = spark.createDataFrame([(1, t, length[t]) for t in range(n)], "run_id long, task_id long, duration_s long")
+    table = spark.createDataFrame([(1, a, b) for a, b in deps], "run_id long, task_id long, depends_on long")
+    monkeypatch.setattr(graph, "DEEPEST", deepest)
+    assert rows(graph.critical_path(tasks, table, run_rows), "task_id", "start_s", "latest_start_s", "slack_s", "makespan_s") == {
+        (t, start[t], end - after[t] - length[t], end - after[t] - length[t] - start[t], end) for t in start}
+    assert rows(graph.cyclic_tasks(tasks, table, run_rows), "task_id", "cycle") == {
+        (t, min(x for x in reach[t] if t in reach[x]) if t in reach[t] else None) for t in range(n) if t not in start}
+    assert rows(graph.failure_impact(tasks.where("task_id % 11 = 0"), table, run_rows), "task_id", "hops") == {(t, h) for t, h in hops.items() if h}
+
+
+def test_very_long_chain_takes_few_rounds(spark, writes):
+    """300,000 tasks one after the other in one run: rounds by the digits of its length, for levels, schedule and reach."""
+    n = graph.RUN_ROWS + 100_000
+    tasks = spark.range(n).selectExpr("1L run_id", "id * 7919 % 300007 task_id", "1L duration_s")
+    deps = spark.range(1, n).selectExpr("1L run_id", "id * 7919 % 300007 task_id", "(id - 1) * 7919 % 300007 depends_on")
+    got = graph.schedule(tasks, deps)[0].selectExpr("max(level)", "sum(level)", "max(finish_s)", "count(*)").first()
+    assert tuple(got) == (n - 1, n * (n - 1) // 2, n, n) and len(writes) <= 40
+    writes.clear()
+    got = graph.failure_impact(tasks.where("task_id = 0"), deps).selectExpr("max(hops)", "count(*)").first()
+    assert tuple(got) == (n - 1, n - 1) and len(writes) <= 40
+
+
+def test_critical_path_of_the_workflow(flow, rows):
+    """Nine tasks of 36 s in 20 s: e, g, h and i leave no slack."""
+    found = graph.critical_path(flow[0], lineage.task_dependencies(flow[1]))
+    assert {r["makespan_s"] for r in found.collect()} == {20}
+    order = [r["task_id"] for r in found.where("slack_s = 0").orderBy("start_s").collect()]
+    assert order == ["sleep_5", "petrichor_7", "sleep_8", "petrichor_9"]
 
 
 def test_whole_runs(monkeypatch):
