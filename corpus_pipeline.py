@@ -14,12 +14,14 @@ from runloom.session import stored
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told.
 
-    Those without a letter, and null texts, are rejected.  The model learns from labelled documents that are not held out.
+    Those without a letter, and null texts, are rejected.  The model learns from labelled documents that are not held out; without any
+    all documents with a letter stay.
     """
     learn = docs.select("doc_id", "text", "lang").where(~language_id.held_out(docs["doc_id"]))
     model = language_id.train(learn)
     found = language_id.predict(docs, model, "_")
-    return found.where(found["_lang_pred"] != language_id.UNKNOWN).select(*docs.columns)
+    told = found["_lang_pred"] != language_id.UNKNOWN if model.languages else found["text"].rlike(r"\p{L}")
+    return found.where(told).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

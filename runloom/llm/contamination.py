@@ -71,26 +71,30 @@ def _shingles(n: int):
             sets, slots = [], []
             for text in batch["text"]:
                 parts = words(text)
-                sets.append(list({" ".join(parts[i:i + n]) for i in range(len(parts) - n + 1)}))
-                slots.append(np.unique(_slot(shingle_hashes(parts, n))))
+                k = min(n, len(parts)) or n  # a short item is one shingle
+                sets.append(list({" ".join(parts[i:i + k]) for i in range(len(parts) - k + 1)}))
+                slots.append(np.unique(_slot(shingle_hashes(parts, k))))
             yield pd.DataFrame({"item_id": batch["item_id"], "shingles": sets, "slots": slots})
 
     return run
 
 
-def _hits(box, n: int):
+def _hits(box, lengths: list[int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = box.value
         for batch in batches:
             ids, hashes, sets = [], [], []
             for doc, own, text in zip(batch["doc_id"], batch["text_hash"], batch["text"]):
                 parts = words(text)
-                slot = _slot(shingle_hashes(parts, n))
-                at = np.flatnonzero(bits[slot >> 3] & (1 << (slot & 7)).astype(np.uint8))
-                if len(at):
+                found = set()
+                for k in lengths:
+                    slot = _slot(shingle_hashes(parts, k))
+                    at = np.flatnonzero(bits[slot >> 3] & (1 << (slot & 7)).astype(np.uint8))
+                    found.update(" ".join(parts[i:i + k]) for i in at.tolist())
+                if found:
                     ids.append(doc)
                     hashes.append(own)
-                    sets.append(sorted({" ".join(parts[i:i + n]) for i in at.tolist()}))
+                    sets.append(sorted(found))
             if ids:
                 yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "text_hash": hashes, "hits": sets})
 
@@ -111,8 +115,10 @@ def contained(docs: DataFrame, items: DataFrame, share: float = CONTAINED, n: in
     """``doc_id, text_hash, item_id, shared, item_shingles, containment`` for every document that holds an item.
 
     A document holds an item when it has at least ``share`` of the item's distinct ``n``-word shingles.  ``text_hash``
-    (Spark's ``xxhash64`` of the text) tells rows with one id and different texts apart; equal rows give one.  Items of
-    fewer than ``n`` words and null texts have no shingle: they neither hold nor are held.  Extra columns are ignored.
+    (Spark's ``xxhash64`` of the text) tells rows with one id and different texts apart; equal rows give one.  An item
+    of fewer than ``n`` words has one shingle, all its words, and is held where they stand in a row; documents are read with windows of
+    those lengths as well if there are such items.  Null and empty texts have no shingle: they neither hold nor are held.  Texts of any
+    length are read whole, extra columns are ignored, and no documents or no items give no rows.
     """
     spark = docs.sparkSession
     made, _ = stored(
@@ -120,13 +126,15 @@ def contained(docs: DataFrame, items: DataFrame, share: float = CONTAINED, n: in
         .where(F.size("shingles") > 0).dropDuplicates(), "benchmark")
     words_of = made.select(F.explode("slots").alias("s")).groupBy(F.shiftrightunsigned("s", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, CAST(s % 64 AS INT))")).alias("bits"))
+    n_words = F.size(F.split(F.element_at("shingles", 1), " "))
+    lengths = sorted(r["k"] for r in made.select(n_words.alias("k")).distinct().collect())  # n and less
     table = np.zeros(1 << (TABLE_BITS - 6), dtype=np.int64)
     for r in words_of.collect():  # at most 2 ** (TABLE_BITS - 6) rows
         table[r["word"]] = r["bits"]
     box = spark.sparkContext.broadcast(table.astype("<i8").view(np.uint8))
     hits, _ = stored(
         docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-        .mapInPandas(_hits(box, n), "doc_id long, text_hash long, hits array<string>"), "hits")
+        .mapInPandas(_hits(box, lengths), "doc_id long, text_hash long, hits array<string>"), "hits")
     key = F.struct(F.xxhash64("hits"), F.md5(F.concat_ws("\n", "hits")))
     sets = hits.groupBy(key.alias("set_id")).agg(F.first("hits").alias("hits"))
     pieces = made.select(F.explode("shingles").alias("shingle")).distinct()

@@ -55,7 +55,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float
 def mix(
     docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, reads: int = READS, seed: int = SEED
 ) -> DataFrame:
-    """One row for each document: ``doc_id, text_hash, size, source_size, target, taken, reads, finish``.
+    """One row for each document: ``doc_id, text_hash, source, size, source_size, target, taken, reads, finish``.
 
     ``taken`` is the number of its words in the mix, repeats counted; ``reads`` has the words of each reading and
     ``finish`` their virtual finish times, null for readings that are not taken.  Null and empty texts have no words and are not
@@ -76,23 +76,24 @@ def mix(
     for g in given[1:]:
         total = total + g
     return met.select(
-        "doc_id", "text_hash", "size", "source_size", "target", total.alias("taken"),
+        "doc_id", "text_hash", F.col("_source").alias("source"), "size", "source_size", "target", total.alias("taken"),
         F.array(*given).alias("reads"), F.array(*finish).alias("finish"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of the mix: each document once for every reading, whole, in order of virtual finish time.
 
-    The cut falls inside one document of each source; that one is in when half of it or more is.  The rows are range-partitioned
+    Rows equal in id, text and source, which have as many places as there are of them, are the same row in each.  The cut falls inside one document of each source; that one is in when half of it or more is.  The rows are range-partitioned
     and sorted by finish time, with ``finish`` as a further column.
     """
     plan = mix(docs, **options)
-    # a row for each reading; repeated rows are one row of docs, so that the join multiplies nothing
+    # a row for each reading; rows equal in id, text and source are one row of docs, so that the join multiplies nothing
     taken = plan.select(
-        F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "size", F.explode(F.arrays_zip("reads", "finish")).alias("r")
-    ).where("r.reads > 0 AND r.reads * 2 >= size").select("_doc", "_hash", F.col("r.finish").alias("finish"))
-    marked = docs.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"])
+        F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"), "size", F.explode(F.arrays_zip("reads", "finish")).alias("r")
+    ).where("r.reads > 0 AND r.reads * 2 >= size").select("_doc", "_hash", "_source", F.col("r.finish").alias("finish"))
+    marked = docs.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash", "source"])
     met = marked.join(
-        taken, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("_text_hash").eqNullSafe(F.col("_hash")))
+        taken, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("_text_hash").eqNullSafe(F.col("_hash"))
+        & F.col("source").eqNullSafe(F.col("_source")))
     out = met.select(*docs.columns, "finish")
     return out.repartitionByRange("finish", "doc_id").sortWithinPartitions("finish", "doc_id")

@@ -95,14 +95,15 @@ ORACLE_SQL = {
     "op10_contamination": r"""
         WITH w AS (
             SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
-        d AS (
-            SELECT DISTINCT doc_id, hash(w) AS h, unnest([array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)]) AS s
-            FROM w WHERE len(w) >= 5),
         v AS (
             SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
         i AS (
-            SELECT DISTINCT item_id, unnest([array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)]) AS s
-            FROM v WHERE len(w) >= 5),
+            SELECT DISTINCT item_id, unnest([array_to_string(w[i:i + least(len(w), 5) - 1], ' ') for i in range(1, greatest(len(w) - 3, 2))]) AS s
+            FROM v WHERE len(w) > 0),
+        k AS (SELECT DISTINCT least(len(w), 5) AS k FROM v WHERE len(w) > 0),
+        d AS (
+            SELECT DISTINCT doc_id, hash(w) AS h, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) AS s
+            FROM w, k WHERE len(w) >= k),
         n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id)
         SELECT doc_id, item_id, count(*) AS shared, any_value(n) AS item_shingles, count(*) / any_value(n) AS containment
         FROM d JOIN i USING (s) JOIN n USING (item_id)

@@ -206,9 +206,13 @@ def plain_words(text):
 def plain_contained(docs, items):
     def shingles(text):
         w = plain_words(text)
-        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+        return {tuple(w[i:i + k]) for k in range(1, 6) for i in range(len(w) - k + 1)}
 
-    own = {i: shingles(t) for i, t in items}
+    def own_shingles(text):
+        n = len(plain_words(text))
+        return {s for s in shingles(text) if len(s) == min(n, 5)}
+
+    own = {i: own_shingles(t) for i, t in items}
     out = set()
     for doc, text in docs:
         have = shingles(text)
@@ -218,6 +222,34 @@ def plain_contained(docs, items):
     return out
 
 
+def test_short_items(spark):
+    """Items of fewer than five words are held where all their words stand in a row."""
+    items = [(1, "What is the capital?"), (2, "yes"), (3, "of the"), (4, "one two three four five six"), (5, " "), (6, None)]
+    docs = [(1, "Q: what is the capital now please"), (2, "what is the big capital of the land"), (3, "Yes."), (4, "one two three four five six"),
+            (5, "one two three"), (6, None), (7, "the of")]
+    got = contamination.contained(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.shared, r.item_shingles) for r in got} == {(1, 1, 1, 1), (3, 2, 1, 1), (2, 3, 1, 1), (4, 4, 2, 2)}
+
+
+def test_language_stage_without_languages(spark):
+    rows, docs = made(spark)
+    kept = corpus_pipeline.identify_language(spark, docs.withColumn("lang", F.lit(None).cast("string")), "").collect()
+    assert len(kept) == sum(any(c.isalpha() for c in r[1] or "") for r in rows) > 100
+
+
+def test_mixed_keeps_sources_apart(spark):
+    """Rows with one id and text in two sources are read as what they are."""
+    rows = [(i, "a b c d", "xx", s, 0) for i in range(40) for s in ("p", "q")] + [(100 + i, "w " * 50, "xx", "r", 0) for i in range(40)]
+    read = {}
+    for r in mixing.mixed(spark.createDataFrame(rows, DOCS)).collect():
+        read[r.source] = read.get(r.source, 0) + 1
+    plan = {}
+    for r in mixing.mix(spark.createDataFrame(rows, DOCS)).collect():
+        plan[r.source] = plan.get(r.source, 0) + sum(2 * x >= r.size > 0 and x > 0 for x in r.reads)
+    assert read == plan and min(read.get("p", 0), read.get("q", 0)) > 0
+
+
 def test_contained(spark):
     rng = random.Random(9)
     words = ["w%d" % i for i in range(5000)]
