@@ -209,6 +209,12 @@ def settings_current(changes: DataFrame, schema: Mapping[str, Sequence[str]] = S
     )
 
 
+def setting_value(changes: DataFrame, key: str, schema: Mapping[str, Sequence[str]] = SETTINGS) -> str:
+    """The value of one setting in force; the first of its options if it was never set."""
+    row = settings_current(changes, schema).where(F.col("setting_key") == key).first()
+    return row["setting_value"] if row else schema[key][0]
+
+
 def answer_validate(answers: DataFrame, rules: DataFrame) -> DataFrame:
     """Value and standing of each answer (answer_id, question, q_type, answer, default_value, ignored).
 

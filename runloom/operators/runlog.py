@@ -225,6 +225,53 @@ def running_set_change(attempts: DataFrame, poll_s: float = 600) -> DataFrame:
     ).select("run_id", "task_id", (F.col("c.n") * F.lit(every) / 1_000_000).alias("poll_s"), "c.change")
 
 
+#: Levels of cells in an index of running tasks: the longest are 2 ** 40 times the shortest.
+CELL_LEVELS = 40
+
+
+def running_index(attempts: DataFrame, cell_s: int = 600) -> DataFrame:
+    """An index of what runs when: ``run_id, level, cell, task_id, start_us, end_us``.
+
+    Time is cut into cells of ``cell_s`` seconds, and pairs of cells make the cells of the next level.  A task is listed at the largest cells
+    that it fills, two for each level at most, with null times, and with its times at the one or two shortest cells that it only
+    reaches into.  So a task of any length has few rows, and no list spans a run.
+    """
+    size = cell_s * 1_000_000
+    start, end = (F.unix_micros(F.col(c).cast("timestamp")) for c in ("start_ts", "end_ts"))
+    timed = attempts.select("run_id", "task_id", start.alias("start_us"), end.alias("end_us")).where("start_us < end_us")
+    inside = timed.withColumns({
+        "_a": F.expr(f"CAST((start_us - pmod(start_us, {size})) / {size} AS BIGINT) + IF(pmod(start_us, {size}) = 0, 0, 1)"),
+        "_b": F.expr(f"CAST((end_us - pmod(end_us, {size})) / {size} AS BIGINT)")})
+    full = F.expr(f"""flatten(transform(sequence(0, {CELL_LEVELS}), k -> transform(
+        filter(array(
+            struct(-shiftright(-_a, k) AS cell, -shiftright(-_a, k) % 2 <> 0 AS own),
+            struct(shiftright(_b, k) - 1 AS cell, shiftright(_b, k) % 2 <> 0 AS own)),
+          c -> c.own AND -shiftright(-_a, k) < shiftright(_b, k)),
+        c -> struct(k AS level, c.cell AS cell))))""")
+    filled = inside.select("run_id", "task_id", F.explode(full).alias("c")).select(
+        "run_id", F.col("c.level").cast("int").alias("level"), "c.cell", "task_id", *[F.lit(None).cast("long").alias(x) for x in ("start_us", "end_us")])
+    # a cell at an end that is not filled
+    ends = F.array_distinct(F.array_compact(F.array(
+        F.when(F.col("_a") * size > F.col("start_us"), F.col("_a") - 1),
+        F.when(F.col("_b") * size < F.col("end_us"), F.col("_b")))))
+    reached = inside.select("run_id", F.lit(0).alias("level"), F.explode(ends).alias("cell"), "task_id", "start_us", "end_us")
+    return filled.unionByName(reached)
+
+
+def running_at(instants: DataFrame, index: DataFrame, cell_s: int = 600) -> DataFrame:
+    """``run_id, at, task_id``: the tasks of each run that run at given instants (run_id, at), their ends excluded, from :func:`running_index`.
+
+    An instant lies in one cell of each level, so its set is read by equality of cells, whatever the length of the run.
+    """
+    size = cell_s * 1_000_000
+    us = F.unix_micros(F.col("at").cast("timestamp"))
+    base = ((us - F.pmod(us, F.lit(size))) / size).cast("long")
+    cells = instants.select("run_id", "at", us.alias("_us"), base.alias("_base")).distinct().select(
+        "run_id", "at", "_us", "_base", F.explode(F.sequence(F.lit(0), F.lit(CELL_LEVELS))).alias("level"))
+    cells = cells.withColumn("cell", F.expr("shiftright(_base, level)"))
+    return cells.join(index, ["run_id", "level", "cell"]).where("start_us IS NULL OR start_us <= _us AND _us < end_us").select("run_id", "at", "task_id")
+
+
 def _log_slices() -> list[Column]:
     """Log times are whole seconds; even a second that holds most of a log is cut by line."""
     return [F.col("ts"), F.floor(F.col("line_no") / 1_000_000)]

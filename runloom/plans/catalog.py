@@ -115,10 +115,14 @@ def artifact_catalog(v: Views) -> DataFrame:
     return lineage.artifact_catalog(v.artifact_use())
 
 
-@query(using("wf_port wf_task", """
-SELECT DISTINCT p.run_id, path FROM wf_port p JOIN wf_task t ON p.task_id = t.task_id WHERE role = 'output' AND tmp_output"""))
+@query(using("wf_port wf_task wf_setting_change", """
+SELECT DISTINCT p.run_id, path FROM wf_port p JOIN wf_task t ON p.task_id = t.task_id WHERE role = 'output' AND tmp_output
+AND coalesce((SELECT max_by(setting_value, change_id) FROM wf_setting_change
+  WHERE setting_key = 'delete_temporary_files' AND setting_value IN ('yes', 'no')), 'yes') = 'yes'"""))
 def temp_artifacts(v: Views) -> DataFrame:
-    return lineage.temp_artifacts(lineage.artifact_catalog(v.artifact_use()), v.port())
+    """What is to be deleted under the setting in force."""
+    delete = config.setting_value(v.setting_change(), "delete_temporary_files")
+    return lineage.temp_artifacts(lineage.artifact_catalog(v.artifact_use()), v.port(), delete)
 
 
 @query(using("wf_edge", """
@@ -518,6 +522,15 @@ def running_concurrency(v: Views) -> DataFrame:
     return runlog.running_concurrency(v.attempt())
 
 
+@query(using("wf_attempt", """
+SELECT i.run_id, i.at, a.task_id FROM (SELECT DISTINCT run_id, date_trunc('day', start_ts) + INTERVAL 12 HOUR AS at FROM wf_attempt) i
+JOIN wf_attempt a ON a.run_id = i.run_id AND a.start_ts <= i.at AND i.at < a.end_ts"""))
+def running_at(v: Views) -> DataFrame:
+    """The running tasks of every run at noon of each of its days."""
+    noon = v.attempt().select("run_id", (F.date_trunc("day", "start_ts") + F.expr("INTERVAL 12 HOUR")).cast("timestamp_ntz").alias("at")).distinct()
+    return runlog.running_at(noon, runlog.running_index(v.attempt()))
+
+
 @query(using("wf_attempt", SERIES))
 def concurrency_series(v: Views) -> DataFrame:
     return runlog.concurrency_series(v.attempt())
@@ -861,9 +874,12 @@ def program_chain(v: Views) -> DataFrame:
 
 
 def measure_lines(batch: pd.DataFrame) -> pd.DataFrame:
+    """Lines and the longest of them; a null text gives none."""
+    batch = batch[batch["text"].notna()]
+    texts = batch["text"].tolist()
     return pd.DataFrame({
-        "doc_id": batch["doc_id"], "n_lines": batch["text"].map(lambda t: t.count("\n") + 1),
-        "longest": batch["text"].map(lambda t: max(map(len, t.split("\n")))),
+        "doc_id": batch["doc_id"], "n_lines": [t.count("\n") + 1 for t in texts],
+        "longest": [max(map(len, t.split("\n"))) for t in texts],
     })
 
 
@@ -888,13 +904,14 @@ def python_udtf(v: Views) -> DataFrame:
 
 
 def total_lengths(batch: pd.DataFrame) -> pd.DataFrame:
-    sizes = batch["text"].map(len)
-    grouped = pd.DataFrame({"lang": batch["lang"], "n": 1, "total": sizes, "longest": sizes}).groupby("lang", as_index=False)
-    return grouped.agg({"n": "sum", "total": "sum", "longest": "max"})
+    """Texts by language, null among them; a null text counts as one without a length."""
+    sizes = pd.array([len(t) if isinstance(t, str) else None for t in batch["text"]], dtype="Int64")
+    return add_lengths(pd.DataFrame({"lang": batch["lang"], "n": 1, "total": sizes, "longest": sizes}))
 
 
 def add_lengths(rows: pd.DataFrame) -> pd.DataFrame:
-    return rows.groupby("lang", as_index=False).agg({"n": "sum", "total": "sum", "longest": "max"})
+    grouped = rows.groupby("lang", as_index=False, dropna=False)
+    return grouped.agg({"n": "sum", "total": lambda x: x.sum(min_count=1), "longest": "max"})
 
 
 @query("""

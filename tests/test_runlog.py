@@ -1,6 +1,7 @@
 from __future__ import annotations
 
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,3 +152,22 @@ def test_manifest_scan(spark, tmp_path, rows):
     found = text.manifest_scan(spark, str(tmp_path), "*.out")
     assert [r["length"] for r in found.collect()] == [3]
     assert "content" not in found._jdf.queryExecution().optimizedPlan().toString().split("\n")[0]
+
+
+@pytest.mark.parametrize("cell_s", [1, 7, 600])
+def test_tasks_running_at_an_instant(spark, rows, cell_s):
+    """Short, long, empty and equal spans, before 1970 too, at their ends and between; a task of ten years has few rows."""
+    rng = random.Random(cell_s)
+    start = datetime(1969, 12, 31, 23, 50)
+    spans = []
+    for i in range(60):
+        a = start + timedelta(microseconds=rng.randrange(0, 1_500_000_000))
+        spans.append((rng.choice([1, 2]), i, a, a + timedelta(microseconds=rng.choice([0, 1, 999_999, 7_000_000, 600_000_000, 1_234_567_890]))))
+    spans += [(1, 100, start, start + timedelta(days=3652)), (2, 101, start, start + timedelta(seconds=1200)), (2, 102, start, start + timedelta(seconds=1200))]
+    instants = {(r, x) for r, _, a, b in spans for x in (a, b, a + (b - a) / 2)} | {(1, start - timedelta(days=1)), (3, start)}
+    attempts = spark.createDataFrame(spans, "run_id long, task_id long, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    index = runlog.running_index(attempts, cell_s)
+    asked = spark.createDataFrame([*instants, (1, start)], "run_id long, at timestamp_ntz")
+    assert rows(runlog.running_at(asked, index, cell_s)) == {
+        (r, x, t) for r, x in instants | {(1, start)} for run, t, a, b in spans if run == r and a <= x < b}
+    assert index.where("task_id = 100").count() <= 2 * runlog.CELL_LEVELS + 2

@@ -5,6 +5,7 @@ import pytest
 from pyspark.errors import PySparkException
 
 from runloom.operators import steps
+from runloom.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -91,3 +92,13 @@ def test_much_standard_error(lines):
     script = "while read -r x; do echo out; echo err >&2; done"
     found = steps.pipe_through(lines.coalesce(1), ["sh", "-c", script]).groupBy("source").count().collect()
     assert {tuple(r) for r in found} == {("stdout", 30_000), ("stderr", 30_000), ("status", 1)}
+
+
+def test_registered_steps_take_nulls():
+    """A null text has no lines and no length; a null language is a group."""
+    batch = pd.DataFrame({"doc_id": [1, 2, 3], "lang": ["x", None, None], "text": ["ab\nc", None, "abc"]})
+    assert catalog.measure_lines(batch).values.tolist() == [[1, 2, 2], [3, 1, 3]]
+    both = pd.concat([catalog.total_lengths(batch), catalog.total_lengths(batch[1:2]), catalog.total_lengths(batch[:0])])
+    got = catalog.add_lengths(both)
+    assert {(lang if isinstance(lang, str) else None, n, int(t), int(m)) for lang, n, t, m in got.values.tolist()} == {("x", 1, 4, 4), (None, 3, 3, 3)}
+    assert catalog.total_lengths(batch[1:2])["total"].isna().all()
