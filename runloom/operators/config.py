@@ -44,11 +44,11 @@ DEPTH = r"""aggregate(split(regexp_replace(regexp_replace(to_json(tree), '"(?:[^
     a -> a.m)"""
 
 
-def config_flatten(configs: DataFrame) -> DataFrame:
-    """Leaves of each configuration (config_id, tree).
+def _nodes(configs: DataFrame) -> DataFrame:
+    """``config_id, path, value, members`` of every leaf of each configuration (config_id, tree).
 
     A leaf is a text or an object with ``q_type``; other objects are descended into, within the
-    row and without a shuffle, and so is the outermost one whatever its keys.  Anything else is a leaf with ``error``.  The
+    row and without a shuffle, and so is the outermost one whatever its keys.  Anything else is a leaf as well.  The
     number of steps is the depth to which braces are nested.
     """
     node = "named_struct('path', {0}, 'value', {1}, 'members', TRY_CAST({1} AS MAP<STRING, VARIANT>))"
@@ -64,14 +64,18 @@ def config_flatten(configs: DataFrame) -> DataFrame:
     ).alias("nodes"))
     # The outer form, because the optimizer would compute the whole array a second time in a
     # filter for empty ones; an empty configuration gives one null, dropped here.
-    exploded = nodes.select("config_id", F.explode_outer("nodes").alias("n")).where("n IS NOT NULL")
-    leaves = exploded.select(
-        "config_id", F.col("n.path").alias("path"),
-        F.expr("schema_of_variant(n.value)").alias("shape"),
-        F.expr("try_variant_get(n.value, '$', 'string')").alias("text"),
-        F.expr("try_variant_get(n.value, '$.q_type', 'string')").alias("q_type"),
-        F.expr("try_variant_get(n.value, '$.default', 'string')").alias("default_value"),
-        F.expr("try_variant_get(n.value, '$.always_default', 'variant') IS NOT NULL").alias("always_default"),
+    return nodes.select("config_id", F.explode_outer("nodes").alias("n")).where("n IS NOT NULL").select("config_id", "n.*")
+
+
+def config_flatten(configs: DataFrame) -> DataFrame:
+    """Leaves of each configuration (config_id, tree) and what they ask for; what is neither text nor question has an ``error``."""
+    leaves = _nodes(configs).select(
+        "config_id", "path",
+        F.expr("schema_of_variant(value)").alias("shape"),
+        F.expr("try_variant_get(value, '$', 'string')").alias("text"),
+        F.expr("try_variant_get(value, '$.q_type', 'string')").alias("q_type"),
+        F.expr("try_variant_get(value, '$.default', 'string')").alias("default_value"),
+        F.expr("try_variant_get(value, '$.always_default', 'variant') IS NOT NULL").alias("always_default"),
     )
     key = F.element_at("path", -1)
     is_text = F.col("shape") == "STRING"
@@ -92,6 +96,30 @@ def config_flatten(configs: DataFrame) -> DataFrame:
     )
 
 
+def question_attributes(configs: DataFrame) -> DataFrame:
+    """Everything that the questions of each configuration (config_id, tree) say: ``config_id, name, attribute, json``, a row each.
+
+    ``json`` keeps the type: a message is a quoted text, choices are an array.
+    """
+    asked = _nodes(configs).where("map_contains_key(members, 'q_type') AND size(path) > 0")
+    each = asked.select("config_id", F.concat_ws("__", F.lit("root"), "path").alias("name"), F.explode("members").alias("attribute", "v"))
+    return each.select("config_id", "name", "attribute", F.expr("to_json(v)").alias("json"))
+
+
+def question_rules(attributes: DataFrame) -> DataFrame:
+    """``config_id, question, choices`` of the questions that have a list of choices, from :func:`question_attributes`."""
+    return attributes.where("attribute = 'choices'").select(
+        "config_id", F.col("name").alias("question"), F.from_json("json", "array<string>").alias("choices")).where("choices IS NOT NULL")
+
+
+def typed_leaves(configs: DataFrame) -> DataFrame:
+    """``config_id, path, json``: every leaf as it is, numbers, truth values, arrays, nulls and whole questions included.
+
+    ``config_inflate`` of these gives the configuration back; only objects without a member leave no trace.
+    """
+    return _nodes(configs).where("size(path) > 0").select("config_id", "path", F.expr("to_json(value)").alias("json"))
+
+
 def config_errors(leaves: DataFrame) -> DataFrame:
     return leaves.where("error IS NOT NULL").select("config_id", "name", "error")
 
@@ -99,6 +127,8 @@ def config_errors(leaves: DataFrame) -> DataFrame:
 def config_inflate(leaves: DataFrame) -> DataFrame:
     """Nested JSON per configuration from leaves (config_id, path, value), deepest level first.
 
+    ``value`` is a text; leaves with a column ``json`` in its place (:func:`typed_leaves`) keep their type.
+
     Paths stay arrays, so a key may contain ``__``.  Only the depth comes to the driver; the
     leaves are written once because every level reads them.
     """
@@ -107,7 +137,7 @@ def config_inflate(leaves: DataFrame) -> DataFrame:
         return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
 
     rows, (depth,) = stored(
-        leaves.where(F.size("path") > 0).select("config_id", "path", text(F.col("value")).alias("json")),
+        leaves.where(F.size("path") > 0).select("config_id", "path", text(F.col("value")).alias("json") if "value" in leaves.columns else "json"),
         "leaves", F.max(F.size("path")),
     )
     folded = None
@@ -219,11 +249,14 @@ def answer_validate(answers: DataFrame, rules: DataFrame) -> DataFrame:
     """Value and standing of each answer (answer_id, question, q_type, answer, default_value, ignored).
 
     An ignored question takes its default unasked; an empty answer takes the default.  ``rules`` has the ``choices`` (an array) of
-    those questions that accept nothing else.
+    those questions that accept nothing else; with a ``config_id`` on both sides they hold for the question of that configuration
+    alone.  Rules that repeat are one; choices given in several rules are all allowed.
     """
     kind = F.lower(strip(F.col("q_type")))
     value = F.when(F.col("ignored") | (F.coalesce("answer", F.lit("")) == ""), F.col("default_value")).otherwise(F.col("answer"))
-    answers = answers.join(rules.select("question", "choices"), "question", "left")
+    keys = [c for c in ("config_id", "question") if c in rules.columns and c in answers.columns]
+    one = rules.where("choices IS NOT NULL").groupBy(*keys).agg(F.flatten(F.collect_set("choices")).alias("choices"))
+    answers = answers.join(one, keys, "left")
     allowed = F.when(F.col("choices").isNull(), F.lit(True)).otherwise(F.array_contains("choices", value))
     status = (
         F.when(~kind.isin(QUESTION_TYPES), "bad q_type")

@@ -712,6 +712,17 @@ SELECT config_id, '{{"' || n_name || '":{{"path":"/site/' || c_custkey || '"' ||
   '}},"shared":{{"deep":{{"ref_path":"' || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE '/ref/' || c_mktsegment END || '"}}}}}}' AS json FROM ({SITE})"""
 
 
+@query("""
+SELECT config_id, name, x.a AS attribute, x.j AS json FROM (
+  SELECT c_custkey AS config_id, concat('root__', n_name, '__threads') AS name,
+    unnest([{a: 'q_type', j: CASE WHEN c_custkey % 7 = 0 THEN '"radio"' ELSE '"list"' END}, {a: 'message', j: '"n"'},
+      {a: 'default', j: concat('"', CAST(c_nationkey AS STRING), '"')}, {a: 'always_default', j: CASE WHEN c_custkey % 4 = 0 THEN '"x"' END}]) AS x
+  FROM customer JOIN nation ON c_nationkey = n_nationkey) WHERE x.j IS NOT NULL""")
+def question_attributes(v: Views) -> DataFrame:
+    """Type, message and every other attribute of the questions of all configurations."""
+    return config.question_attributes(config.parse_config(v.site_config()))
+
+
 def _inflated(v: Views) -> DataFrame:
     answered = _leaves(v).where("error IS NULL").withColumn("value", F.coalesce("value", "default_value"))
     return config.config_inflate(answered)

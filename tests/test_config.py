@@ -153,3 +153,28 @@ def test_pools(spark, rows, labels, configured, match, assigned):
         got = rows(pools.pool_assignment(tasks, pool, defined, "large"), "task_id", "assigned")
         assert (4, "large") in got
         assert (4, "all") in rows(pools.pool_assignment(tasks, pool, defined, "x"), "task_id", "assigned")
+
+
+def test_inflate_gives_back_what_was_flattened(spark):
+    """Numbers, truth values, arrays, nulls and whole questions keep their type through both ways."""
+    given = {
+        1: {"a": {"b": 1, "c": 2.5, "d": True, "e": None, "f": [1, "x", {"g": None}]}, "t": "1", "e\"s": "é\n", "__": {"_": "x"}},
+        2: {"q": {"q_type": "list", "message": "m?", "choices": ["a", "b"], "default": 3, "always_default": False, "nested": {"x": [0]}}, "deep": {"r": {"s": -0.125}}},
+        3: {},
+    }
+    trees = config.parse_config(spark.createDataFrame([(i, json.dumps(c)) for i, c in given.items()], "config_id long, json string"))
+    got = {r["config_id"]: json.loads(r["json"]) for r in config.config_inflate(config.typed_leaves(trees)).collect()}
+    assert got == {i: c for i, c in given.items() if c}
+    attributes = config.question_attributes(trees)
+    assert {(r["name"], r["attribute"]): json.loads(r["json"]) for r in attributes.collect()} == {("root__q", k): v for k, v in given[2]["q"].items()}
+    assert [tuple(r) for r in config.question_rules(attributes).collect()] == [(2, "root__q", ["a", "b"])]
+
+
+def test_choices_hold_for_one_configuration(spark, rows):
+    """Two configurations with one question name and different choices; rules that repeat do not multiply answers."""
+    answers = spark.createDataFrame(
+        [(1, 1, "q", "list", "a", None, False), (2, 2, "q", "list", "a", None, False), (3, 3, "q", "list", "z", None, False), (4, 1, "q", "list", "c", None, False)],
+        "answer_id long, config_id long, question string, q_type string, answer string, default_value string, ignored boolean")
+    rules = spark.createDataFrame([(1, "q", ["a", "b"]), (1, "q", ["a", "b"]), (2, "q", ["b"]), (3, "q", None)], "config_id long, question string, choices array<string>")
+    assert rows(config.answer_validate(answers, rules), "answer_id", "status") == {(1, "answered"), (2, "not a choice"), (3, "answered"), (4, "not a choice")}
+    assert rows(config.answer_validate(answers, rules.drop("config_id")), "answer_id", "status") == {(1, "answered"), (2, "answered"), (3, "not a choice"), (4, "not a choice")}
