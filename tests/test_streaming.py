@@ -100,7 +100,7 @@ def test_states_leave_the_stream(stream_of, rows, machine):
 def test_changes_are_reported_once(spark, stream_of):
     stream = stream_of(
         [event(0, state="pending"), event(1), event(1), event(2, "b"), event(3, "b", "completed")],
-        [event(4), event(5, state="completed"), event(2, state="failed")], [event(6, "b"), event(6, "b", "failed"), (None, None, "running", "p", START)])
+        [event(4), event(5, state="completed"), event(0.5, state="failed")], [event(6, "b"), event(6, "b", "failed"), (None, None, "running", "p", START)])
     got = runs.drain(machines.task_changes(stream), "t", "append").collect()
     seen = [(r["task"], r["before"], r["state"]) for r in sorted(got, key=lambda r: (str(r["task"]), r["ts"], runlog.SEVERITY[r["state"]]))]
     assert seen == [
