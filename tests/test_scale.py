@@ -5,7 +5,9 @@ from __future__ import annotations
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
+from runloom.functions import ordered
 from runloom.operators import manifest
 from runloom.plans.views import Views
 
@@ -35,6 +37,17 @@ def views(spark, tmp_path_factory):
     return Views(spark, str(at))
 
 
+@pytest.mark.parametrize("group_rows", [0, 10, 11, 1000])
+def test_rank_by_size(views, group_rows):
+    table = views.base("orders").select("o_custkey", "o_orderdate", "o_orderkey")
+    given = table, ["o_custkey"], ["o_orderdate", "o_orderkey"], [F.col("o_orderdate")], "n"
+    assert bag(ordered.rank_by_size(*given, group_rows)) == bag(ordered.row_rank(*given))
+
+
+def test_tasks_are_ranked_without_a_join(views):
+    assert "Join" not in views._task_ranked()._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_ranked_parts_of_commands(views):
     assert bag(manifest.render_arguments(views.param())) == bag(manifest.render_arguments(views.param(ranked=True)))
     assert bag(manifest.redirect_resolve(views.redirect())) == bag(manifest.redirect_resolve(views.redirect(ranked=True)))
