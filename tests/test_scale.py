@@ -83,3 +83,9 @@ def test_dependencies_are_found_once(spark, operator):
     done = operator(tasks, links.mapInPandas(count, links.schema)).collect()
     assert len(done) == (9 if operator is graph.critical_path else 2)
     assert found.value == len(pairs)
+
+
+def test_a_small_file_of_sites_is_parsed_by_many_tasks(spark, views):
+    sites = views.site_config()
+    assert sites.count() == 40
+    assert sites.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
