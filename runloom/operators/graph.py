@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from runloom.functions.ordered import long_groups
 from runloom.session import stored
 
 KEY = ["run_id", "task_id"]
@@ -45,9 +46,7 @@ def _stack(frames: list[DataFrame]) -> DataFrame:
 
 def _parted(run_rows: int, *tables: DataFrame) -> tuple[DataFrame, int]:
     """The runs, null included, with more than ``run_rows`` rows in all ``tables``, and how many they are."""
-    rows = _stack([t.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")) for t in tables])
-    long = rows.groupBy("run_id").agg(F.sum("n").alias("n")).where(F.col("n") > run_rows).select("run_id")
-    return (found := stored(long, "long-runs", F.count(F.lit(1))))[0], found[1][0]
+    return long_groups(_stack([t.select("run_id") for t in tables]), ["run_id"], run_rows)
 
 
 def _of(table: DataFrame, long: DataFrame, how: str) -> DataFrame:
@@ -80,25 +79,32 @@ def _solve(
 ) -> DataFrame:
     """Run ``solve(values of the tasks, source rows, target rows, lengths of the edges)`` on the graphs of some runs at a time.
 
-    ``tasks`` has ``run_id, task_id`` and long ``values``; ``edges`` has ``run_id, src, dst`` and long ``lengths``; both ends must be among
-    the tasks.
+    ``tasks`` has ``run_id, task_id`` and long ``values``; ``edges`` has ``run_id, src, dst``, none of them null, and long ``lengths``; those
+    with an end that is not among the tasks are left out.
     ``solve`` returns long columns ``out`` for all tasks; rows whose first one is negative are left out.  Tasks are numbered in
     order of run and id; ``names`` is a further column of such numbers, given back as the tasks' ids.
     """
-    kind = tasks.schema["task_id"].dataType.simpleString()
+    kind = tasks.schema["task_id"].dataType
     def nothing(columns: list[str]) -> list:
-        return [F.lit(None).cast("long").alias(c) for c in columns]
+        return [F.lit(0).cast("long").alias(c) for c in columns]
 
-    both = tasks.select(*KEY, F.lit(None).cast(kind).alias("other"), *values, *nothing(lengths)).unionByName(
-        edges.select("run_id", F.col("src").alias("task_id"), F.col("dst").alias("other"), *nothing(values), *lengths))
+    # no nulls for what a row lacks: pandas would turn ids into floating point numbers
+    both = tasks.select(*KEY, F.col("task_id").alias("other"), F.lit(False).alias("link"), *values, *nothing(lengths)).unionByName(
+        edges.select("run_id", F.col("src").cast(kind).alias("task_id"), F.col("dst").cast(kind).alias("other"), F.lit(True).alias("link"), *nothing(values), *lengths))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _whole_runs(batches):
-            link = frame["other"].notna().to_numpy()
-            nodes, links = frame[~link].sort_values(KEY, ignore_index=True), frame[link]
-            place = pd.MultiIndex.from_arrays([nodes["run_id"], nodes["task_id"]])
-            src = place.get_indexer(pd.MultiIndex.from_arrays([links["run_id"], links["task_id"]]))
-            dst = place.get_indexer(pd.MultiIndex.from_arrays([links["run_id"], links["other"].astype(nodes["task_id"].dtype)]))
+            link = frame["link"].to_numpy()
+            ends, ids = pd.factorize(pd.concat([frame["task_id"], frame["other"]]), sort=True, use_na_sentinel=False)
+            first = pd.factorize(frame["run_id"], use_na_sentinel=False)[0] * len(ids)
+            here, there = first + ends[:len(frame)], first + ends[len(frame):]
+            order = np.argsort(here[~link], kind="stable")
+            place, nodes = here[~link][order], frame[~link].iloc[order]
+            if (place[1:] == place[:-1]).any():
+                raise ValueError("a task id repeats within a run")
+            src, dst = (np.minimum(np.searchsorted(place, end[link]), max(len(place) - 1, 0)) for end in (here, there))
+            known = (place[src] == here[link]) & (place[dst] == there[link]) if len(place) else np.zeros(len(src), dtype=bool)
+            src, dst, links = src[known], dst[known], frame[link][known]
             found = solve(
                 nodes[values].to_numpy(dtype=np.int64) if values else np.zeros((len(nodes), 0)), src, dst,
                 links[lengths].to_numpy(dtype=np.int64) if lengths else np.ones((len(links), 1), dtype=np.int64))
@@ -569,15 +575,16 @@ def _parts_by_rounds(edges: DataFrame) -> DataFrame:
 def sub_workflows(tasks: DataFrame, dependencies: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
     """Connected parts of each run, named by their least task id."""
     nodes = tasks.select(*KEY)
-    ends = [nodes.select("run_id", F.col("task_id").alias(c)) for c in ("src", "dst")]
-    edges, _ = stored(
-        dependencies.select("run_id", F.col("task_id").alias("src"), F.col("depends_on").alias("dst")).where("src <> dst").distinct()
-        .join(ends[0], ["run_id", "src"], "left_semi").join(ends[1], ["run_id", "dst"], "left_semi"), "links")
+    # repeats and links of unknown tasks stay in: short runs are solved beside their tasks, which tells them apart without a join
+    edges, _ = stored(dependencies.select("run_id", F.col("task_id").alias("src"), F.col("depends_on").alias("dst")).where(
+        "run_id IS NOT NULL AND src <> dst"), "links")
     long, n_long = _parted(run_rows, nodes, edges)
     small = (nodes, edges) if not n_long else tuple(_of(x, long, "left_anti") for x in (nodes, edges))
     solved = _solve(*small, [], _merge, [], "component")
     if not n_long:
         return solved
-    parts = _parts_by_rounds(_of(edges, long, "left_semi"))
+    ends = [nodes.select("run_id", F.col("task_id").alias(c)) for c in ("src", "dst")]
+    parts = _parts_by_rounds(
+        _of(edges, long, "left_semi").join(ends[0], ["run_id", "src"], "left_semi").join(ends[1], ["run_id", "dst"], "left_semi"))
     rest = _of(nodes, long, "left_semi").join(parts, KEY, "left").select(*KEY, F.coalesce("part", "task_id").alias("component"))
     return solved.unionByName(rest)

@@ -74,7 +74,7 @@ def task_dependencies(ports: DataFrame) -> DataFrame:
     first = "seq" if "seq" in ports.columns else "task_id"
     made = _role(ports, "output").groupBy("run_id", "path").agg(F.min_by("task_id", first).alias("depends_on"))
     read = _role(ports, "input").select("run_id", "path", "task_id")
-    by_file = read.join(made, ["run_id", "path"]).select("run_id", "task_id", "depends_on")
+    by_file = read.join(made.hint("shuffle_hash"), ["run_id", "path"]).select("run_id", "task_id", "depends_on")
     by_wait = _role(ports, "wait_on").select(
         "run_id", "task_id", F.col("path").cast(ports.schema["task_id"].dataType).alias("depends_on")
     )

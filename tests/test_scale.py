@@ -89,3 +89,63 @@ def test_a_small_file_of_sites_is_parsed_by_many_tasks(spark, views):
     sites = views.site_config()
     assert sites.count() == 40
     assert sites.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_long_groups(spark, monkeypatch):
+    """Null is a group; a full bucket holds short groups as well."""
+    keys = [None] * 12 + [1] * 11 + [2] * 10 + [k for k in range(3, 40) for _ in range(k % 5)]
+    table = spark.createDataFrame([(k,) for k in keys], "k long")
+    for buckets in (1, 3, ordered.BUCKETS):
+        monkeypatch.setattr(ordered, "BUCKETS", buckets)
+        for rows, want in ((10, [None, 1]), (11, [None]), (12, []), (1000, [])):
+            found, n = ordered.long_groups(table, ["k"], rows)
+            assert sorted([r["k"] for r in found.collect()], key=str) == sorted(want, key=str) and n == len(want)
+
+
+def test_no_group_is_counted_where_no_bucket_is_full(spark, monkeypatch):
+    labels = []
+    real = ordered.stored
+    monkeypatch.setattr(ordered, "stored", lambda df, label, *c: (labels.append(label), real(df, label, *c))[1])
+    assert ordered.long_groups(spark.range(1000), ["id"], 100)[1] == 0 and labels == ["full-buckets"]
+
+
+def test_links_of_sub_workflows_are_stored_without_a_join(spark, rows, monkeypatch):
+    """Repeats, links of unknown tasks, of a task to itself and without a run change no part."""
+    plans = {}
+    real = graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, label, *c: (
+        plans.update({label: df._jdf.queryExecution().optimizedPlan().toString()}), real(df, label, *c))[1])
+    tasks = spark.createDataFrame([(r, t) for r in (1, 2, None) for t in range(6)], "run_id long, task_id long")
+    links = [(1, 1, 0), (1, 1, 0), (1, 2, 99), (1, 99, 3), (1, 4, 4), (1, 5, 1), (2, 5, 3), (2, 3, 2), (3, 1, 0), (None, 1, 0)]
+    links = spark.createDataFrame(links, "run_id long, task_id long, depends_on long")
+    want = {(r, t, {(1, 1): 0, (1, 5): 0, (2, 3): 2, (2, 5): 2}.get((r, t), t)) for r in (1, 2, None) for t in range(6)}
+    assert rows(graph.sub_workflows(tasks, links), "run_id", "task_id", "component") == want
+    assert "Join" not in plans["links"] and "Aggregate" not in plans["links"]
+    assert rows(graph.sub_workflows(tasks, links, 4), "run_id", "task_id", "component") == want
+
+
+def test_ids_are_not_rounded(spark, rows):
+    """Ids beyond 2**53 and text, some null."""
+    big = 2 ** 60
+    tasks = spark.createDataFrame([(1, big + t) for t in range(4)], "run_id long, task_id long")
+    links = spark.createDataFrame([(1, big + 3, big + 1)], "run_id long, task_id long, depends_on long")
+    assert rows(graph.sub_workflows(tasks, links), "task_id", "component") == {(big + t, big + (1 if t == 3 else t)) for t in range(4)}
+    tasks = spark.createDataFrame([("r", t) for t in ("b", "a", None, "c")], "run_id string, task_id string")
+    links = spark.createDataFrame([("r", "c", "b")], "run_id string, task_id string, depends_on string")
+    assert rows(graph.sub_workflows(tasks, links), "task_id", "component") == {("a", "a"), ("b", "b"), ("c", "b"), (None, None)}
+
+
+def test_ports_take_few_shuffles(spark, views, monkeypatch):
+    """Line items are shuffled once to be told apart and joined, tasks once for both of their links; the ports rank no more than they need."""
+    fresh = Views(spark, views.sf_dir)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = fresh.port()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 4
+    assert "task_places" in fresh._tables and "task_ranked" not in fresh._tables
+    fresh = Views(spark, views.sf_dir)
+    fresh.task()
+    fresh.port()
+    assert "task_places" not in fresh._tables
